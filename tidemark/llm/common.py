@@ -73,3 +73,19 @@ def components(edges: DataFrame) -> DataFrame:
     members = now.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("component"))
     roots = members.select(F.col("component").alias("node"), "component").distinct()
     return members.unionByName(roots).select(F.col("node").cast(kind), F.col("component").cast(kind))
+
+
+def let(value: Column, body) -> Column:
+    """Evaluate ``value`` once and bind it in ``body``; plain columns used in a lambda could be inlined and evaluated for every element."""
+    return F.transform(F.array(value), body)[0]
+
+
+def spread_join(rows: DataFrame, side: DataFrame, key: str, spread_by: str, lanes: int = 64) -> DataFrame:
+    """Left join ``rows`` with ``side`` (one row per ``key``) where a few keys may hold a large part of ``rows``.
+
+    Only distinct (key, lane) pairs meet ``side``; rows then meet the pairs, so that a hot key is spread over all lanes.
+    ``rows`` is used twice and should be cheap to read again.
+    """
+    laned = rows.withColumn("__lane", F.pmod(F.xxhash64(spread_by), F.lit(lanes)).cast("int"))
+    entries = laned.select(key, "__lane").distinct().join(side, key, "left")
+    return laned.join(entries, [key, "__lane"], "left").drop("__lane")
