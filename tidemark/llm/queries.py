@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import table
 from .decontaminate import decontaminate
 from .exact_dedup import exact_dedup
+from .mixing import mixing_report
+from .quality import quality_report
 from .simhash import simhash_groups
 
 
@@ -16,10 +18,18 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(table(spark, sf_dir, "documents"))
 
 
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"), keep="largest")
 
@@ -27,8 +37,10 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op5_decontaminate": op5_decontaminate,
+        "op6_quality": op6_quality,
         "op7_simhash": op7_simhash,
         "op9_exact_dedup": op9_exact_dedup,
+        "op10_mixing": op10_mixing,
     }
 
 
