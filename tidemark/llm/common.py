@@ -36,6 +36,12 @@ def ascii_lower(text: Column) -> Column:
     return F.when(plain, F.lower(text)).otherwise(F.translate(text, string.ascii_uppercase, string.ascii_lowercase))
 
 
+def document_key(identifier: Column, text: Column) -> Column:
+    """A key of identifier and text. Rows are told by it across scans, since positions in a scan may change when executors are lost."""
+    name = F.when(identifier.isNull(), F.lit("-")).otherwise(F.concat(F.lit("+"), identifier.cast("string")))
+    return F.md5(F.concat(name, F.lit("\x00"), F.coalesce(text, F.lit(""))))
+
+
 def bounded_broadcast(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
     """Hint a broadcast if the counted ``rows`` allow it; otherwise leave the join to shuffle."""
     return F.broadcast(df) if rows <= limit else df

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, bounded_broadcast, cut, let
+from .common import ascii_lower, bounded_broadcast, cut, document_key, let
 
 #: What separates words once A-Z are lower-cased: every ASCII character but digits and lower-case letters.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -122,3 +122,12 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
         F.sha2(F.concat_ws(",", items_found), 256).alias("items_sha256"),
         (covered > 0).alias("contaminated"),
     )
+
+
+def clean_documents(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", **options) -> DataFrame:
+    """The rows of ``docs`` without any window of an item, with their columns."""
+    text = F.col(f"`{text_col}`")
+    keyed = docs.withColumn("__key", document_key(F.col(f"`{id_col}`"), text))
+    found = decontaminate(keyed.select("__key", text.alias("text")), items, "__key", "text", item_col, item_text_col, **options)
+    bad = cut(found.where("contaminated").select("__key").distinct())
+    return keyed.join(bounded_broadcast(bad, bad.count()), "__key", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

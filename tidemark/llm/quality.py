@@ -78,7 +78,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, host: Column | None = Non
     if sites.count() <= BROADCAST_ROWS:
         joined = scored.join(F.broadcast(sites), "__site")
     else:
-        joined = spread_join(scored.withColumn("__spread", F.monotonically_increasing_id()), sites, "__site", "__spread").drop("__spread")
+        joined = spread_join(scored, sites, "__site", id_col)
     q = F.greatest(F.least(F.col("__path_quality"), F.lit(1 - 1e-6)), F.lit(1e-6))
     odds = F.col("__log_odds") + F.log(q / (1 - q)) - math.log(m / (1 - m))
     return joined.withColumn("__quality", 1 / (1 + F.exp(-odds))).drop("__site")

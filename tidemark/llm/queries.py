@@ -9,11 +9,16 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import table
 from .decontaminate import decontaminate
 from .exact_dedup import exact_dedup
+from .line_dedup import line_dedup_report
 from .mixing import mixing_report
 from .quality import quality_report
 from .simhash import simhash_groups
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup_report(table(spark, sf_dir, "documents"))
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -34,13 +39,21 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"), keep="largest")
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_line_dedup": op1_line_dedup,
         "op5_decontaminate": op5_decontaminate,
         "op6_quality": op6_quality,
         "op7_simhash": op7_simhash,
         "op9_exact_dedup": op9_exact_dedup,
         "op10_mixing": op10_mixing,
+        "pipeline": pipeline,
     }
 
 

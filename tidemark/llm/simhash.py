@@ -8,7 +8,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, components, cut, let, spread_join
+from .common import ascii_lower, components, cut, document_key, let, spread_join
 
 WHITE_SPACE = r"[\x20\x09-\x0D]+"
 #: Members of a posting up to which its pairs are listed; beyond it links come from one-bit neighbours.
@@ -98,3 +98,13 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     lowest = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
     side = rooted.join(lowest, "root").select("fp", "component_id")
     return spread_join(rows, side, "fp", "row").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, bits: int = 2) -> DataFrame:
+    """``docs`` with one row of each group of ``simhash_groups``: that of the smallest identifier; of rows that repeat identifier and text one stays."""
+    mine, text = F.col(f"`{id_col}`"), F.col(f"`{text_col}`")
+    keyed = docs.withColumn("__key", document_key(mine, text))
+    ids = F.struct(mine.isNull().alias("void"), mine.alias("id"), F.col("__key").alias("key"))
+    groups = simhash_groups(keyed.select(ids.alias("__id"), text.alias("text")), "__id", "text", words, bits)
+    kept = groups.select(F.col("component_id.key").alias("__key")).distinct()
+    return keyed.join(kept, "__key", "left_semi").dropDuplicates(["__key"]).select(*[F.col(f"`{c}`") for c in docs.columns])
