@@ -26,7 +26,7 @@ def _domain(quality: Column, toxic: Column) -> Column:
 
 
 def with_posteriors(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """``docs`` with __tokens and __p0, __p1, __p2: posteriors of ``DOMAINS``, rounded to 3 digits and adding up to 1.
+    """``docs`` with __mix: tokens and p0, p1, p2, the posteriors of ``DOMAINS``, rounded to 3 digits and adding up to 1.
 
     Word heads that at least 8 toxic sample rows hold and that lean to them by over six standard deviations form the
     vocabulary, at most ``VOCABULARY``; it is part of the model. A softmax regression on their summed log odds and the
@@ -61,23 +61,30 @@ def with_posteriors(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     mean, sd = standardise(x) if learnt else (np.zeros(11), np.ones(11))
     fitted = fit_softmax(expand((x - mean) / sd), np.array([r.y for r in learnt], dtype=int), 3) if len(sizes) > 1 else np.zeros((23, 3))
 
-    # the row number keeps filters on what follows from being pushed below it, where they would evaluate the measures again and again
-    src = docs.withColumns({"__row": F.monotonically_increasing_id(), "__m": F.concat(measures(F.col(text_col)), F.array(lean(_heads(F.col(text_col)))))})
-    src = src.withColumn("__s", F.array(*linear_columns([F.col("__m")[i] for i in range(11)], mean, sd, fitted)))
-    top = F.array_max("__s")
-    src = src.withColumn("__e", F.transform("__s", lambda s: F.exp(s - top)))
-    total = F.col("__e")[0] + F.col("__e")[1] + F.col("__e")[2]
-    tokens = F.size(F.array_remove(F.split(F.coalesce(F.col(text_col), F.lit("")), r"\s+"), "")).cast("long")
-    src = src.withColumns({"__tokens": tokens, "__p1": F.round(F.col("__e")[1] / total, 3), "__p2": F.round(F.col("__e")[2] / total, 3)})
-    return src.withColumn("__p0", F.greatest(F.round(1 - F.col("__p1") - F.col("__p2"), 3), F.lit(0.0))).drop("__m", "__s", "__e")
+    def shares(e: Column) -> Column:
+        total = e[0] + e[1] + e[2]
+        p1, p2 = F.round(e[1] / total, 3), F.round(e[2] / total, 3)
+        tokens = F.size(F.array_remove(F.split(F.coalesce(F.col(text_col), F.lit("")), r"\s+"), "")).cast("long")
+        return F.struct(tokens.alias("tokens"), F.greatest(F.round(1 - p1 - p2, 3), F.lit(0.0)).alias("p0"), p1.alias("p1"), p2.alias("p2"))
 
+    def softmax(s: Column) -> Column:
+        return let(F.transform(s, lambda x: F.exp(x - F.array_max(s))), shares)
 
-def mixing_rates(docs: DataFrame, labels: DataFrame, target: dict[str, float] | None = None, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = SAMPLE_ROWS, steps: int = 40) -> DataFrame:
-    """``docs`` with __tokens, __p0 to __p2 and __rate: how often each document is to be used.
+    def scores(m: Column) -> Column:
+        return let(F.array(*linear_columns([m[i] for i in range(11)], mean, sd, fitted)), softmax)
+
+    own = F.concat(measures(F.col(text_col)), F.array(lean(_heads(F.col(text_col)))))
+    # a filter is not pushed below the row number, where it would evaluate all this once more
+    return docs.withColumns({"__mix": let(own, scores), "__row": F.monotonically_increasing_id()})
+
+
+def mixing_rates(docs: DataFrame, labels: DataFrame, target: dict[str, float] | None = None, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = SAMPLE_ROWS, max_repeat: float = 1.0, steps: int = 40) -> DataFrame:
+    """``docs`` with __mix and __rate: how often each document is to be used.
 
     Rates are nonnegative and minimise the squared relative gaps between expected domain tokens, the sum of rate times
     tokens times posterior, and their targets, by projected gradient steps from rate 1. The targets' total is what uses
-    the first domain once, so clean documents are not thinned out. Posteriors have three digits, so documents meet in at
+    the first domain once, so clean documents are not thinned out; a domain's target is at most ``max_repeat`` times the
+    tokens that it has, so a scarce domain is not repeated without end. Posteriors have three digits, so documents meet in at
     most 501,501 cells; a step is one aggregation over the cells and a few numbers to the driver. A document's rate
     follows from its posteriors and these numbers alone, so the fit is applied row by row without a join.
 
@@ -86,31 +93,26 @@ def mixing_rates(docs: DataFrame, labels: DataFrame, target: dict[str, float] |
     """
     target = TARGET if target is None else target
     posts = with_posteriors(docs, labels, id_col, text_col, sample_rows)
-    cells = cut(posts.groupBy("__p0", "__p1", "__p2").agg(F.sum("__tokens").alias("t")))
-    mass = list(cells.agg(*[F.coalesce(F.sum(F.col("t") * F.col(f"__p{k}")), F.lit(0.0)) for k in range(3)]).first())
+    cells = cut(posts.groupBy("__mix.p0", "__mix.p1", "__mix.p2").agg(F.sum("__mix.tokens").alias("t")))
+    mass = list(cells.agg(*[F.coalesce(F.sum(F.col("t") * F.col(f"p{k}")), F.lit(0.0)) for k in range(3)]).first())
     share = [target[d] for d in DOMAINS]
     total = mass[0] / share[0] if share[0] > 0 and mass[0] > 0 else sum(mass)
-    want = [s * total for s in share]
+    want = [min(s * total, max_repeat * m) for s, m in zip(share, mass, strict=True)]
     moves: list[list[float]] = []
-
-    def rate() -> Column:
-        if not moves:
-            return F.lit(1.0)
-        listed = F.array(*[F.array(*map(F.lit, m)) for m in moves])
-        return F.aggregate(listed, F.lit(1.0), lambda r, m: F.greatest(F.lit(0.0), r - (m[0] * F.col("__p0") + m[1] * F.col("__p1") + m[2] * F.col("__p2"))))
-
     state = cells.withColumn("rate", F.lit(1.0))
-    for step in range(steps):
-        got = state.agg(*[F.coalesce(F.sum(F.col("t") * F.col("rate") * F.col(f"__p{k}")), F.lit(0.0)) for k in range(3)]).first()
+    for _ in range(steps):
+        got = state.agg(*[F.coalesce(F.sum(F.col("t") * F.col("rate") * F.col(f"p{k}")), F.lit(0.0)) for k in range(3)]).first()
         move = [(g - w) / m if m > 0 else 0.0 for g, w, m in zip(got, want, mass, strict=True)]
         if max(map(abs, move)) < 1e-4:
             break
         moves.append(move)
-        change = F.lit(move[0]) * F.col("__p0") + F.lit(move[1]) * F.col("__p1") + F.lit(move[2]) * F.col("__p2")
-        state = state.withColumn("rate", F.greatest(F.lit(0.0), F.col("rate") - change))
-        if step % 10 == 9:
-            state = cut(state)
-    return posts.withColumn("__rate", rate())
+        state = cut(state.withColumn("rate", F.greatest(F.lit(0.0), F.col("rate") - sum((F.col(f"p{k}") * move[k] for k in range(1, 3)), F.col("p0") * move[0]))))
+    listed = F.array(*[F.array(*map(F.lit, m)) for m in moves]).cast("array<array<double>>")
+
+    def rate(x: Column) -> Column:
+        return F.aggregate(listed, F.lit(1.0), lambda r, m: F.greatest(F.lit(0.0), r - (m[0] * x["p0"] + m[1] * x["p1"] + m[2] * x["p2"])))
+
+    return posts.withColumn("__rate", let(F.col("__mix"), rate))
 
 
 def _copies(key: Column, rate: Column) -> Column:
@@ -121,8 +123,8 @@ def _copies(key: Column, rate: Column) -> Column:
 def mixing_report(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """One row per row of ``docs``: id, n_tokens, posteriors, rate, copies."""
     id_col = options.get("id_col", "doc_id")
-    columns = [F.col(f"__p{k}").alias(f"p_{d}") for k, d in enumerate(DOMAINS)]
-    return mixing_rates(docs, labels, **options).select(id_col, F.col("__tokens").alias("n_tokens"), *columns, F.col("__rate").alias("rate"), _copies(F.col(id_col), F.col("__rate")).alias("copies"))
+    columns = [F.col(f"__mix.p{k}").alias(f"p_{d}") for k, d in enumerate(DOMAINS)]
+    return mixing_rates(docs, labels, **options).select(id_col, F.col("__mix.tokens").alias("n_tokens"), *columns, F.col("__rate").alias("rate"), _copies(F.col(id_col), F.col("__rate")).alias("copies"))
 
 
 def mixed_documents(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
