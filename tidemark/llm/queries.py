@@ -13,12 +13,17 @@ from .line_dedup import line_dedup_report
 from .mixing import mixing_report
 from .quality import quality_report
 from .simhash import simhash_groups
+from .toxicity import toxicity_scores
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup_report(table(spark, sf_dir, "documents"))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -48,6 +53,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_line_dedup": op1_line_dedup,
+        "op3_toxicity": op3_toxicity,
         "op5_decontaminate": op5_decontaminate,
         "op6_quality": op6_quality,
         "op7_simhash": op7_simhash,
