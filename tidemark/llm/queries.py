@@ -14,6 +14,7 @@ from .line_dedup import line_dedup_report
 from .mixing import mixing_report
 from .quality import quality_report
 from .simhash import simhash_groups
+from .suffix_dedup import suffix_dedup
 from .toxicity import toxicity_scores
 
 
@@ -45,6 +46,10 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"), keep="largest")
 
@@ -63,6 +68,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_decontaminate": op5_decontaminate,
         "op6_quality": op6_quality,
         "op7_simhash": op7_simhash,
+        "op8_suffix_dedup": op8_suffix_dedup,
         "op9_exact_dedup": op9_exact_dedup,
         "op10_mixing": op10_mixing,
         "pipeline": pipeline,
