@@ -10,6 +10,7 @@ from .common import table
 from .decontaminate import decontaminate
 from .exact_dedup import exact_dedup
 from .html_text import extract_text
+from .licenses import license_scan
 from .line_dedup import line_dedup_report
 from .mixing import mixing_report
 from .quality import quality_report
@@ -22,6 +23,10 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup_report(table(spark, sf_dir, "documents"))
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(table(spark, sf_dir, "documents"))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -63,6 +68,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_line_dedup": op1_line_dedup,
+        "op2_license_scan": op2_license_scan,
         "op3_toxicity": op3_toxicity,
         "op4_html_text": op4_html_text,
         "op5_decontaminate": op5_decontaminate,
