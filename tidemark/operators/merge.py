@@ -176,16 +176,15 @@ def touch(state: DataFrame, keys: DataFrame, on: list[str], require_etag: bool =
 def tombstone(state: DataFrame, missing: DataFrame, on: list[str], close: bool = False) -> DataFrame:
     """Confirmed missing entities (with observed_at): live ones last checked no later get a tombstone; a stack closes too."""
     m = missing.groupBy(*on).agg(F.max("observed_at").alias("observed_at"))
-    both = state.join(m, on, "left")
     hit = F.coalesce(F.col("tombstoned_at").isNull() & (F.col("last_checked_at") <= F.col("observed_at")), F.lit(False))
-    out = both.withColumn("tombstoned_at", F.when(hit, F.col("observed_at")).otherwise(F.col("tombstoned_at")))
+    new = {"tombstoned_at": F.when(hit, F.col("observed_at")).otherwise(F.col("tombstoned_at"))}
     if "etag" in state.columns:
-        out = out.withColumn("etag", F.when(hit, "").otherwise(F.col("etag")))
+        new["etag"] = F.when(hit, "").otherwise(F.col("etag"))
     if "display_until" in state.columns:
-        out = out.withColumn("display_until", F.when(~hit, F.col("display_until")))
+        new["display_until"] = F.when(~hit, F.col("display_until"))
     if close:
-        out = out.withColumn("state", F.when(hit, "closed").otherwise(F.col("state")))
-    return out.select(*state.columns)
+        new["state"] = F.when(hit, "closed").otherwise(F.col("state"))
+    return state.join(m, on, "left").withColumns(new).select(*state.columns)
 
 
 def cascade_tombstone(children: DataFrame, pulls: DataFrame) -> DataFrame:
