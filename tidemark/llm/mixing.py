@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, let
-from .textstats import SAMPLE_ROWS, expand, fit_softmax, labelled_sample, linear_columns, measures, standardise
+from .textstats import MEASURES, SAMPLE_ROWS, expand, fit_softmax, labelled_sample, linear_columns, measures, standardise
 
 #: The domains that the labelled table tells apart, and default target shares of tokens.
 DOMAINS = ("clean", "toxic", "junk")
@@ -16,9 +16,9 @@ TARGET = {"clean": 0.90, "toxic": 0.04, "junk": 0.06}
 VOCABULARY = 1000
 
 
-def _heads(text: Column) -> Column:
-    """Distinct first five letters of the words of a text."""
-    return let(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}]+"), lambda w: F.array_distinct(F.transform(w, lambda x: F.substring(x, 1, 5))))
+def _heads(words: Column) -> Column:
+    """Distinct first five characters of words, in lower case."""
+    return F.array_distinct(F.transform(words, lambda x: F.lower(F.substring(x, 1, 5))))
 
 
 def _domain(quality: Column, toxic: Column) -> Column:
@@ -33,8 +33,8 @@ def with_posteriors(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     shape measures of the text gives the posteriors. Both are fitted on at most ``sample_rows`` labelled rows; scoring
     is a row's own affair, without a shuffle.
     """
-    columns = [_domain(F.col("__quality"), F.col("__toxic")).alias("y"), measures(F.col(text_col)).alias("m"), _heads(F.col(text_col)).alias("heads")]
-    sample = cut(labelled_sample(docs, labels, id_col, ["quality", "toxic"], sample_rows).select(*columns))
+    sample = labelled_sample(docs, labels, id_col, ["quality", "toxic"], sample_rows)
+    sample = cut(sample.select(_domain(F.col("__quality"), F.col("__toxic")).alias("y"), measures(F.col(text_col), _heads).alias("s")).select("y", "s.m", F.col("s.also").alias("heads")))
     sizes = {r.y: r.n for r in sample.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     n1, n = sizes.get(1, 0), sum(sizes.values())
     a, c = F.col("a"), F.col("c")
@@ -57,28 +57,29 @@ def with_posteriors(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
         return F.least(F.aggregate(F.array_intersect(heads, known), F.lit(0.0), lambda s, h: s + F.coalesce(F.element_at(weights, h), F.lit(0.0))), F.lit(30.0))
 
     learnt = sample.select("y", "m", lean(F.col("heads")).alias("lean")).collect()
-    x = np.array([[*r.m, r.lean] for r in learnt], dtype=float).reshape(len(learnt), 11)
-    mean, sd = standardise(x) if learnt else (np.zeros(11), np.ones(11))
-    fitted = fit_softmax(expand((x - mean) / sd), np.array([r.y for r in learnt], dtype=int), 3) if len(sizes) > 1 else np.zeros((23, 3))
+    x = np.array([[*r.m[:MEASURES], r.lean] for r in learnt], dtype=float).reshape(len(learnt), MEASURES + 1)
+    mean, sd = standardise(x) if learnt else (np.zeros(MEASURES + 1), np.ones(MEASURES + 1))
+    fitted = fit_softmax(expand((x - mean) / sd), np.array([r.y for r in learnt], dtype=int), 3) if len(sizes) > 1 else np.zeros((2 * MEASURES + 3, 3))
 
-    def shares(e: Column) -> Column:
-        total = e[0] + e[1] + e[2]
-        p1, p2 = F.round(e[1] / total, 3), F.round(e[2] / total, 3)
-        tokens = F.size(F.array_remove(F.split(F.coalesce(F.col(text_col), F.lit("")), r"\s+"), "")).cast("long")
-        return F.struct(tokens.alias("tokens"), F.greatest(F.round(1 - p1 - p2, 3), F.lit(0.0)).alias("p0"), p1.alias("p1"), p2.alias("p2"))
+    def scored(x: Column) -> Column:
+        def shares(e: Column) -> Column:
+            total = e[0] + e[1] + e[2]
+            p1, p2 = F.round(e[1] / total, 3), F.round(e[2] / total, 3)
+            return F.struct(x["m"][MEASURES].cast("long").alias("tokens"), F.greatest(F.round(1 - p1 - p2, 3), F.lit(0.0)).alias("p0"), p1.alias("p1"), p2.alias("p2"))
 
-    def softmax(s: Column) -> Column:
-        return let(F.transform(s, lambda x: F.exp(x - F.array_max(s))), shares)
+        def softmax(s: Column) -> Column:
+            return let(F.transform(s, lambda v: F.exp(v - F.array_max(s))), shares)
 
-    def scores(m: Column) -> Column:
-        return let(F.array(*linear_columns([m[i] for i in range(11)], mean, sd, fitted)), softmax)
+        def scores(leaning: Column) -> Column:
+            return let(F.array(*linear_columns([*[x["m"][i] for i in range(MEASURES)], leaning], mean, sd, fitted)), softmax)
+
+        return let(lean(x["also"]), scores)
 
-    own = F.concat(measures(F.col(text_col)), F.array(lean(_heads(F.col(text_col)))))
     # a filter is not pushed below the row number, where it would evaluate all this once more
-    return docs.withColumns({"__mix": let(own, scores), "__row": F.monotonically_increasing_id()})
+    return docs.withColumns({"__mix": let(measures(F.col(text_col), _heads), scored), "__row": F.monotonically_increasing_id()})
 
 
-def mixing_rates(docs: DataFrame, labels: DataFrame, target: dict[str, float] | None = None, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = SAMPLE_ROWS, max_repeat: float = 1.0, steps: int = 40) -> DataFrame:
+def mixing_rates(docs: DataFrame, labels: DataFrame, target: dict[str, float] | None = None, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = SAMPLE_ROWS, max_repeat: float = 1.0, steps: int = 40, with_text: bool = True) -> DataFrame:
     """``docs`` with __mix and __rate: how often each document is to be used.
 
     Rates are nonnegative and minimise the squared relative gaps between expected domain tokens, the sum of rate times
@@ -89,10 +90,13 @@ def mixing_rates(docs: DataFrame, labels: DataFrame, target: dict[str, float] |
     follows from its posteriors and these numbers alone, so the fit is applied row by row without a join.
 
     Null and empty texts have no tokens and rate as their posteriors say. Without labels all posteriors are equal.
-    Repeated rows count and are rated each. An empty table gives an empty result.
+    Repeated rows count and are rated each. An empty table gives an empty result. Without ``with_text`` the columns but
+    the identifier go and the texts are read once.
     """
     target = TARGET if target is None else target
     posts = with_posteriors(docs, labels, id_col, text_col, sample_rows)
+    if not with_text:
+        posts = cut(posts.select(id_col, "__mix"))
     cells = cut(posts.groupBy("__mix.p0", "__mix.p1", "__mix.p2").agg(F.sum("__mix.tokens").alias("t")))
     mass = list(cells.agg(*[F.coalesce(F.sum(F.col("t") * F.col(f"p{k}")), F.lit(0.0)) for k in range(3)]).first())
     share = [target[d] for d in DOMAINS]
@@ -124,7 +128,7 @@ def mixing_report(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """One row per row of ``docs``: id, n_tokens, posteriors, rate, copies."""
     id_col = options.get("id_col", "doc_id")
     columns = [F.col(f"__mix.p{k}").alias(f"p_{d}") for k, d in enumerate(DOMAINS)]
-    return mixing_rates(docs, labels, **options).select(id_col, F.col("__mix.tokens").alias("n_tokens"), *columns, F.col("__rate").alias("rate"), _copies(F.col(id_col), F.col("__rate")).alias("copies"))
+    return mixing_rates(docs, labels, with_text=False, **options).select(id_col, F.col("__mix.tokens").alias("n_tokens"), *columns, F.col("__rate").alias("rate"), _copies(F.col(id_col), F.col("__rate")).alias("copies"))
 
 
 def mixed_documents(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import BROADCAST_ROWS, cut, spread_join
-from .textstats import SAMPLE_ROWS, expand, fit_softmax, labelled_sample, linear_columns, measures, standardise
+from .textstats import MEASURES, SAMPLE_ROWS, expand, fit_softmax, labelled_sample, linear_columns, measures, standardise
 
 
 @dataclass
@@ -29,10 +29,10 @@ class EvidenceModel:
 def fit_evidence(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = SAMPLE_ROWS) -> EvidenceModel:
     """Fit the document classifier on at most ``sample_rows`` labelled rows; held-out rows (crc32 of the identifier divisible by 5) are never used."""
     got = labelled_sample(docs, labels, id_col, ["quality"], sample_rows).select(measures(F.col(text_col)).alias("m"), F.col("__quality").alias("y")).collect()
-    x = np.array([r.m for r in got], dtype=float).reshape(len(got), 10)
+    x = np.array([r.m[:MEASURES] for r in got], dtype=float).reshape(len(got), MEASURES)
     y = np.array([int(r.y > 0) for r in got], dtype=int)
     if len(set(y.tolist())) < 2:  # nothing to tell apart: neutral evidence
-        return EvidenceModel(np.zeros(10), np.ones(10), np.zeros((21, 2)))
+        return EvidenceModel(np.zeros(MEASURES), np.ones(MEASURES), np.zeros((2 * MEASURES + 1, 2)))
     mean, sd = standardise(x)
     return EvidenceModel(mean, sd, fit_softmax(expand((x - mean) / sd), y, 2))
 
@@ -42,7 +42,7 @@ def _prior_strength(m: float, spread: float) -> float:
     return min(1e6, max(1.0, m * (1 - m) / spread - 1)) if spread > 0 else 1e6
 
 
-def quality_scores(docs: DataFrame, labels: DataFrame, host: Column | None = None, path: Column | None = None, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+def quality_scores(docs: DataFrame, labels: DataFrame, host: Column | None = None, path: Column | None = None, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = SAMPLE_ROWS, with_text: bool = True) -> DataFrame:
     """``docs`` with __log_odds (text evidence), __host_quality, __path_quality and __quality (their combination, 0 to 1).
 
     ``host`` and ``path`` default to the columns source and lang: a path belongs to a host. The document classifier's
@@ -53,13 +53,17 @@ def quality_scores(docs: DataFrame, labels: DataFrame, host: Column | None = Non
 
     A hot host is pre-aggregated before any shuffle. Site posteriors are broadcast if a count allows it, else joined
     with hot sites spread. Null host or path: a site of its own. Null text counts as empty. No labels: text evidence is
-    neutral. Repeated rows count and are scored each. An empty table gives an empty result.
+    neutral. Repeated rows count and are scored each. An empty table gives an empty result. Without ``with_text`` the
+    columns but the identifier go and the texts are read once; with it they are read twice, for the sites and for the
+    result, but never shuffled.
     """
     model = fit_evidence(docs, labels, id_col, text_col, sample_rows)
     scored = docs.withColumn("__m", measures(F.col(text_col)))
     host = F.coalesce((F.col("source") if host is None else host).cast("string"), F.lit("\x00"))
     path = F.coalesce((F.col("lang") if path is None else path).cast("string"), F.lit("\x00"))
     scored = scored.withColumn("__log_odds", model.log_odds(F.col("__m"))).drop("__m").withColumn("__site", F.struct(host.alias("host"), path.alias("path")))
+    if not with_text:
+        scored = cut(scored.select(id_col, "__log_odds", "__site"))
     p = 1 / (1 + F.exp(-F.col("__log_odds")))
     paths = cut(scored.groupBy("__site").agg(F.sum(p).alias("s"), F.count(F.lit(1)).alias("n")))
     hosts = cut(paths.groupBy(F.col("__site.host").alias("host")).agg(F.sum("s").alias("hs"), F.sum("n").alias("hn")))
@@ -87,7 +91,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, host: Column | None = Non
 def quality_report(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, **options) -> DataFrame:
     """One row per row of ``docs``: id, log_odds, host_quality, path_quality, quality, kept (quality >= threshold)."""
     id_col = options.get("id_col", "doc_id")
-    return quality_scores(docs, labels, **options).select(
+    return quality_scores(docs, labels, with_text=False, **options).select(
         id_col,
         F.col("__log_odds").alias("log_odds"),
         F.col("__host_quality").alias("host_quality"),

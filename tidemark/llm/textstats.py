@@ -20,21 +20,33 @@ def learnable(id_col: str) -> Column:
     return F.crc32(F.col(id_col).cast("string")) % 5 != 0
 
 
-def measures(text: Column) -> Column:
-    """An array of ten shape measures of a text; null counts as empty."""
+#: Measures that classifiers use; one more, the number of words, follows them.
+MEASURES = 10
+
+
+def measures(text: Column, also=None) -> Column:
+    """An array of ``MEASURES`` shape measures of a text and its number of words; null counts as empty.
+
+    Letters of a kind are counted by the length of the text without them; one translation marks three kinds at once.
+    With ``also``, a function of the array of words, a struct of the array ``m`` and its result ``also``.
+    """
     text = F.coalesce(text, F.lit(""))
+    kinds = (SYMBOLS, string.ascii_uppercase, string.digits)
+    marked = F.translate(text, "".join(kinds), "".join(chr(i + 1) * len(k) for i, k in enumerate(kinds)))
     chars = F.greatest(F.length(text), F.lit(1)).cast("double")
 
-    def share(letters: str) -> Column:
-        return (F.length(text) - F.length(F.translate(text, letters, ""))) / chars
+    def share(of: Column, letter: str) -> Column:
+        return (F.octet_length(of) - F.octet_length(F.replace(of, F.lit(letter), F.lit("")))) / chars
 
     def of_words(w: Column) -> Column:
-        n = F.greatest(F.size(w), F.lit(1)).cast("double")
-        variety = F.size(F.array_distinct(w)) / n
-        return F.array(variety, chars / n, F.log1p(n), variety * F.log1p(n))
-
-    plain = F.array(share(SYMBOLS), share(string.ascii_uppercase), share(string.digits), share("\n"), share("|"), share("!"))
-    return F.concat(plain, let(F.array_remove(F.split(text, r"\s+"), ""), of_words))
+        n = F.size(w).cast("double")
+        some = F.greatest(n, F.lit(1.0))
+        variety = F.size(F.array_distinct(w)) / some
+        rest = [share(text, "\n"), share(text, "|"), share(text, "!"), variety, chars / some, F.log1p(some), variety * F.log1p(some), n]
+        m = F.concat(let(marked, lambda x: F.array(*[share(x, chr(i + 1)) for i in range(3)])), F.array(*rest))
+        return m if also is None else F.struct(m.alias("m"), also(w).alias("also"))
+
+    return let(F.array_remove(F.split(text, r"\s+"), ""), of_words)
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, label_cols: list[str], sample_rows: int) -> DataFrame:
