@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..fixtures import fx, run_sql
 from ..operators import drift as d
-from .registry import query, us
+from .registry import query
 
 UP = "SELECT repo_id, CASE WHEN number % 53 = 0 THEN number + 900000000 ELSE number END AS number, CASE WHEN number % 13 = 0 THEN title || ' *' ELSE title END AS title, CASE WHEN number % 19 = 0 THEN 'closed' ELSE state END AS state, CASE WHEN number % 26 = 0 THEN NULL ELSE head_sha END AS head_sha FROM fx_pulls WHERE number % 17 <> 0"
 FIELDS = ["title", "state", "head_sha"]

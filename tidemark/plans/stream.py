@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..fixtures import fx, run_sql
 from ..operators import changes as c
-from .registry import query, us
+from .registry import query
 
 HORIZON = "SELECT 'entities' AS stream, 2000 AS pruned_through_seq UNION ALL SELECT 'work_items', 500"
 SAFE = "SELECT stream, coalesce(min(CASE WHEN NOT committed THEN seq END) - 1, max(seq)) AS safe_seq FROM fx_change_events GROUP BY stream"
