@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, bounded_broadcast, cut, document_key, let
+from .common import BROADCAST_ROWS, ascii_lower, bounded_broadcast, cut, document_key, let
 
 #: What separates words once A-Z are lower-cased: every ASCII character but digits and lower-case letters.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -75,7 +75,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     cols = let(words_of(F.col(text_col)), lambda w: F.struct(w.alias("words"), probes(w).alias("probes")))
     src = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), cols.alias("c"))
     src = src.select("row", "id", F.col("c.words").alias("words"), F.col("c.probes").alias("probes"))
-    if bounded := n_anchors <= 200_000:
+    if bounded := n_anchors <= BROADCAST_ROWS:
         found = src.select("row", "id", "words", F.posexplode("probes").alias("pos", "anchor"))
         found = found.join(bounded_broadcast(anchors, n_anchors), "anchor", "left").where("pos = 0 or lens is not null")
     else:
