@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions.scalars import known_sha
 
@@ -263,8 +262,3 @@ def unmatched_counts(df: DataFrame, rules: DataFrame) -> DataFrame:
     """Deliveries per event that no rule knows."""
     known = rules.select(F.col("r_event").alias("event")).distinct()
     return df.join(F.broadcast(known), "event", "left_anti").groupBy("event").agg(F.count(F.lit(1)).alias("n"))
-
-
-def first_per_window(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")

@@ -6,7 +6,6 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 #: fixed values: how mergeability and review decisions are classed
 MERGEABLE = {"MERGEABLE": "mergeable", "CLEAN": "mergeable", "CONFLICTING": "conflicting", "DIRTY": "conflicting", "UNKNOWN": "unknown", "": "unknown"}
@@ -142,8 +141,3 @@ def coverage(repos: DataFrame, facts: dict[str, DataFrame]) -> DataFrame:
     for name, df in sorted(facts.items()):
         out = out.join(df.groupBy("repo_id").agg(F.count(F.lit(1)).alias(name)), "repo_id", "left").withColumn(name, F.coalesce(name, F.lit(0)))
     return out.withColumn("covered", reduce(lambda a, b: a & b, [F.col(n) > 0 for n in sorted(facts)]))
-
-
-def newest_per_key(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    w = Window.partitionBy(*keys).orderBy(*[F.desc(c) for c in order])
-    return df.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")

@@ -240,7 +240,7 @@ def _test(value: Column, op: str, bound: float) -> Column:
     return {"<": value < bound, ">": value > bound, "==": value == bound}[op]
 
 
-def increases(samples: DataFrame, step_s: int = 60) -> DataFrame:
+def increases(samples: DataFrame) -> DataFrame:
     """Counter samples (at, name, labels, value) as growth per step; a counter that falls was reset and counts from 0."""
     w = Window.partitionBy("name", "lkey").orderBy("at")
     grown = F.col("value") - F.lag("value").over(w)
@@ -258,7 +258,7 @@ def evaluate_alerts(samples: DataFrame, rules: list | None = None, step_s: int =
     slot = F.floor(F.unix_micros(F.col("at").cast("timestamp")) / step)
     lkey = F.array_join(F.transform(F.array_sort(F.map_entries("labels")), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ",")
     grid = samples.select(slot.alias("slot"), "name", "labels", lkey.alias("lkey"), "at", "value").groupBy("slot", "name", "lkey").agg(F.max_by("value", "at").alias("value"), F.first("labels").alias("labels"), F.max("at").alias("at"))
-    grid = increases(grid, step_s).persist()
+    grid = increases(grid).persist()
     slots = grid.select("slot").distinct()
 
     def of(name: str, labels: dict | None) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.session import checkpoint_dir
 from .merge import dense_sequence
 
 #: fixed values: causal order of kinds at one instant
@@ -95,11 +96,7 @@ def stack_components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
     """
     both = edges.select("repo_id", "number", F.col("parent").alias("other")).unionByName(edges.select("repo_id", F.col("parent").alias("number"), F.col("number").alias("other"))).persist()
     label = both.groupBy("repo_id", "number").agg(F.min("other").alias("root")).withColumn("root", F.least("root", "number"))
-    if edges.sparkSession.sparkContext.getCheckpointDir() is None:
-        import tempfile
-
-        context = edges.sparkSession.sparkContext
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="tidemark-"))
+    checkpoint_dir(edges.sparkSession)
     label = label.checkpoint()
     for _ in range(max_rounds):
         jump = label.alias("l").join(label.select("repo_id", F.col("number").alias("root"), F.col("root").alias("far")), ["repo_id", "root"], "left").select("repo_id", "number", F.least("root", F.coalesce("far", "root")).alias("root"))

@@ -259,6 +259,12 @@ def _(spark, sf):
     return _rules(spark).select("line", "pattern", F.size("tokens").alias("owners"))
 
 
+@query("d2_compile_patterns", """WITH f AS (SELECT DISTINCT path FROM fx_changed_files) SELECT line, count(*) AS n FROM f JOIN (VALUES (2, '.*'), (3, '^fr(/.*)?$'), (4, '^en/[^/]*$'), (5, '^(.*/)?de(/.*)?$'), (7, '^es(/.*)?$')) v(line, regex) ON regexp_matches(path, regex) GROUP BY line""")
+def _(spark, sf):
+    files = fx(spark, sf, "changed_files").select("path").distinct().withColumn("source_id", F.lit("s"))
+    return files.join(F.broadcast(_rules(spark)), "source_id").where(F.regexp_like("path", F.col("regex"))).groupBy("line").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("d3_resolve_owners", OWNED)
 def _(spark, sf):
     files = fx(spark, sf, "changed_files").select(F.lit("s").alias("source_id"), "repo_id", "pr_number", "path")

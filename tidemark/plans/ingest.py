@@ -6,8 +6,11 @@ from pyspark.sql import functions as F
 
 from ..fixtures import NOW, fx, run_sql
 from ..functions.scalars import actor_kind
+from ..functions.session import scratch
 from ..operators import dispatch as d
 from ..sources.deliveries import conformance_report, decode_payload, project_envelope, split_poison
+from ..sources.recordings import read_recording
+from ..sources.snapshots import append_events, read_snapshot, write_snapshot
 from .registry import query, us
 
 # payloads of the fixture deliveries; every 40th is a form, every 77th broken
@@ -66,6 +69,16 @@ def _(spark, sf):
     return envelopes(spark, sf).select("arrival", "p.action", "p.number", F.col("p.repository.full_name").alias("repo"), "p.ref")
 
 
+@query("a4_read_recording", "SELECT CASE event_type WHEN 'view' THEN 'pull_request' ELSE 'push' END AS kind, count(*) AS n, CAST(sum(event_id) AS BIGINT) AS seqs FROM events GROUP BY 1")
+def _(spark, sf):
+    path = scratch(spark, "recording")
+    body = "SELECT '{\"seq\":' || CAST(event_id AS STRING) || ',\"at_ms\":' || CAST(event_id * 10 AS STRING) || ',\"kind\":\"' || CASE event_type WHEN 'view' THEN 'pull_request' ELSE 'push' END || '\"}' AS value FROM events"
+    lines = run_sql(spark, sf, body).unionByName(spark.createDataFrame([('{"type":"recording","version":1}',)], "value string"))
+    lines.write.text(path)
+    _, events = read_recording(spark, path)
+    return events.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.sum("seq").alias("seqs"))
+
+
 @query("a5_rules", "SELECT * FROM (VALUES ('check_run', 1), ('check_suite', 1), ('issue_comment', 1), ('pull_request', 2), ('pull_request_review', 1), ('pull_request_review_comment', 1), ('pull_request_review_thread', 1), ('push', 2)) v(event, n)")
 def _(spark, sf):
     return d.load_rules(spark).groupBy(F.col("r_event").alias("event")).agg(F.count(F.lit(1)).cast("int").alias("n"))
@@ -91,6 +104,23 @@ def _(spark, sf):
     return conformance_report(split_poison(decode_payload(payloads(spark, sf)))[0], rules)
 
 
+@query("a8_write_snapshot", "SELECT state, count(*) AS n FROM fx_pulls WHERE number % 2 = 0 GROUP BY state")
+def _(spark, sf):
+    path, pulls = scratch(spark, "snapshot"), fx(spark, sf, "pulls")
+    write_snapshot(pulls, path, 1)
+    write_snapshot(pulls.where("number % 2 = 0"), path, 2)
+    return read_snapshot(spark, path).groupBy("state").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("a9_append_events", "SELECT stream, count(*) AS n, max(seq) AS last FROM fx_change_events GROUP BY stream")
+def _(spark, sf):
+    path, events = scratch(spark, "events"), fx(spark, sf, "change_events")
+    append_events(events.where("seq % 2 = 0"), path, 0)
+    append_events(events.where("seq % 2 = 1"), path, 1)
+    append_events(events.where("seq % 2 = 1"), path, 1)  # a batch that comes again
+    return spark.read.parquet(path).groupBy("stream").agg(F.count(F.lit(1)).alias("n"), F.max("seq").alias("last"))
+
+
 @query("a10_dead_letters", f"SELECT event, count(*) AS n FROM fx_deliveries WHERE NOT ({GOOD}) GROUP BY event")
 def _(spark, sf):
     return split_poison(decode_payload(payloads(spark, sf)))[1].groupBy("event").agg(F.count(F.lit(1)).alias("n"))
