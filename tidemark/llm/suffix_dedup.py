@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import tempfile
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,29 +16,43 @@ from .common import cut
 
 GRAM = 64
 #: Bytes of a shard aimed at, and anchors with more places than this are dealt out by their distance from the start.
-SHARD_BYTES, HOT_PLACES, HOT_BLOCK = 4 << 20, 5000, 16
+SHARD_BYTES, HOT_PLACES, HOT_BLOCK = 1 << 20, 5000, 16
 #: Positions that the queues of a sort hold in memory; more go to files.
 QUEUE_POSITIONS = 24 << 20
 _MULTIPLIER = 0x9E3779B97F4A7C15 | 1
 
 
+_POWERS: dict[int, np.ndarray] = {}
+
+
 def _powers(n: int, base: int) -> np.ndarray:
-    out = np.full(n, base, dtype=np.uint64)
-    out[0] = 1
-    return np.multiply.accumulate(out)
+    """The first ``n`` powers modulo 2 ** 64, kept for the next text."""
+    known = _POWERS.get(base)
+    if known is None or len(known) < n:
+        known = np.full(max(n, 1 << 16), base, dtype=np.uint64)
+        known[0] = 1
+        known = np.multiply.accumulate(known)
+        if n <= 1 << 20:
+            _POWERS[base] = known
+    return known[:n]
+
+
+_INVERSE = pow(_MULTIPLIER, -1, 1 << 64)
 
 
 def gram_hashes(data: np.ndarray) -> np.ndarray:
     """A mixed hash of every ``GRAM`` bytes, from prefix sums of a polynomial modulo 2 ** 64."""
     n = len(data) - GRAM + 1
-    inverse = pow(_MULTIPLIER, -1, 1 << 64)
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _powers(len(data), inverse), out=sums[1:])
-    h = (sums[GRAM:] - sums[:-GRAM]) * _powers(n, _MULTIPLIER)
+    sums = np.empty(len(data) + 1, np.uint64)
+    sums[0] = 0
+    np.add.accumulate((data + np.uint64(1)) * _powers(len(data), _INVERSE), out=sums[1:])
+    h = sums[GRAM:] - sums[:-GRAM]
+    h *= _powers(n, _MULTIPLIER)
     for shift, factor in ((31, 0xBF58476D1CE4E5B9), (29, 0x94D049BB133111EB)):
         h ^= h >> np.uint64(shift)
         h *= np.uint64(factor)
-    return h ^ (h >> np.uint64(32))
+    h ^= h >> np.uint64(32)
+    return h
 
 
 def anchors_of(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -101,9 +117,8 @@ def suffix_array(t: np.ndarray, depth: int) -> np.ndarray:
     """
     n = len(t)
     step = np.sign(t[:-1].astype(np.int32) - t[1:].astype(np.int32))
-    known = np.flatnonzero(step)
-    following = known[np.minimum(np.searchsorted(known, np.arange(n - 1)), len(known) - 1)] if len(known) else np.zeros(n - 1, np.int64)
-    is_s = np.concatenate([step[following] < 0, [True]])
+    known = np.flatnonzero(step)  # equal neighbours are of the type of the next that differ
+    is_s = np.append(np.repeat(step[known] < 0, np.diff(known, prepend=-1)), True)
     lms = np.flatnonzero(is_s & np.concatenate([[False], ~is_s[:-1]]))
     coded = (t.astype(np.uint64) << np.uint64(1)) | is_s
     ends = np.append(lms[1:], n - 1)
@@ -191,28 +206,40 @@ def repeated_starts(pieces: list[bytes], counts: np.ndarray, length: int) -> lis
 
 
 def _find_anchors(length: int):
-    def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            found = []
-            for key, text in zip(batch["key"], batch["text"], strict=True):
-                at, first, last, h = anchors_of(np.frombuffer(text.encode(), np.uint8), length)
-                found.append(pd.DataFrame({"key": [key] * len(at), "at": at, "lo": first, "hi": last, "anchor": h}))
-                if sum(map(len, found)) > 50_000:
-                    yield pd.concat(found)
-                    found = []
-            if found:
-                yield pd.concat(found)
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for start in range(0, whole.num_rows, 200):
+                batch = whole.slice(start, 200)
+                found = [anchors_of(np.frombuffer(text.encode(), np.uint8), length) for text in batch.column("text").to_pylist()]
+                owner = pa.array(np.repeat(np.arange(len(found)), [len(f[0]) for f in found]))
+                yield pa.RecordBatch.from_arrays([batch.column("key").take(owner), *[pa.array(np.concatenate([f[i] for f in found])) for i in range(4)]], ["key", "at", "lo", "hi", "anchor"])
 
     return of
 
 
 def _sort_shard(length: int):
+    """Equal pieces of an anchor are one piece whose starts all repeat; the distinct pieces of an anchor are sorted if there are two or more."""
+
     def of(shard: pd.DataFrame) -> pd.DataFrame:
+        counts = (shard["hi"] - shard["lo"]).to_numpy() + 1
+        places: dict[tuple, list[int]] = {}
+        for i, name in enumerate(zip(shard["anchor"], shard["piece"], strict=True)):
+            places.setdefault(name, []).append(i)
+        distinct = Counter(anchor for anchor, _ in places)
+        contested = [name for name in places if distinct[name[0]] > 1]
+        hits = {}
+        if contested:
+            sizes = np.array([counts[places[name][0]] for name in contested])
+            hits = dict(zip(contested, repeated_starts([piece for _, piece in contested], sizes, length), strict=True))
         keys, lo, out = shard["key"].tolist(), shard["lo"].to_numpy(), []
-        counts = shard["hi"].to_numpy() - lo + 1
-        for key, start, hit in zip(keys, lo, repeated_starts(shard["piece"].tolist(), counts, length), strict=True):
-            edge = np.flatnonzero(np.diff(np.concatenate([[False], hit, [False]]).astype(np.int8)))
-            out.extend((key, int(start + a), int(start + b - 1 + length)) for a, b in edge.reshape(-1, 2))
+        for name, at in places.items():
+            if len(at) > 1:
+                edges = [(0, counts[at[0]])]
+            elif name in hits:
+                edges = np.flatnonzero(np.diff(np.concatenate([[False], hits[name], [False]]).astype(np.int8))).reshape(-1, 2)
+            else:
+                continue
+            out.extend((keys[i], int(lo[i] + a), int(lo[i] + b - 1 + length)) for i in at for a, b in edges)
         return pd.DataFrame(out, columns=["key", "start", "stop"])
 
     return of
@@ -229,7 +256,7 @@ def repeated_spans(docs: DataFrame, text_col: str = "text", length: int = 400) -
     """
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     keyed = docs.select(F.unhex(F.md5(text)).alias("key"), text.alias("text")).where(F.octet_length("text") >= length)
-    anchors = cut(keyed.mapInPandas(_find_anchors(length), "key binary, at long, lo long, hi long, anchor long"))
+    anchors = cut(keyed.mapInArrow(_find_anchors(length), "key binary, at long, lo long, hi long, anchor long"))
     place = F.xxhash64("key", "at")
     places = anchors.groupBy("anchor").agg(F.min(place).alias("a"), F.max(place).alias("b"), F.count(F.lit(1)).alias("n")).where("a <> b").select("anchor", "n")
     found = cut(anchors.join(places, "anchor").groupBy("key").agg(F.collect_set(F.struct("at", "lo", "hi", "anchor", "n")).alias("found")))
@@ -244,9 +271,9 @@ def repeated_spans(docs: DataFrame, text_col: str = "text", length: int = 400) -
         "bytes",
         F.when(F.col("j") < 0, F.col("lo")).otherwise(F.greatest("lo", F.col("at") - HOT_BLOCK * F.col("j") - (HOT_BLOCK - 1))).alias("lo"),
         F.when(F.col("j") < 0, F.col("hi")).otherwise(F.least("hi", F.col("at") - HOT_BLOCK * F.col("j"))).alias("hi"),
-        F.pmod(F.xxhash64("anchor", "j"), F.lit(shards)).alias("shard"),
-    )
-    pieces = dealt.select("key", "lo", "hi", "shard", F.substring("bytes", F.col("lo").cast("int") + 1, (F.col("hi") - F.col("lo") + length).cast("int")).alias("piece"))
+        F.xxhash64("anchor", "j").alias("anchor"),
+    ).withColumn("shard", F.pmod("anchor", F.lit(shards)))
+    pieces = dealt.select("key", "lo", "hi", "anchor", "shard", F.substring("bytes", F.col("lo").cast("int") + 1, (F.col("hi") - F.col("lo") + length).cast("int")).alias("piece"))
     return pieces.groupBy("shard").applyInPandas(_sort_shard(length), "key binary, start long, stop long")
 
 
