@@ -11,7 +11,7 @@ from .decontaminate import decontaminate
 from .exact_dedup import exact_dedup
 from .html_text import extract_text
 from .licenses import license_scan
-from .line_dedup import line_dedup_report
+from .line_dedup import WHOLE, line_dedup_report
 from .mixing import mixing_report
 from .quality import quality_report
 from .simhash import simhash_groups
@@ -20,7 +20,7 @@ from .toxicity import toxicity_scores
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup_report(table(spark, sf_dir, "documents"))
+    return line_dedup_report(table(spark, sf_dir, "documents"), **WHOLE)
 
 
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
