@@ -14,6 +14,8 @@ DOMAINS = ("clean", "toxic", "junk")
 TARGET = {"clean": 0.90, "toxic": 0.04, "junk": 0.06}
 #: Word heads in the classifier's vocabulary at most.
 VOCABULARY = 1000
+#: Shares of a Newton step that are tried.
+STEP_SIZES = (1.0, 0.5, 0.25, 0.1, 0.03, 0.01)
 
 
 def _heads(words: Column) -> Column:
@@ -79,15 +81,18 @@ def with_posteriors(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     return docs.withColumns({"__mix": let(measures(F.col(text_col), _heads), scored), "__row": F.monotonically_increasing_id()})
 
 
-def mixing_rates(docs: DataFrame, labels: DataFrame, target: dict[str, float] | None = None, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = SAMPLE_ROWS, max_repeat: float = 1.0, steps: int = 40, with_text: bool = True) -> DataFrame:
+def mixing_rates(docs: DataFrame, labels: DataFrame, target: dict[str, float] | None = None, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = SAMPLE_ROWS, max_repeat: float | None = None, steps: int = 40, with_text: bool = True) -> DataFrame:
     """``docs`` with __mix and __rate: how often each document is to be used.
 
-    Rates are nonnegative and minimise the squared relative gaps between expected domain tokens, the sum of rate times
-    tokens times posterior, and their targets, by projected gradient steps from rate 1. The targets' total is what uses
-    the first domain once, so clean documents are not thinned out; a domain's target is at most ``max_repeat`` times the
-    tokens that it has, so a scarce domain is not repeated without end. Posteriors have three digits, so documents meet in at
-    most 501,501 cells; a step is one aggregation over the cells and a few numbers to the driver. A document's rate
-    follows from its posteriors and these numbers alone, so the fit is applied row by row without a join.
+    Rates are nonnegative and bring expected domain tokens, the sum of rate times tokens times posterior, to their
+    targets, with the least squared change of rates from 1. Such rates are 1 plus the posteriors times one number a
+    domain, or 0; the numbers are found by Newton steps of the best of ``STEP_SIZES``. The targets' total is what uses
+    the first domain once, so clean documents are not thinned out, and documents of a scarce domain are repeated. With
+    ``max_repeat`` the total is lowered until no domain's target is over that many times its tokens, so all shares are
+    met still. A domain without any tokens is left out, and targets that no rates meet are met as nearly as a slight
+    penalty on the numbers allows. Posteriors have three digits, so documents meet in at most 501,501 cells; a step is
+    two aggregations over the cells and a few numbers to the driver. A document's rate follows from its posteriors and
+    these numbers alone, so the fit is applied row by row without a join.
 
     Null and empty texts have no tokens and rate as their posteriors say. Without labels all posteriors are equal.
     Repeated rows count and are rated each. An empty table gives an empty result. Without ``with_text`` the columns but
@@ -101,20 +106,36 @@ def mixing_rates(docs: DataFrame, labels: DataFrame, target: dict[str, float] |
     mass = list(cells.agg(*[F.coalesce(F.sum(F.col("t") * F.col(f"p{k}")), F.lit(0.0)) for k in range(3)]).first())
     share = [target[d] for d in DOMAINS]
     total = mass[0] / share[0] if share[0] > 0 and mass[0] > 0 else sum(mass)
-    want = [min(s * total, max_repeat * m) for s, m in zip(share, mass, strict=True)]
-    moves: list[list[float]] = []
-    state = cells.withColumn("rate", F.lit(1.0))
+    if max_repeat is not None:
+        total = min([total, *[max_repeat * m / s for s, m in zip(share, mass, strict=True) if s > 0 and m > 0]])
+    want = np.array([s * total if m > 0 else 0.0 for s, m in zip(share, mass, strict=True)])
+    products = [(j, k) for j in range(3) for k in range(j, 3)]
+    ridge, at = 1e-6 * max(sum(mass), 1.0), np.zeros(3)
+
+    def rated(x, at: np.ndarray) -> Column:
+        return F.greatest(F.lit(0.0), 1 + x("p0") * float(at[0]) + x("p1") * float(at[1]) + x("p2") * float(at[2]))
+
+    def total_of(value: Column) -> Column:
+        return F.coalesce(F.sum(F.col("t") * value), F.lit(0.0))
+
     for _ in range(steps):
-        got = state.agg(*[F.coalesce(F.sum(F.col("t") * F.col("rate") * F.col(f"p{k}")), F.lit(0.0)) for k in range(3)]).first()
-        move = [(g - w) / m if m > 0 else 0.0 for g, w, m in zip(got, want, mass, strict=True)]
-        if max(map(abs, move)) < 1e-4:
+        now = rated(F.col, at)
+        used = (now > 0).cast("int")
+        row = cells.agg(*[total_of(now * F.col(f"p{k}")) for k in range(3)], *[total_of(used * F.col(f"p{j}") * F.col(f"p{k}")) for j, k in products]).first()
+        gaps = np.array(row[:3]) - want
+        if max(abs(gaps)) <= 1e-4 * max(total, 1.0):
             break
-        moves.append(move)
-        state = cut(state.withColumn("rate", F.greatest(F.lit(0.0), F.col("rate") - sum((F.col(f"p{k}") * move[k] for k in range(1, 3)), F.col("p0") * move[0]))))
-    listed = F.array(*[F.array(*map(F.lit, m)) for m in moves]).cast("array<array<double>>")
+        slopes = ridge * np.eye(3)
+        for (j, k), v in zip(products, row[3:], strict=True):
+            slopes[j, k] += v
+            slopes[k, j] += v if j != k else 0.0
+        step = np.linalg.solve(slopes, gaps + ridge * at)
+        tried = [at - size * step for size in STEP_SIZES]
+        squares = cells.agg(*[total_of(rated(F.col, x) * rated(F.col, x)) for x in tried]).first()
+        at = min(zip(squares, tried, strict=True), key=lambda v: v[0] / 2 - v[1] @ want + ridge / 2 * v[1] @ v[1])[1]
 
     def rate(x: Column) -> Column:
-        return F.aggregate(listed, F.lit(1.0), lambda r, m: F.greatest(F.lit(0.0), r - (m[0] * x["p0"] + m[1] * x["p1"] + m[2] * x["p2"])))
+        return rated(x.__getitem__, at)
 
     return posts.withColumn("__rate", let(F.col("__mix"), rate))
 
