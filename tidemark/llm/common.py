@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import string
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,6 +31,18 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def written(df: DataFrame) -> DataFrame:
+    """``df`` written as a compressed table to the checkpoint folder now, and read again: smaller than a checkpoint, and read by columns."""
+    path = f"{checkpoint_dir(df.sparkSession)}/tables/{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def packed(df: DataFrame) -> Column:
+    """The columns of ``df`` as one struct, so that no column made here can clash with theirs."""
+    return F.struct(*[F.col(f"`{c}`") for c in df.columns])
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z only. A text without other letters than ASCII takes the quicker built-in."""
     plain = F.length(text) == F.octet_length(text)
