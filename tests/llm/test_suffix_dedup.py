@@ -6,7 +6,7 @@ import numpy as np
 
 from tidemark.llm import suffix_dedup as module
 from tidemark.llm.common import table
-from tidemark.llm.suffix_dedup import repeated_starts, suffix_array, suffix_dedup
+from tidemark.llm.suffix_dedup import core_size, repeated_starts, suffix_array, suffix_dedup
 
 SCHEMA = "doc_id long, text string, key string, bytes string, spans int"
 
@@ -42,8 +42,9 @@ def test_suffix_array_matches_sorting(monkeypatch):
 
 def test_repeated_starts():
     a, b = b"abcdefghijklmnop", b"xxabcdefghijkzz"
-    hits = repeated_starts([a, b], np.array([len(a) - 9, len(b) - 9]), 10)
+    short, hits = repeated_starts([a, b], np.array([len(a) - 7, len(b) - 7]), (8, 10))
     assert [np.flatnonzero(h).tolist() for h in hits] == [[0, 1], [2, 3]]
+    assert [np.flatnonzero(h).tolist() for h in short] == [[0, 1, 2, 3], [2, 3, 4, 5]]
 
 
 def test_matches_brute_force(spark, monkeypatch):
@@ -53,6 +54,13 @@ def test_matches_brute_force(spark, monkeypatch):
     rows += [(100, None), (101, ""), (102, "y" * 900), (103, "ab" * 300), (104, rows[3][1]), (None, rows[5][1]), (3, rows[3][1]), (105, "y" * 120), (106, "short"), (107, "short")]
     df = spark.createDataFrame([(*r, "c", "c", 1) for r in rows], SCHEMA)
     assert got(suffix_dedup(df, length=100)) == brute(rows, 100)
+    also = suffix_dedup(df, length=100, passage=80)
+    assert got(also) == brute(rows, 100)
+    # passages of 80 bytes are always told of, and nothing that has no repeated string of a core's size
+    least, most = ({(*r[:2], r[2]): r[3] for r in brute(rows, n)} for n in (80, core_size(80)))
+    told = {(r.doc_id is None, r.doc_id or 0, r.n_bytes): r.n_repeated for r in also.collect()}
+    assert all((told[k] > 0) >= (least[k] > 0) and told[k] <= most[k] for k in told) and sum(v > 0 for v in told.values()) > 20
+    assert all(hashlib.sha256(bytes(r.kept)).hexdigest() == r.kept_sha256 for r in also.collect())
     monkeypatch.setattr(module, "HOT_PLACES", 1)
     monkeypatch.setattr(module, "SHARD_BYTES", 5000)
     assert got(suffix_dedup(df, length=100)) == brute(rows, 100)

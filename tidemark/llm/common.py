@@ -38,6 +38,23 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Words of a Bloom filter, each of 64 bits; its size doesn't grow with the input.
+FILTER_WORDS = 1 << 19
+
+
+def sieve(df: DataFrame, number: Column, wanted: DataFrame, words: int | None = None) -> DataFrame:
+    """``df`` without most of the rows whose evenly spread ``number`` is not in ``wanted`` (k), dropped where they are read.
+
+    A Bloom filter of bounded size, so an exact join has to follow; the more numbers are wanted, the less it drops.
+    """
+    words = words or FILTER_WORDS
+    bit = F.expr("shiftleft(1L, cast(k & 63 as int))")
+    known = wanted.select(F.shiftrightunsigned(F.col("k").bitwiseAND(words * 64 - 1), 6).alias("__word"), bit.alias("m")).groupBy("__word").agg(F.bit_or("m").alias("__bits"))
+    told = df.withColumn("__n", number).withColumn("__word", F.shiftrightunsigned(F.col("__n").bitwiseAND(words * 64 - 1), 6))
+    kept = told.join(F.broadcast(known), "__word").where(F.expr("shiftleft(1L, cast(__n & 63 as int))").bitwiseAND(F.col("__bits")) != 0)
+    return kept.drop("__word", "__n", "__bits")
+
+
 def packed(df: DataFrame) -> Column:
     """The columns of ``df`` as one struct, so that no column made here can clash with theirs."""
     return F.struct(*[F.col(f"`{c}`") for c in df.columns])

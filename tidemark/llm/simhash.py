@@ -8,7 +8,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, components, cut, document_key, let, spread_join
+from .common import ascii_lower, components, cut, document_key, let, packed, spread_join
 
 WHITE_SPACE = r"[\x20\x09-\x0D]+"
 #: Members of a posting up to which its pairs are listed; beyond it links come from one-bit neighbours.
@@ -35,7 +35,7 @@ def fingerprints(docs: DataFrame, id_col: str, text_col: str, words: int = 3) ->
 
     Two counters share a 64-bit sum, so that 32 sums count all 64 bits of a document without a row per bit.
     """
-    hashed = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), shingle_hashes(F.col(text_col), words).alias("hs"))
+    hashed = docs.select(F.monotonically_increasing_id().alias("row"), F.col(f"`{id_col}`").alias("id"), shingle_hashes(F.col(f"`{text_col}`"), words).alias("hs"))
     shingles = hashed.select("row", "id", F.explode_outer("hs").alias("h"))
     pair = F.lit((1 << 32) | 1)
     sums = [F.sum(F.shiftrightunsigned("h", i).bitwiseAND(pair)).alias(f"s{i}") for i in range(32)]
@@ -49,18 +49,19 @@ def fingerprints(docs: DataFrame, id_col: str, text_col: str, words: int = 3) ->
 def hamming_links(fps: DataFrame, bits: int = 2) -> DataFrame:
     """Links (a, b) that connect exactly what pairs of distinct fingerprints (column fp) at ``bits`` or fewer differing bits connect.
 
-    Each fingerprint is posted under the values of every choice of ``8 - bits`` of its 8 bytes with their positions.
-    Differing bits spoil at most ``bits`` bytes, so a linked pair shares at least ``8 - bits`` positional bytes and meets
-    in a posting; a pair that meets nowhere misses that minimum and is never formed. The tally of shared positional
-    bytes of a pair that met is counted over all 8, pairs below the minimum go, and the differing bits verify the rest.
+    The inverted index posts each fingerprint under bytes with their positions, four bytes a posting: its four 16-bit
+    words, two at a time. Differing bits spoil at most ``bits`` bytes and as many words, so a linked pair shares at least
+    two words and meets in a posting, and it shares at least ``8 - bits`` positional bytes. Pairs that met share four
+    bytes for certain; their shared positional bytes are tallied, pairs below the guaranteed minimum go, and the differing
+    bits verify the rest.
 
-    A posting holds distinct fingerprints that agree in all but ``8 * bits`` bits, so its size is bounded whatever the
-    input. In one of over ``PAIRED_POSTING`` members pairs are not listed: with 2 bits, members are linked through the
-    values that differ from them in one of the free bits; all that share such a value are within 2 bits of each other.
+    A posting holds distinct fingerprints that agree in 32 bits. In one of over ``PAIRED_POSTING`` members pairs are not
+    listed: members are linked through the values that differ from them in one of the free bits. With 2 bits all that
+    share such a value are within 2 bits of each other; with 1 bit one of the two is the value itself.
     """
     if bits not in (1, 2):
         raise ValueError("bits is 1 or 2")
-    masks = [_signed(sum(0xFF << (8 * p) for p in kept)) for kept in combinations(range(8), 8 - bits)]
+    masks = [_signed(sum(0xFFFF << (16 * w) for w in kept)) for kept in combinations(range(4), 2)]
     posted = fps.select("fp", F.explode(F.array(*[F.lit(m) for m in masks])).alias("mask")).withColumn("part", F.col("fp").bitwiseAND(F.col("mask")))
     postings = cut(posted.groupBy("mask", "part").agg(F.collect_list("fp").alias("members")).where(F.size("members") > 1))
     listed = (
@@ -68,20 +69,28 @@ def hamming_links(fps: DataFrame, bits: int = 2) -> DataFrame:
         .select("members", F.posexplode("members").alias("i", "a"))
         .select("a", F.explode(F.slice("members", F.col("i") + 2, F.size("members"))).alias("b"))
     )
-    apart = F.col("a").bitwiseXOR(F.col("b"))
-    tally = reduce(lambda x, y: x + y, [(apart.bitwiseAND(_signed(0xFF << (8 * p))) == 0).cast("int") for p in range(8)])
-    pairs = listed.where((tally >= 8 - bits) & (F.bit_count(apart) <= bits)).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    met = listed.select("a", "b", shared_bytes(F.col("a"), F.col("b")).alias("tally")).where(F.col("tally") >= 8 - bits)
+    pairs = met.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= bits).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     flips = F.array(F.lit(0).cast("long"), *[F.lit(_signed(1 << i)) for i in range(64)])
     free = F.filter(flips, lambda f: f.bitwiseAND(F.col("mask")) == 0)
     near = (
         postings.where(F.size("members") > PAIRED_POSTING)
         .select("mask", F.explode("members").alias("a"))
-        .select("a", F.explode(free if bits == 2 else F.array(F.lit(0).cast("long"))).alias("f"))
+        .select("a", F.explode(free).alias("f"))
         .select("a", F.col("a").bitwiseXOR(F.col("f")).alias("via"))
         .distinct()
     )
-    low = near.groupBy("via").agg(F.min("a").alias("b"))
-    return pairs.unionByName(near.join(low, "via").where("a <> b").select("a", "b").distinct())
+    if bits == 1:
+        through = near.where("a <> via").join(near.where("a = via").select("via", F.col("a").alias("b")), "via").select("a", "b")
+    else:
+        through = near.join(near.groupBy("via").agg(F.min("a").alias("b")), "via").where("a <> b").select("a", "b")
+    return pairs.unionByName(through.distinct())
+
+
+def shared_bytes(a: Column, b: Column) -> Column:
+    """How many of the 8 positional bytes agree."""
+    apart = a.bitwiseXOR(b)
+    return reduce(lambda x, y: x + y, [(apart.bitwiseAND(_signed(0xFF << (8 * p))) == 0).cast("int") for p in range(8)])
 
 
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, bits: int = 2) -> DataFrame:
@@ -103,8 +112,8 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 def one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, bits: int = 2) -> DataFrame:
     """``docs`` with one row of each group of ``simhash_groups``: that of the smallest identifier; of rows that repeat identifier and text one stays."""
     mine, text = F.col(f"`{id_col}`"), F.col(f"`{text_col}`")
-    keyed = docs.withColumn("__key", document_key(mine, text))
-    ids = F.struct(mine.isNull().alias("void"), mine.alias("id"), F.col("__key").alias("key"))
-    groups = simhash_groups(keyed.select(ids.alias("__id"), text.alias("text")), "__id", "text", words, bits)
-    kept = groups.select(F.col("component_id.key").alias("__key")).distinct()
-    return keyed.join(kept, "__key", "left_semi").dropDuplicates(["__key"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    keyed = docs.select(mine.alias("id"), text.alias("text"), document_key(mine, text).alias("key"), packed(docs).alias("doc"))
+    ids = F.struct(F.col("id").isNull().alias("void"), "id", "key")
+    groups = simhash_groups(keyed.select(ids.alias("id"), "text"), "id", "text", words, bits)
+    kept = groups.select(F.col("component_id.key").alias("key")).distinct()
+    return keyed.join(kept, "key", "left_semi").dropDuplicates(["key"]).select("doc.*")

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import tempfile
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,10 +10,11 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import cut
+from .common import cut, sieve, spread_join, written
 
-GRAM = 64
+GRAM, CLASSES = 64, 2
 #: Bytes of a shard aimed at, and anchors with more places than this are dealt out by their distance from the start.
 SHARD_BYTES, HOT_PLACES, HOT_BLOCK = 1 << 20, 5000, 16
 #: Positions that the queues of a sort hold in memory; more go to files.
@@ -40,14 +40,15 @@ def _powers(n: int, base: int) -> np.ndarray:
 _INVERSE = pow(_MULTIPLIER, -1, 1 << 64)
 
 
-def gram_hashes(data: np.ndarray) -> np.ndarray:
-    """A mixed hash of every ``GRAM`` bytes, from prefix sums of a polynomial modulo 2 ** 64."""
-    n = len(data) - GRAM + 1
+def _prefix_sums(data: np.ndarray) -> np.ndarray:
+    """Sums of a polynomial modulo 2 ** 64, from which the hash of any range follows."""
     sums = np.empty(len(data) + 1, np.uint64)
     sums[0] = 0
     np.add.accumulate((data + np.uint64(1)) * _powers(len(data), _INVERSE), out=sums[1:])
-    h = sums[GRAM:] - sums[:-GRAM]
-    h *= _powers(n, _MULTIPLIER)
+    return sums
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
     for shift, factor in ((31, 0xBF58476D1CE4E5B9), (29, 0x94D049BB133111EB)):
         h ^= h >> np.uint64(shift)
         h *= np.uint64(factor)
@@ -55,12 +56,22 @@ def gram_hashes(data: np.ndarray) -> np.ndarray:
     return h
 
 
-def anchors_of(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(at, first, last, hash): the positions of the smallest gram, leftmost of equals, in some ``length`` bytes, and the first and last start whose smallest gram it is.
+def core_size(length: int) -> int:
+    """Bytes that the strings of ``length`` bytes of an anchor and class have in common."""
+    return length + 1 + -(length - GRAM + 1) // CLASSES
 
-    Equal strings of ``length`` bytes have their anchors at equal distances, with equal hashes.
+
+def anchors_of(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(at, first, last, hash, core): the positions of the smallest gram, leftmost of equals, in some ``length`` bytes, the first
+    and last start whose smallest gram it is, a hash of the bytes that all these starts' strings have in common, and where these
+    ``core_size`` bytes begin.
+
+    An anchor's starts are dealt into ``CLASSES`` by their distance from it, so that more bytes are common to them than the
+    gram alone. Equal strings of ``length`` bytes have their anchors at equal distances, with equal hashes.
     """
-    h = gram_hashes(data)
+    sums = _prefix_sums(data)
+    n = len(data) - GRAM + 1
+    h = _mixed((sums[GRAM:] - sums[:-GRAM]) * _powers(n, _MULTIPLIER))
     w, starts = length - GRAM + 1, len(data) - length + 1
     ranked = (h & ~np.uint64(0xFFFFFFFF)) | np.arange(len(h), dtype=np.uint64)
     filled = np.full(-(-len(h) // w) * w, np.iinfo(np.uint64).max)
@@ -68,9 +79,14 @@ def anchors_of(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, n
     ahead = np.minimum.accumulate(filled.reshape(-1, w), axis=1).ravel()
     back = np.minimum.accumulate(filled.reshape(-1, w)[:, ::-1], axis=1)[:, ::-1].ravel()
     at = (np.minimum(back[:starts], ahead[w - 1 : w - 1 + starts]) & np.uint64(0xFFFFFFFF)).astype(np.int64)
-    first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+    width = -(-w // CLASSES)
+    kind = (at - np.arange(starts)) // width
+    first = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1]) | (kind[1:] != kind[:-1])]))
     last = np.concatenate([first[1:] - 1, [starts - 1]])
-    return at[first], first, last, h[at[first]].view(np.int64)
+    at, kind = at[first], kind[first]
+    begin = at - kind * width
+    common = (sums[begin + core_size(length)] - sums[begin]) * _powers(len(data), _MULTIPLIER)[begin]
+    return at, first, last, _mixed(common + kind.astype(np.uint64)).view(np.int64), begin
 
 
 class _Queue:
@@ -175,8 +191,10 @@ def suffix_array(t: np.ndarray, depth: int) -> np.ndarray:
     return np.concatenate(out)[::-1]
 
 
-def repeated_starts(pieces: list[bytes], counts: np.ndarray, length: int) -> list[np.ndarray]:
-    """For each piece which of its first ``count`` positions start a string of ``length`` bytes that starts elsewhere too."""
+def repeated_starts(pieces: list[bytes], counts: np.ndarray, lengths: tuple[int, ...]) -> list[list[np.ndarray]]:
+    """For each of ``lengths``, in rising order, and each piece, which of its first ``count`` positions start a string of that
+    length that starts elsewhere too; every one of these positions has the least of the lengths before the piece's end.
+    """
     sizes = np.fromiter(map(len, pieces), dtype=np.int64, count=len(pieces))
     begin = np.concatenate([[0], np.cumsum(sizes + 1)[:-1]])
     total = int(sizes.sum()) + len(pieces)
@@ -186,84 +204,99 @@ def repeated_starts(pieces: list[bytes], counts: np.ndarray, length: int) -> lis
         raw[b : b + len(p)] = np.frombuffer(p, np.uint8)
         t[b : b + len(p)] = raw[b : b + len(p)].astype(np.uint16) + 2
     t[-1] = 0
-    wanted = np.zeros(total + 1, bool)
-    for b, c in zip(begin, counts, strict=True):
-        wanted[b : b + c] = True
-    order = suffix_array(t, length)
-    order = order[wanted[order]]
+    room = np.zeros(total + 1, np.int64)
+    for b, c, size in zip(begin, counts, sizes, strict=True):
+        room[b : b + c] = size - np.arange(c)
+    order = suffix_array(t, lengths[-1])
+    order = order[room[order] > 0]
     # common prefixes of neighbours, eight bytes at a time, as long as they last
     word = np.zeros(total + 1, np.uint64)
     for i in range(8):
         word |= raw[i : total + 1 + i].astype(np.uint64) << np.uint64(8 * i)
     left, right = order[:-1], order[1:]
-    alive = np.arange(len(left))
-    for offset in [*range(0, length - 7, 8), *([length - 8] if length % 8 else [])]:
-        alive = alive[word[left[alive] + offset] == word[right[alive] + offset]]
-    repeated = np.zeros(total + 1, bool)
-    repeated[left[alive]] = True
-    repeated[right[alive]] = True
-    return [repeated[b : b + c] for b, c in zip(begin, counts, strict=True)]
+    alive, done, out = np.arange(len(left)), 0, []
+    for length in lengths:
+        # the neighbour among those with room for the length is found by leaving the others out
+        if length > lengths[0]:
+            some = order[room[order] >= length]
+            left, right = some[:-1], some[1:]
+            alive, done = np.arange(len(left)), 0
+        for offset in [*range(done, length - 7, 8), *([length - 8] if length % 8 else [])]:
+            alive = alive[word[left[alive] + offset] == word[right[alive] + offset]]
+        repeated = np.zeros(total + 1, bool)
+        repeated[left[alive]] = True
+        repeated[right[alive]] = True
+        out.append([repeated[b : b + c] for b, c in zip(begin, counts, strict=True)])
+    return out
 
 
-def _find_anchors(length: int):
+def _find_anchors(lengths: tuple[int, ...]):
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for start in range(0, whole.num_rows, 200):
                 batch = whole.slice(start, 200)
-                found = [anchors_of(np.frombuffer(text.encode(), np.uint8), length) for text in batch.column("text").to_pylist()]
-                owner = pa.array(np.repeat(np.arange(len(found)), [len(f[0]) for f in found]))
-                yield pa.RecordBatch.from_arrays([batch.column("key").take(owner), *[pa.array(np.concatenate([f[i] for f in found])) for i in range(4)]], ["key", "at", "lo", "hi", "anchor"])
+                texts = [np.frombuffer(text.encode(), np.uint8) for text in batch.column("text").to_pylist()]
+                for length in lengths:
+                    some = [i for i, text in enumerate(texts) if len(text) >= length]
+                    found = [anchors_of(texts[i], length) for i in some]
+                    owner = pa.array(np.repeat(some, [len(f[0]) for f in found]).astype(np.int64))
+                    columns = [pa.array(np.concatenate([np.zeros(0, np.int64), *[f[i] for f in found]])) for i in range(5)]
+                    yield pa.RecordBatch.from_arrays([batch.column("key").take(owner), *columns, pa.array(np.full(len(owner), length, np.int32))], ["key", "at", "lo", "hi", "anchor", "core", "length"])
 
     return of
 
 
-def _sort_shard(length: int):
-    """Equal pieces of an anchor are one piece whose starts all repeat; the distinct pieces of an anchor are sorted if there are two or more."""
+def _sort_shard(lengths: tuple[int, ...]):
+    """Which starts of the distinct pieces of each anchor repeat: those of a piece with copies all, others as the sort of an anchor's pieces tells."""
 
     def of(shard: pd.DataFrame) -> pd.DataFrame:
-        counts = (shard["hi"] - shard["lo"]).to_numpy() + 1
-        places: dict[tuple, list[int]] = {}
-        for i, name in enumerate(zip(shard["anchor"], shard["piece"], strict=True)):
-            places.setdefault(name, []).append(i)
-        distinct = Counter(anchor for anchor, _ in places)
-        contested = [name for name in places if distinct[name[0]] > 1]
-        hits = {}
-        if contested:
-            sizes = np.array([counts[places[name][0]] for name in contested])
-            hits = dict(zip(contested, repeated_starts([piece for _, piece in contested], sizes, length), strict=True))
-        keys, lo, out = shard["key"].tolist(), shard["lo"].to_numpy(), []
-        for name, at in places.items():
-            if len(at) > 1:
-                edges = [(0, counts[at[0]])]
-            elif name in hits:
-                edges = np.flatnonzero(np.diff(np.concatenate([[False], hits[name], [False]]).astype(np.int8))).reshape(-1, 2)
-            else:
-                continue
-            out.extend((keys[i], int(lo[i] + a), int(lo[i] + b - 1 + length)) for i in at for a, b in edges)
-        return pd.DataFrame(out, columns=["key", "start", "stop"])
+        pieces, counts = shard["piece"].tolist(), shard["starts"].to_numpy()
+        several = shard.groupby("anchor")["anchor"].transform("size").to_numpy() > 1
+        rows = np.flatnonzero(several)
+        hits = [{} for _ in lengths]
+        if len(rows):
+            sorted_ = repeated_starts([pieces[i] for i in rows], counts[rows], lengths)
+            hits = [dict(zip(rows.tolist(), h, strict=True)) for h in sorted_]
+        anchors, digests, copies, out = shard["anchor"].tolist(), shard["digest"].tolist(), shard["copies"].tolist(), []
+        for i, piece in enumerate(pieces):
+            for kind, length in enumerate(lengths):
+                if copies[i] > 1:
+                    edges = [(0, min(counts[i], len(piece) - length + 1))] if len(piece) >= length else []
+                elif i in hits[kind]:
+                    edges = np.flatnonzero(np.diff(np.concatenate([[False], hits[kind][i], [False]]).astype(np.int8))).reshape(-1, 2)
+                else:
+                    edges = []
+                out.extend((anchors[i], digests[i], length, int(a), int(b - 1 + length)) for a, b in edges)
+        return pd.DataFrame(out, columns=["anchor", "digest", "length", "a", "b"])
 
     return of
 
 
-def repeated_spans(docs: DataFrame, text_col: str = "text", length: int = 400) -> DataFrame:
-    """(key, start, stop): byte ranges of distinct texts (key: their MD5) covered by strings of ``length`` bytes that start elsewhere in distinct texts too.
+def repeated_anchors(keyed: DataFrame, lengths: tuple[int, ...]) -> DataFrame:
+    """(key, at, lo, hi, anchor, core, length, n) for the anchors of distinct texts that stand at ``n`` places, two or more. ``keyed`` are (key: a digest, text), copies allowed."""
+    anchors = written(keyed.mapInArrow(_find_anchors(lengths), "key binary, at long, lo long, hi long, anchor long, core long, length int"))
+    place = F.xxhash64("key", "lo")
+    places = cut(anchors.groupBy("anchor", "length").agg(F.min(place).alias("a"), F.max(place).alias("b"), F.count(F.lit(1)).alias("n")).where("a <> b").select("anchor", "length", "n"))
+    return sieve(anchors, F.col("anchor"), places.select(F.col("anchor").alias("k"))).join(places, ["anchor", "length"])
+
 
-    Every start of ``length`` bytes has an anchor, the smallest hash of the grams in it. Equal strings have equal anchors
-    at equal distances, so only starts whose anchor occurs at two places or more can repeat, and all places of an anchor
-    go to one shard with the bytes that their starts need. A shard is sorted by suffixes; neighbours with a common prefix
-    of ``length`` bytes repeat. Anchors of very many places are dealt out over shards by the distance from start to
-    anchor, in which equal strings agree.
+def repeated_spans(keyed: DataFrame, anchors: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
+    """(key, start, stop): byte ranges of distinct texts covered by strings of ``length`` bytes that start elsewhere in distinct
+    texts too, and the texts (key, text) that may hold any. ``keyed`` are (key: a digest, text), copies allowed, ``anchors``
+    theirs of that length that repeat.
+
+    Every start of ``length`` bytes has an anchor, the smallest hash of the grams in it, with more of the bytes around it.
+    Equal strings have equal anchors at equal distances, so only starts whose anchor occurs at two places or more can
+    repeat, and their pieces, the bytes that they need, are compared by anchor. Equal pieces are first brought together by
+    their digests, within tasks and then across: of a passage that many texts hold one piece is sorted, and its places
+    learn the verdict by digest. The distinct pieces of an anchor go to one shard, which is sorted by suffixes; neighbours
+    with a common prefix of ``length`` bytes repeat. Anchors of very many places are dealt out over shards by the distance
+    from start to anchor, in which equal strings agree.
     """
-    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
-    keyed = docs.select(F.unhex(F.md5(text)).alias("key"), text.alias("text")).where(F.octet_length("text") >= length)
-    anchors = cut(keyed.mapInArrow(_find_anchors(length), "key binary, at long, lo long, hi long, anchor long"))
-    place = F.xxhash64("key", "at")
-    places = anchors.groupBy("anchor").agg(F.min(place).alias("a"), F.max(place).alias("b"), F.count(F.lit(1)).alias("n")).where("a <> b").select("anchor", "n")
-    found = cut(anchors.join(places, "anchor").groupBy("key").agg(F.collect_set(F.struct("at", "lo", "hi", "anchor", "n")).alias("found")))
-    size = found.select(F.explode("found").alias("f")).agg(F.sum(F.col("f.hi") - F.col("f.lo") + length)).first()[0] or 0
-    shards = max(1, -(-size // SHARD_BYTES))
-    texts = keyed.join(found, "key").dropDuplicates(["key"])
-    each = texts.select("key", F.col("text").cast("binary").alias("bytes"), F.explode("found").alias("f")).select("key", "bytes", "f.*")
+    lengths = (length,)
+    found = cut(anchors.groupBy("key").agg(F.collect_set(F.struct("at", "lo", "hi", "anchor", "n")).alias("found")))
+    held = sieve(keyed, F.xxhash64("key"), found.select(F.xxhash64("key").alias("k"))).groupBy("key").agg(F.first("text").alias("text"))
+    each = held.join(found, "key").select("key", F.col("text").cast("binary").alias("bytes"), F.explode("found").alias("f")).select("key", "bytes", "f.*")
     hot = F.col("n") > HOT_PLACES
     block = F.explode(F.when(hot, F.sequence(F.expr(f"(at - hi) div {HOT_BLOCK}"), F.expr(f"(at - lo) div {HOT_BLOCK}"))).otherwise(F.array(F.lit(-1).cast("long"))))
     dealt = each.select("key", "bytes", "at", "lo", "hi", "anchor", block.alias("j")).select(
@@ -272,46 +305,67 @@ def repeated_spans(docs: DataFrame, text_col: str = "text", length: int = 400) -
         F.when(F.col("j") < 0, F.col("lo")).otherwise(F.greatest("lo", F.col("at") - HOT_BLOCK * F.col("j") - (HOT_BLOCK - 1))).alias("lo"),
         F.when(F.col("j") < 0, F.col("hi")).otherwise(F.least("hi", F.col("at") - HOT_BLOCK * F.col("j"))).alias("hi"),
         F.xxhash64("anchor", "j").alias("anchor"),
-    ).withColumn("shard", F.pmod("anchor", F.lit(shards)))
-    pieces = dealt.select("key", "lo", "hi", "anchor", "shard", F.substring("bytes", F.col("lo").cast("int") + 1, (F.col("hi") - F.col("lo") + length).cast("int")).alias("piece"))
-    return pieces.groupBy("shard").applyInPandas(_sort_shard(length), "key binary, start long, stop long")
+    )
+    pieces = dealt.select("key", "lo", (F.col("hi") - F.col("lo") + 1).alias("starts"), "anchor", F.substring("bytes", F.col("lo").cast("int") + 1, (F.col("hi") - F.col("lo") + length).cast("int")).alias("piece"))
+    pieces = pieces.withColumn("digest", F.unhex(F.md5("piece")))
+    distinct = written(pieces.groupBy("anchor", "digest", "starts").agg(F.first("piece").alias("piece"), F.count(F.lit(1)).alias("copies")))
+    size = distinct.agg(F.sum(F.length("piece"))).first()[0] or 0
+    shards = max(1, -(-size // SHARD_BYTES))
+    judged = distinct.withColumn("shard", F.pmod("anchor", F.lit(shards))).groupBy("shard").applyInPandas(_sort_shard(lengths), "anchor long, digest binary, length int, a long, b long")
+    verdicts = cut(judged.groupBy("anchor", "digest").agg(F.collect_set(F.struct("length", "a", "b")).alias("v")))
+    spans = pieces.select("key", "lo", "anchor", "digest").join(verdicts, ["anchor", "digest"]).select("key", "lo", F.explode("v").alias("v"))
+    return spans.select("key", (F.col("lo") + F.col("v.a")).alias("start"), (F.col("lo") + F.col("v.b")).alias("stop")), held
 
 
-def _merged(spans: Column) -> Column:
-    """Sorted ranges with those that touch joined."""
-    kind = "array<struct<start:bigint,stop:bigint>>"
+def _merged(spans: DataFrame) -> DataFrame:
+    """(key, length, start, stop) with the ranges that touch joined, for each key and length."""
+    order = Window.partitionBy("key", "length").orderBy("start", "stop")
+    before = F.max("stop").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    begins = spans.withColumn("new", (before.isNull() | (F.col("start") > before)).cast("int"))
+    return begins.withColumn("run", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0))).groupBy("key", "length", "run").agg(F.min("start").alias("start"), F.max("stop").alias("stop")).drop("run")
 
-    def add(done: Column, s: Column) -> Column:
-        last = F.element_at(done, -1)
-        joined = F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.struct(last["start"].alias("start"), F.greatest(last["stop"], s["stop"]).alias("stop"))))
-        return F.when((F.size(done) > 0) & (F.get(done, F.size(done) - 1)["stop"] >= s["start"]), joined).otherwise(F.concat(done, F.array(s)))
 
-    return F.aggregate(F.sort_array(spans), F.array().cast(kind), add)
+def _covered(spans: Column) -> Column:
+    return F.coalesce(F.aggregate(spans, F.lit(0).cast("bigint"), lambda a, s: a + s["stop"] - s["start"]), F.lit(0).cast("bigint"))
 
 
-def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400) -> DataFrame:
-    """One row per row of ``docs``: id, n_bytes, n_removed, n_spans, kept_sha256, kept (the remaining bytes).
+def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, passage: int = 250) -> DataFrame:
+    """One row per row of ``docs``: id, n_bytes, n_removed, n_spans, kept_sha256, n_repeated, kept (the remaining bytes).
 
     Removed is each byte covered by a string of ``length`` bytes that also starts anywhere else, in the same or another
-    text; all strings are judged on the input. Texts that occur in two rows or more repeat as a whole. Null is empty.
-    Repeated rows count as occurrences. An empty table gives an empty result. Other columns are ignored.
+    text; all strings are judged on the input. ``n_repeated`` tells of shorter passages, which are not removed: it counts
+    the bytes of anchors' cores of strings of ``passage`` bytes (``core_size``, 157 of 250) that stand elsewhere too; every
+    string of ``passage`` bytes that repeats holds one. Texts that occur in two rows or more repeat as a whole. Null is
+    empty. Repeated rows count as occurrences. An empty table gives an empty result. Other columns are ignored.
     """
-    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
-    rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.unhex(F.md5(text)).alias("key"), text.cast("binary").alias("bytes"))
-    twice = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    spans = repeated_spans(docs, text_col, length).groupBy("key").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
-    known = cut(spans.join(twice, "key", "full").select("key", F.coalesce(_merged(F.col("spans")), F.array().cast("array<struct<start:bigint,stop:bigint>>")).alias("spans"), (F.coalesce("n", F.lit(1)) > 1).alias("copied")))
-    n_bytes = F.length("bytes")
-    joined = rows.join(known, "key", "left")
-    whole = F.coalesce("copied", F.lit(False)) & (n_bytes >= length)
-    all_of_it = F.array(F.struct(F.lit(0).cast("bigint").alias("start"), n_bytes.cast("bigint").alias("stop")))
-    none = F.array().cast("array<struct<start:bigint,stop:bigint>>")
-    judged = joined.select("id", "bytes", F.when(whole, all_of_it).otherwise(F.coalesce("spans", none)).alias("gone"))
-    removed = F.aggregate("gone", F.lit(0).cast("bigint"), lambda a, s: a + s["stop"] - s["start"])
-    last = F.lit(0).cast("bigint")
-    begins = F.concat(F.array(last), F.transform("gone", lambda s: s["stop"]))
-    ends = F.concat(F.transform("gone", lambda s: s["start"]), F.array(F.length("bytes").cast("bigint")))
-    parts = F.zip_with(begins, ends, lambda a, b: F.substring(F.col("bytes"), (a + 1).cast("int"), (b - a).cast("int")))
-    kept = F.when(F.size("gone") == 0, F.col("bytes")).otherwise(F.aggregate(parts, F.lit(b"").cast("binary"), lambda a, p: F.concat(a, p)))
-    out = judged.select("id", F.length("bytes").cast("long").alias("n_bytes"), removed.alias("n_removed"), F.size("gone").cast("long").alias("n_spans"), kept.alias("kept"))
-    return out.select(F.col("id").alias(id_col), "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), "kept")
+    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
+    rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.unhex(F.md5(text)).alias("key"), text.alias("text"))
+    keyed = rows.select("key", "text")
+    anchors = cut(repeated_anchors(keyed, (passage, length) if passage < length else (length,)))
+    spans, held = repeated_spans(keyed, anchors.where(F.col("length") == length), length)
+    cores = anchors.where(F.col("length") == passage).select("key", F.lit(passage).alias("length"), F.col("core").alias("start"), (F.col("core") + core_size(passage)).alias("stop"))
+    ranges = _merged(spans.select("key", F.lit(length).alias("length"), "start", "stop").unionByName(cores)).groupBy("key")
+    of_length = [F.sort_array(F.collect_list(F.when(F.col("length") == n, F.struct("start", "stop")))).alias(name) for n, name in ((length, "gone"), (passage, "also"))]
+    found = ranges.agg(*of_length).select("key", "gone", _covered(F.col("also")).alias("n_repeated"))
+    cut_texts = held.join(found.where(F.size("gone") > 0).select("key", "gone"), "key")
+    # what remains is put together as hexadecimal digits, since strings can be joined in one pass
+    begins = F.concat(F.array(F.lit(0).cast("bigint")), F.transform("gone", lambda s: s["stop"]))
+    ends = F.concat(F.transform("gone", lambda s: s["start"]), F.array(F.octet_length("text").cast("bigint")))
+    parts = F.zip_with(begins, ends, lambda a, b: F.hex(F.substring(F.col("text").cast("binary"), (a + 1).cast("int"), (b - a).cast("int"))))
+    left = cut_texts.select("key", F.unhex(F.array_join(parts, "")).alias("left"))
+    known = found.select("key", F.size("gone").alias("n_spans"), _covered(F.col("gone")).alias("n_removed"), "n_repeated").join(left.select("key", "left", F.sha2("left", 256).alias("sha")), "key", "left")
+    copied = rows.where(F.octet_length("text") >= passage).groupBy("key").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1")
+    side = copied.join(known, "key", "full")
+    own = rows.select("id", "key", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("own"), F.col("text").cast("binary").alias("bytes"), F.xxhash64("id", "key").alias("spread"))
+    joined = spread_join(own, side, "key", "spread")
+    whole = F.coalesce("copies", F.lit(1)) > 1
+    gone, cut_any = whole & (F.col("n_bytes") >= length), F.coalesce("n_spans", F.lit(0)) > 0
+    return joined.select(
+        F.col("id").alias(id_col),
+        "n_bytes",
+        F.when(gone, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0).cast("long"))).alias("n_removed"),
+        F.when(gone, 1).otherwise(F.coalesce("n_spans", F.lit(0))).cast("long").alias("n_spans"),
+        F.when(gone, F.sha2(F.lit(b""), 256)).when(cut_any, F.col("sha")).otherwise(F.col("own")).alias("kept_sha256"),
+        F.when(whole & (F.col("n_bytes") >= passage), F.col("n_bytes")).otherwise(F.coalesce("n_repeated", F.lit(0).cast("long"))).alias("n_repeated"),
+        F.when(gone, F.lit(b"")).when(cut_any, F.col("left")).otherwise(F.col("bytes")).alias("kept"),
+    )
