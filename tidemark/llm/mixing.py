@@ -89,7 +89,8 @@ def mixing_rates(docs: DataFrame, labels: DataFrame, target: dict[str, float] |
     domain, or 0; the numbers are found by Newton steps of the best of ``STEP_SIZES``. The targets' total is what uses
     the first domain once, so clean documents are not thinned out, and documents of a scarce domain are repeated. With
     ``max_repeat`` the total is lowered until no domain's target is over that many times its tokens, so all shares are
-    met still. A domain without any tokens is left out, and targets that no rates meet are met as nearly as a slight
+    met still. A domain that ``target`` doesn't name keeps what it has beside the others' shares, one without any tokens is
+    left out, and targets that no rates meet are met as nearly as a slight
     penalty on the numbers allows. Posteriors have three digits, so documents meet in at most 501,501 cells; a step is
     two aggregations over the cells and a few numbers to the driver. A document's rate follows from its posteriors and
     these numbers alone, so the fit is applied row by row without a join.
@@ -104,7 +105,8 @@ def mixing_rates(docs: DataFrame, labels: DataFrame, target: dict[str, float] |
         posts = cut(posts.select(id_col, "__mix"))
     cells = cut(posts.groupBy("__mix.p0", "__mix.p1", "__mix.p2").agg(F.sum("__mix.tokens").alias("t")))
     mass = list(cells.agg(*[F.coalesce(F.sum(F.col("t") * F.col(f"p{k}")), F.lit(0.0)) for k in range(3)]).first())
-    share = [target[d] for d in DOMAINS]
+    share = [target.get(d, 0.0) for d in DOMAINS]
+    held = np.array([d in target and m > 0 for d, m in zip(DOMAINS, mass, strict=True)])
     total = mass[0] / share[0] if share[0] > 0 and mass[0] > 0 else sum(mass)
     if max_repeat is not None:
         total = min([total, *[max_repeat * m / s for s, m in zip(share, mass, strict=True) if s > 0 and m > 0]])
@@ -122,13 +124,14 @@ def mixing_rates(docs: DataFrame, labels: DataFrame, target: dict[str, float] |
         now = rated(F.col, at)
         used = (now > 0).cast("int")
         row = cells.agg(*[total_of(now * F.col(f"p{k}")) for k in range(3)], *[total_of(used * F.col(f"p{j}") * F.col(f"p{k}")) for j, k in products]).first()
-        gaps = np.array(row[:3]) - want
+        gaps = np.where(held, np.array(row[:3]) - want, 0.0)
         if max(abs(gaps)) <= 1e-4 * max(total, 1.0):
             break
         slopes = ridge * np.eye(3)
         for (j, k), v in zip(products, row[3:], strict=True):
             slopes[j, k] += v
             slopes[k, j] += v if j != k else 0.0
+        slopes = np.where(held[:, None] & held, slopes, np.eye(3))  # no number for a domain without a target
         step = np.linalg.solve(slopes, gaps + ridge * at)
         tried = [at - size * step for size in STEP_SIZES]
         squares = cells.agg(*[total_of(rated(F.col, x) * rated(F.col, x)) for x in tried]).first()
