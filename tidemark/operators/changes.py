@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def safe_seq(events: DataFrame) -> DataFrame:
@@ -57,15 +58,38 @@ def materialize(events: DataFrame, state: DataFrame, kinds: list[str]) -> DataFr
     return known.join(live, "entity_key", "left").withColumn("op", F.when(F.col("__live"), "upsert").otherwise("tombstone")).drop("__live")
 
 
+#: Sequence numbers of a bucket of ``after_counts``.
+BUCKET = 4096
+
+
+def after_counts(events: DataFrame, points: DataFrame) -> DataFrame:
+    """(stream, after_seq, outstanding, oldest): how many ``events`` (stream, seq, occurred_at) follow each of the ``points`` (stream, after_seq), and the earliest time among them.
+
+    Events are counted in buckets of sequence numbers; a point takes the running counts of the buckets after its own and
+    meets single events of its own bucket only, so the work grows with events and points, not with their product.
+    """
+    bucket = F.floor(F.col("seq") / BUCKET).alias("bucket")
+    e = events.select("stream", "seq", "occurred_at", bucket)
+    p = points.select("stream", "after_seq", F.floor(F.col("after_seq") / BUCKET).alias("bucket")).distinct()
+    counts = e.groupBy("stream", "bucket").agg(F.count(F.lit(1)).alias("n"), F.min("occurred_at").alias("first"))
+    every = counts.join(p.select("stream", "bucket").distinct(), ["stream", "bucket"], "full")
+    later = Window.partitionBy("stream").orderBy(F.col("bucket").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    beyond = every.select("stream", "bucket", F.sum("n").over(later).alias("more"), F.min("first").over(later).alias("more_first"))
+    inside = p.join(e, ["stream", "bucket"]).where("seq > after_seq").groupBy("stream", "after_seq").agg(F.count(F.lit(1)).alias("n"), F.min("occurred_at").alias("first"))
+    both = p.join(beyond, ["stream", "bucket"]).join(inside, ["stream", "after_seq"], "left")
+    return both.select("stream", "after_seq", (F.coalesce("more", F.lit(0)) + F.coalesce("n", F.lit(0))).alias("outstanding"), F.least("more_first", "first").alias("oldest"))
+
+
 def replay_advisory(requests: DataFrame, events: DataFrame, horizons: DataFrame, safe: DataFrame, limit: int) -> DataFrame:
     """What stands against a replay from after_seq: pruned_horizon, future_sequence, replay_limit_exceeded, or nothing.
 
-    Outstanding events are counted from per-stream running counts instead of a join per event.
+    Outstanding events are taken from running counts of ``after_counts``.
     """
     bounds = safe.join(horizons, "stream", "left").select("stream", "safe_seq", F.coalesce("pruned_through_seq", F.lit(0)).alias("pruned"))
     r = requests.join(bounds, "stream", "left")
-    seen = r.join(events.select("stream", "seq"), "stream", "left").where("seq > after_seq and seq <= safe_seq").groupBy("consumer", "stream").agg(F.count(F.lit(1)).alias("outstanding"))
-    out = r.join(seen, ["consumer", "stream"], "left").withColumn("outstanding", F.coalesce("outstanding", F.lit(0)))
+    safe_events = events.join(safe, "stream").where("seq <= safe_seq").select("stream", "seq", F.lit(None).cast("timestamp").alias("occurred_at"))
+    seen = after_counts(safe_events, requests).select("stream", "after_seq", "outstanding")
+    out = r.join(seen, ["stream", "after_seq"], "left").withColumn("outstanding", F.coalesce("outstanding", F.lit(0)))
     advice = F.when(F.col("after_seq") < F.col("pruned"), "pruned_horizon").when(F.col("after_seq") > F.col("safe_seq"), "future_sequence").when(F.col("outstanding") > limit, "replay_limit_exceeded").otherwise("ok")
     return out.select("consumer", "stream", "after_seq", "outstanding", advice.alias("advisory"))
 

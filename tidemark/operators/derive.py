@@ -40,8 +40,12 @@ def derive(snapshots: DataFrame, fn: Callable, schema: str = "scope_key string,
     return snapshots.groupBy("scope_key").applyInPandas(fn, schema)
 
 
-def validate_results(scopes: DataFrame, items: DataFrame) -> DataFrame:
-    """Problems of derived items (scope_key, identity_key, payload, repo_id): foreign scope, duplicate identity, wrong repository, payload that isn't JSON."""
+def validate_results(scopes: DataFrame, items: DataFrame, owners: DataFrame | None = None, complete: bool = False) -> DataFrame:
+    """Problems of derived items (scope_key, identity_key, payload, repo_id): foreign scope, duplicate identity, wrong repository, payload that isn't JSON.
+
+    With ``owners`` (identity_key, scope_key), items of identities that another scope owns are told of; with ``complete``,
+    claimed scopes without any item, by a null identity.
+    """
     claimed = scopes.select("scope_key").distinct().withColumn("__claimed", F.lit(True))
     counts = items.groupBy("identity_key").agg(F.count(F.lit(1)).alias("__n"))
     j = items.join(claimed, "scope_key", "left").join(counts, "identity_key")
@@ -51,7 +55,15 @@ def validate_results(scopes: DataFrame, items: DataFrame) -> DataFrame:
         .when(~F.coalesce(parse_scope(F.col("scope_key"))["repo_id"] == F.col("repo_id"), F.lit(False)), "wrong repository")
         .when(F.try_parse_json("payload").isNull(), "payload is not JSON")
     )
-    return j.withColumn("problem", problem).where("problem is not null").select("scope_key", "identity_key", "problem")
+    out = j.withColumn("problem", problem).where("problem is not null").select("scope_key", "identity_key", "problem")
+    if owners is not None:
+        owned = owners.select("identity_key", F.col("scope_key").alias("__owner")).distinct()
+        foreign = items.join(owned, "identity_key").where("__owner <> scope_key")
+        out = out.unionByName(foreign.select("scope_key", "identity_key", F.lit("identity of another scope").alias("problem")))
+    if complete:
+        absent = claimed.join(items.select("scope_key").distinct(), "scope_key", "left_anti")
+        out = out.unionByName(absent.select("scope_key", F.lit(None).cast("string").alias("identity_key"), F.lit("no result").alias("problem")))
+    return out
 
 
 def reconcile_items(state: DataFrame, scopes: DataFrame, items: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.scalars import known_sha
 
@@ -189,19 +190,24 @@ def coalesce_checks(df: DataFrame) -> DataFrame:
 def debounce(df: DataFrame, seconds: int = 5) -> DataFrame:
     """Windows of fixed length per (kind, key): the first intent opens one, later ones in it don't extend it, the next opens another.
 
-    Times are pre-aggregated to one per key and instant; a key's instants are folded in order.
+    Times are pre-aggregated to one per key and instant. An instant that comes a window or more after the one before it
+    opens a window for certain, so a key's history is cut there, and only the bursts between are folded in order.
     """
     micros = seconds * 1_000_000
-    times = df.groupBy("kind", "key").agg(F.sort_array(F.collect_set(F.unix_micros(F.col("received_at").cast("timestamp")))).alias("times"))
-    seed = F.array().cast("array<struct<opened:bigint,n:bigint>>")
+    instants = df.select("kind", "key", F.unix_micros(F.col("received_at").cast("timestamp")).alias("t")).distinct()
+    order = Window.partitionBy("kind", "key").orderBy("t")
+    before = F.lag("t").over(order)
+    bursts = instants.withColumn("cut", (before.isNull() | (F.col("t") >= before + micros)).cast("int")).withColumn("burst", F.sum("cut").over(order))
+    times = bursts.groupBy("kind", "key", "burst").agg(F.sort_array(F.collect_list("t")).alias("times"))
+    seed = F.struct(F.array().cast("array<bigint>").alias("opened"), F.lit(None).cast("bigint").alias("last"))
 
     def add(done: Column, t: Column) -> Column:
-        last = F.get(done, F.size(done) - 1)
-        grown = F.concat(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), F.array(F.struct(last["opened"].alias("opened"), (last["n"] + 1).alias("n"))))
-        opened = F.concat(done, F.array(F.struct(t.alias("opened"), F.lit(1).cast("bigint").alias("n"))))
-        return F.when((F.size(done) > 0) & (t < last["opened"] + micros), grown).otherwise(opened)
+        opens = done["last"].isNull() | (t >= done["last"] + micros)
+        return F.struct(F.when(opens, F.concat(done["opened"], F.array(t))).otherwise(done["opened"]).alias("opened"), F.when(opens, t).otherwise(done["last"]).alias("last"))
 
-    return times.select("kind", "key", F.explode(F.aggregate("times", seed, add)).alias("w")).select("kind", "key", F.col("w.opened").alias("opened_us"), (F.col("w.opened") + micros).alias("due_us"), F.col("w.n").alias("instants"))
+    opened = times.select("kind", "key", "times", F.aggregate("times", seed, add)["opened"].alias("opened")).select("kind", "key", "times", F.explode("opened").alias("opened_us"))
+    inside = F.size(F.filter("times", lambda t: (t >= F.col("opened_us")) & (t < F.col("opened_us") + micros)))
+    return opened.select("kind", "key", "opened_us", (F.col("opened_us") + micros).alias("due_us"), inside.cast("long").alias("instants"))
 
 
 def bump_generations(state: DataFrame, intents: DataFrame) -> DataFrame:

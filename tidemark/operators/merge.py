@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.session import checkpoint_dir
+
 
 @dataclass(frozen=True)
 class Spec:
@@ -206,7 +208,8 @@ def dense_sequence(df: DataFrame, order: list[str], start: int, name: str = "seq
     """Number rows from ``start`` by ``order`` without one task for all: sorted ranges, a count of each, offsets."""
     n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id())
-    ranged = ranged.persist()  # the numbers within ranges and the counts must be of one evaluation
+    checkpoint_dir(df.sparkSession)
+    ranged = ranged.checkpoint()  # the numbers within ranges and the counts must be of one evaluation, whatever executors are lost
     part = F.shiftright("__at", 33)
     sizes = sorted((r[0], r[1]) for r in ranged.groupBy(part.alias("p")).agg(F.count(F.lit(1)).alias("n")).collect())
     offsets, total = [], start

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.scalars import seconds_between
+from .changes import after_counts
 
 
 def _ts(text: str) -> Column:
@@ -70,10 +71,11 @@ def stream_metrics(events: DataFrame, safe: DataFrame, cutoff: str) -> DataFrame
 
 
 def consumer_lag(cursors: DataFrame, events: DataFrame, safe: DataFrame, now: str) -> DataFrame:
-    """Per consumer and stream: outstanding events and the oldest's age."""
-    e = events.join(F.broadcast(safe), "stream").where("seq <= safe_seq").select("stream", "seq", "occurred_at")
-    met = cursors.join(e, (cursors["stream"] == e["stream"]) & (F.col("seq") > F.col("cursor_seq")), "left").select("consumer", cursors["stream"], "seq", "occurred_at")
-    return met.groupBy("consumer", "stream").agg(F.count("seq").alias("outstanding"), F.coalesce(seconds_between(_ts(now), F.min("occurred_at")), F.lit(0.0)).alias("oldest_s"))
+    """Per consumer and stream: outstanding events and the oldest's age, from running counts."""
+    e = events.join(safe, "stream").where("seq <= safe_seq").select("stream", "seq", "occurred_at")
+    last = cursors.groupBy("consumer", "stream").agg(F.min("cursor_seq").alias("after_seq"))
+    met = last.join(after_counts(e, last), ["stream", "after_seq"], "left")
+    return met.select("consumer", "stream", F.coalesce("outstanding", F.lit(0)).alias("outstanding"), F.coalesce(seconds_between(_ts(now), F.col("oldest")), F.lit(0.0)).alias("oldest_s"))
 
 
 def backlogs(dirty: DataFrame, jobs: DataFrame) -> DataFrame:

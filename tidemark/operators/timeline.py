@@ -31,7 +31,10 @@ def normalize_timeline(df: DataFrame) -> DataFrame:
 
 
 def dedupe_timeline(df: DataFrame) -> DataFrame:
-    return df.dropDuplicates(["stable_key", "at"])
+    """One row per (stable_key, at): the least of the repeats by their other columns in turn, whatever the order of rows."""
+    rest = [c for c in df.columns if c not in ("stable_key", "at")]
+    least = df.groupBy("stable_key", "at").agg(F.min(F.struct(*rest)).alias("__least"))
+    return least.select(*[F.col(c) if c in ("stable_key", "at") else F.col("__least").getField(c).alias(c) for c in df.columns])
 
 
 def pull_state_at(timeline: DataFrame, probes: DataFrame) -> DataFrame:
