@@ -12,8 +12,11 @@ from .common import ascii_lower, let
 
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UNKNOWN = "unknown"
-#: Paragraphs of documents that serve as examples of the unknown class at most.
-NEGATIVES = 2000
+#: Paragraphs of documents that serve as examples of the unknown class at most, and how many of one document.
+NEGATIVES, NEGATIVES_EACH = 2000, 40
+#: Lines that may name several licences, and where they are cut; the pieces are scored besides the whole line.
+SEVERAL = r"(?i)licen[sc]e|spdx|\bgpl|copyright"
+CUTS = r"(?i)(?<=[.;])\s+|\s+(?:or|and)\s+|\s*/\s*(?=[A-Za-z])"
 
 #: Usual wordings of notices, by family.
 TEMPLATES: dict[str, list[str]] = {
@@ -144,12 +147,14 @@ def _gram_hashes(paragraph: Column) -> Column:
 
 
 def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5, confirmation: float = 0.5, negatives: int = NEGATIVES) -> DataFrame:
-    """One row per row of ``docs``: id, n_paragraphs, n_scored (with a gram of the vocabulary), families (confirmed), unconfirmed (families), best (largest probability of a family).
+    """One row per row of ``docs``: id, n_paragraphs, n_scored (paragraphs and pieces with a gram of the vocabulary), families (confirmed), unconfirmed (families), best (largest probability of a family).
 
-    Every paragraph, a line of the whole text, is scored by a softmax regression over the word 1- and 2-grams that it
+    Every paragraph, a line of the whole text, and every piece of a line about licences that holds several sentences or
+    alternatives is scored by a softmax regression over the word 1- and 2-grams that it
     holds; an unknown class takes what no family explains. A family of probability ``threshold`` or more is confirmed if
     at least ``confirmation`` of the paragraph's grams, or all but one of a template's, are in the family's templates.
-    The model is fitted on the templates and at most ``negatives`` paragraphs; its vocabulary is bounded by the
+    The model is fitted on the templates and at most ``negatives`` paragraphs, up to ``NEGATIVES_EACH`` of each of a tenth
+    as many documents, chosen by hashes; its vocabulary is bounded by the
     templates and broadcast.
 
     Null and empty texts have no paragraphs. Repeated rows give one result each. Documents without a licence have empty
@@ -157,7 +162,8 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     few = docs.orderBy(F.xxhash64(f"`{id_col}`"), f"`{id_col}`").select(text.alias("text")).limit(max(1, negatives // 10))
-    lines = few.select(F.explode(F.slice(F.split("text", "\n"), 1, 40)).alias("line")).where(~F.lower("line").rlike("licen[sc]|copyright|rights reserved|public domain|spdx|gpl|cc by|cc0") & (F.length("line") > 0))
+    some = F.slice(F.sort_array(F.transform(F.split("text", "\n"), lambda x: F.struct(F.xxhash64(x).alias("h"), x.alias("x")))), 1, NEGATIVES_EACH)
+    lines = few.select(F.explode(some).alias("s")).select(F.col("s.x").alias("line")).where(~F.lower("line").rlike("licen[sc]|copyright|rights reserved|public domain|spdx|gpl|cc by|cc0") & (F.length("line") > 0))
     model, bias = train([r.line for r in lines.limit(negatives).collect()])
     k_all = len(FAMILIES) + 1
     spark = docs.sparkSession
@@ -165,8 +171,10 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     vocabulary = spark.createDataFrame([(g, *w, b) for g, w, b in model], schema).withColumn("h", F.xxhash64("gram")).drop("gram")
 
     src = docs.select(F.monotonically_increasing_id().alias("row"), F.col(f"`{id_col}`").alias("id"), F.when(text == "", F.array().cast("array<string>")).otherwise(F.split(text, "\n")).alias("paragraphs"))
+    cut_lines = F.filter("paragraphs", lambda x: x.rlike(SEVERAL) & x.rlike(CUTS))
+    pieces = F.flatten(F.transform(cut_lines, lambda x: F.split(x, CUTS)))
     # position -1 stands for the document itself, so that one without matches keeps its row
-    each = src.select("row", "id", F.size("paragraphs").alias("n_paragraphs"), F.posexplode(F.concat(F.array(F.lit(None).cast("string")), "paragraphs")).alias("at", "paragraph"))
+    each = src.select("row", "id", F.size("paragraphs").alias("n_paragraphs"), F.posexplode(F.concat(F.array(F.lit(None).cast("string")), "paragraphs", pieces)).alias("at", "paragraph"))
     grams = each.select("row", "id", "n_paragraphs", (F.col("at") - 1).alias("at"), F.array_distinct(_gram_hashes(F.coalesce("paragraph", F.lit("")))).alias("grams"))
     every = grams.select("row", "id", "n_paragraphs", "at", F.size("grams").alias("n_grams"), F.explode(F.concat(F.when(F.col("at") < 0, F.array(F.lit(None).cast("bigint"))).otherwise(F.array().cast("array<bigint>")), "grams")).alias("h"))
     found = every.join(F.broadcast(vocabulary), "h", "left").where("at < 0 or bits is not null")
