@@ -100,3 +100,15 @@ def test_components_of_a_long_chain(spark):
     edges = spark.range(200).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
     got = components(edges).collect()
     assert len(got) == 201 and {r[1] for r in got} == {0}
+
+
+def test_tally_drops_pairs_that_meet(spark):
+    from tidemark.llm.simhash import shared_bytes
+
+    # the first two share four bytes and meet in a posting, the last two differ in one bit
+    pairs = [(0x1122334400000000, 0x1122334455667788), (0x1122334455667788, 0x1122334455667789)]
+    got = spark.createDataFrame(pairs, "a long, b long").select(shared_bytes(F.col("a"), F.col("b"))).collect()
+    assert [r[0] for r in got] == [4, 7]
+    fps = spark.createDataFrame([(a,) for p in pairs for a in p], "fp long").distinct()
+    for bits in (1, 2):
+        assert {frozenset(r) for r in hamming_links(fps, bits).collect()} == {frozenset(pairs[1])}

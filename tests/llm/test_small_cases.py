@@ -12,12 +12,13 @@ from tidemark.llm.common import table
 from tidemark.llm.decontaminate import clean_documents, decontaminate
 from tidemark.llm.exact_dedup import exact_dedup
 
-DOCS = "doc_id long, text string, lang string, source string, n_chars long, row string, id string, __m string"
+MORE = ["row", "id", "__m", "doc", "key", "doc_key", "mix", "rate", "quality", "toxic", "site", "host", "m", "left", "removed", "__word", "t", "h"]
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in MORE)
 SF = "/root/testdata/sf0.01"
 
 
 def docs_of(spark, rows):
-    return spark.createDataFrame([(d, t, "en", s, None, "r", "i", "m") for d, t, s in rows], DOCS)
+    return spark.createDataFrame([(d, t, "en", s, None, *MORE) for d, t, s in rows], DOCS)
 
 
 ODD = [(1, None, "a"), (2, "", None), (None, "Some plain text of a few words.", "a"), (3, "Same", "b"), (3, "Same", "b"), (4, "long " * 60_000, "b"), (5, "&&& *** | | !!", None)]
@@ -140,13 +141,14 @@ def test_licenses(spark):
         (3, "This work is licensed under the GNU General Public License, version 3.", "s"),
         (4, "A licence to do as one likes was never granted by the old king of the hills.", "s"),
         (5, "SPDX-License-Identifier: MPL-2.0", "s"),
+        (6, "licensed under the MIT license or the Apache License, Version 2.0", "s"),
         *ODD,
     ]
     got = {}
     for r in licenses.license_scan(docs_of(spark, rows)).collect():
         got.setdefault(r.doc_id, []).append(r.families)
     assert sorted(got[1]) == [[], ["MIT"]] and sorted(got[2]) == [[], ["Apache"]] and sorted(got[3]) == [[], [], ["GPL"]]
-    assert got[4] == [[], []] and sorted(got[5]) == [[], ["MPL"]] and sum(map(len, got.values())) == len(rows)
+    assert got[6] == [["Apache", "MIT"]] and got[4] == [[], []] and sorted(got[5]) == [[], ["MPL"]] and sum(map(len, got.values())) == len(rows)
     assert licenses.license_scan(docs_of(spark, [])).collect() == []
 
 
@@ -189,6 +191,39 @@ def test_toxicity_gradients():
         assert abs((moved[0] - moved[1]) / 2e-4 - g[k][at]) < 1e-4 + 0.02 * abs(g[k][at])
 
 
+def test_stages_keep_columns_of_any_name(spark):
+    from tidemark.llm.line_dedup import dedup_lines
+    from tidemark.llm.near_dedup import one_per_near_group
+    from tidemark.llm.simhash import one_per_group
+
+    labels = labels_of(spark, [(1, 1, 0, "c"), (3, 1, 1, "c"), (5, 0, 0, "c")])
+    items = spark.createDataFrame([(1, "no such words here at all")], "item_id long, text string")
+    stages = {
+        "quality": lambda d: quality.keep_good(d, labels, threshold=0.0),
+        "lines": dedup_lines,
+        "near": one_per_near_group,
+        "simhash": one_per_group,
+        "clean": lambda d: clean_documents(d, items),
+        "mixing": lambda d: mixing.mixed_documents(d, labels).drop("mix_rate", "mix_copies"),
+    }
+    docs, none = docs_of(spark, ODD), docs_of(spark, [])
+    for name, stage in stages.items():
+        out = stage(docs)
+        assert out.columns == docs.columns, name
+        got = out.collect()
+        assert got and all(list(r[5:]) == MORE for r in got), name
+        assert {(r.doc_id, r.text) for r in got} <= {(d, t) for d, t, _ in ODD}, name
+        assert stage(none).collect() == [], name
+
+
+def test_fits_stay_bounded_when_documents_repeat(spark):
+    from tidemark.llm.textstats import labelled_sample
+
+    docs = docs_of(spark, [(1, f"text {i}", "s") for i in range(50)] + [(2, None, "s"), (3, "c", "s")])
+    sample = labelled_sample(docs, labels_of(spark, [(i, 1, 0, "c") for i in range(9)]), "doc_id", "text", ["quality"], 5)
+    assert sample.count() == sample.select("id").distinct().count() <= 5
+
+
 def test_pipeline_stages(spark, tmp_path):
     docs = table(spark, SF, "documents").where("doc_id < 300")
     kept = docs

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, ascii_lower, bounded_broadcast, cut, document_key, let
+from .common import BROADCAST_ROWS, ascii_lower, bounded_broadcast, cut, document_key, let, packed
 
 #: What separates words once A-Z are lower-cased: every ASCII character but digits and lower-case letters.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -32,7 +32,7 @@ def _window_minima(words: Column, window: int, k: int) -> Column:
 def benchmark_windows(items: DataFrame, item_col: str, text_col: str, window: int, k: int) -> DataFrame:
     """One row per item and window: item, len, win (its words), anchor (the fingerprint that finds it)."""
     parts = let(
-        words_of(F.col(text_col)),
+        words_of(F.col(f"`{text_col}`")),
         lambda w: F.when(
             F.size(w) >= window,
             F.zip_with(
@@ -42,7 +42,7 @@ def benchmark_windows(items: DataFrame, item_col: str, text_col: str, window: in
             ),
         ).when(F.size(w) > 0, F.array(F.struct(F.size(w).alias("len"), F.concat_ws(" ", w).alias("win"), F.xxhash64(F.element_at(w, 1), F.lit("short")).alias("anchor")))),
     )
-    return items.select(F.col(item_col).alias("item"), F.explode(parts).alias("p")).where("p is not null").select("item", "p.*")
+    return items.select(F.col(f"`{item_col}`").alias("item"), F.explode(parts).alias("p")).where("p is not null").select("item", "p.*")
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 10, k: int = 3) -> DataFrame:
@@ -72,8 +72,8 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
             parts.append(F.transform(w, lambda x: F.xxhash64(x, F.lit("short"))))
         return F.concat(*parts)
 
-    cols = let(words_of(F.col(text_col)), lambda w: F.struct(w.alias("words"), probes(w).alias("probes")))
-    src = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), cols.alias("c"))
+    cols = let(words_of(F.col(f"`{text_col}`")), lambda w: F.struct(w.alias("words"), probes(w).alias("probes")))
+    src = docs.select(F.monotonically_increasing_id().alias("row"), F.col(f"`{id_col}`").alias("id"), cols.alias("c"))
     src = src.select("row", "id", F.col("c.words").alias("words"), F.col("c.probes").alias("probes"))
     if bounded := n_anchors <= BROADCAST_ROWS:
         found = src.select("row", "id", "words", F.posexplode("probes").alias("pos", "anchor"))
@@ -125,9 +125,11 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
 
 
 def clean_documents(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` without any window of an item, with their columns."""
-    text = F.col(f"`{text_col}`")
-    keyed = docs.withColumn("__key", document_key(F.col(f"`{id_col}`"), text))
-    found = decontaminate(keyed.select("__key", text.alias("text")), items, "__key", "text", item_col, item_text_col, **options)
-    bad = cut(found.where("contaminated").select("__key").distinct())
-    return keyed.join(bounded_broadcast(bad, bad.count()), "__key", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The rows of ``docs`` without any window of an item, with their columns, whatever their names. Null and empty texts and
+    repeated rows stay; an empty table stays empty.
+    """
+    mine, text = F.col(f"`{id_col}`"), F.col(f"`{text_col}`")
+    keyed = docs.select(document_key(mine, text).alias("key"), text.alias("text"), packed(docs).alias("doc"))
+    found = decontaminate(keyed.select("key", "text"), items, "key", "text", item_col, item_text_col, **options)
+    bad = cut(found.where("contaminated").select("key").distinct())
+    return keyed.select("key", "doc").join(bounded_broadcast(bad, bad.count()), "key", "left_anti").select("doc.*")

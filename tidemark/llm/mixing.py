@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, let
+from .common import cut, let, packed
 from .textstats import MEASURES, SAMPLE_ROWS, expand, fit_softmax, labelled_sample, linear_columns, measures, standardise
 
 #: The domains that the labelled table tells apart, and default target shares of tokens.
@@ -28,15 +28,15 @@ def _domain(quality: Column, toxic: Column) -> Column:
 
 
 def with_posteriors(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """``docs`` with __mix: tokens and p0, p1, p2, the posteriors of ``DOMAINS``, rounded to 3 digits and adding up to 1.
+    """Per row of ``docs``: id, doc (its columns) and mix: tokens and p0, p1, p2, the posteriors of ``DOMAINS``, rounded to 3 digits and adding up to 1.
 
     Word heads that at least 8 toxic sample rows hold and that lean to them by over six standard deviations form the
     vocabulary, at most ``VOCABULARY``; it is part of the model. A softmax regression on their summed log odds and the
     shape measures of the text gives the posteriors. Both are fitted on at most ``sample_rows`` labelled rows; scoring
     is a row's own affair, without a shuffle.
     """
-    sample = labelled_sample(docs, labels, id_col, ["quality", "toxic"], sample_rows)
-    sample = cut(sample.select(_domain(F.col("__quality"), F.col("__toxic")).alias("y"), measures(F.col(text_col), _heads).alias("s")).select("y", "s.m", F.col("s.also").alias("heads")))
+    sample = labelled_sample(docs, labels, id_col, text_col, ["quality", "toxic"], sample_rows)
+    sample = cut(sample.select(_domain(F.col("quality"), F.col("toxic")).alias("y"), measures(F.col("text"), _heads).alias("s")).select("y", "s.m", F.col("s.also").alias("heads")))
     sizes = {r.y: r.n for r in sample.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     n1, n = sizes.get(1, 0), sum(sizes.values())
     a, c = F.col("a"), F.col("c")
@@ -78,11 +78,12 @@ def with_posteriors(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
         return let(lean(x["also"]), scores)
 
     # a filter is not pushed below the row number, where it would evaluate all this once more
-    return docs.withColumns({"__mix": let(measures(F.col(text_col), _heads), scored), "__row": F.monotonically_increasing_id()})
+    mix = let(measures(F.col(f"`{text_col}`"), _heads), scored)
+    return docs.select(F.col(f"`{id_col}`").alias("id"), packed(docs).alias("doc"), mix.alias("mix"), F.monotonically_increasing_id().alias("row"))
 
 
 def mixing_rates(docs: DataFrame, labels: DataFrame, target: dict[str, float] | None = None, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = SAMPLE_ROWS, max_repeat: float | None = None, steps: int = 40, with_text: bool = True) -> DataFrame:
-    """``docs`` with __mix and __rate: how often each document is to be used.
+    """Per row of ``docs`` what ``with_posteriors`` tells, and rate: how often the document is to be used.
 
     Rates are nonnegative and bring expected domain tokens, the sum of rate times tokens times posterior, to their
     targets, with the least squared change of rates from 1. Such rates are 1 plus the posteriors times one number a
@@ -96,14 +97,14 @@ def mixing_rates(docs: DataFrame, labels: DataFrame, target: dict[str, float] |
     these numbers alone, so the fit is applied row by row without a join.
 
     Null and empty texts have no tokens and rate as their posteriors say. Without labels all posteriors are equal.
-    Repeated rows count and are rated each. An empty table gives an empty result. Without ``with_text`` the columns but
-    the identifier go and the texts are read once.
+    Repeated rows count and are rated each. An empty table gives an empty result. Without ``with_text`` there is no
+    doc and the texts are read once.
     """
     target = TARGET if target is None else target
     posts = with_posteriors(docs, labels, id_col, text_col, sample_rows)
     if not with_text:
-        posts = cut(posts.select(id_col, "__mix"))
-    cells = cut(posts.groupBy("__mix.p0", "__mix.p1", "__mix.p2").agg(F.sum("__mix.tokens").alias("t")))
+        posts = cut(posts.select("id", "mix"))
+    cells = cut(posts.groupBy("mix.p0", "mix.p1", "mix.p2").agg(F.sum("mix.tokens").alias("t")))
     mass = list(cells.agg(*[F.coalesce(F.sum(F.col("t") * F.col(f"p{k}")), F.lit(0.0)) for k in range(3)]).first())
     share = [target.get(d, 0.0) for d in DOMAINS]
     held = np.array([d in target and m > 0 for d, m in zip(DOMAINS, mass, strict=True)])
@@ -140,7 +141,7 @@ def mixing_rates(docs: DataFrame, labels: DataFrame, target: dict[str, float] |
     def rate(x: Column) -> Column:
         return rated(x.__getitem__, at)
 
-    return posts.withColumn("__rate", let(F.col("__mix"), rate))
+    return posts.withColumn("rate", let(F.col("mix"), rate))
 
 
 def _copies(key: Column, rate: Column) -> Column:
@@ -150,14 +151,16 @@ def _copies(key: Column, rate: Column) -> Column:
 
 def mixing_report(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """One row per row of ``docs``: id, n_tokens, posteriors, rate, copies."""
-    id_col = options.get("id_col", "doc_id")
-    columns = [F.col(f"__mix.p{k}").alias(f"p_{d}") for k, d in enumerate(DOMAINS)]
-    return mixing_rates(docs, labels, with_text=False, **options).select(id_col, F.col("__mix.tokens").alias("n_tokens"), *columns, F.col("__rate").alias("rate"), _copies(F.col(id_col), F.col("__rate")).alias("copies"))
+    columns = [F.col(f"mix.p{k}").alias(f"p_{d}") for k, d in enumerate(DOMAINS)]
+    rated = mixing_rates(docs, labels, with_text=False, **options)
+    return rated.select(F.col("id").alias(options.get("id_col", "doc_id")), F.col("mix.tokens").alias("n_tokens"), *columns, "rate", _copies(F.col("id"), F.col("rate")).alias("copies"))
 
 
 def mixed_documents(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """``docs`` with mix_rate and mix_copies; documents of which no copy is to be used go."""
-    mine = [F.col(f"`{c}`") for c in docs.columns if c not in ("mix_rate", "mix_copies")]
-    rated = mixing_rates(docs, labels, **options)
-    copies = _copies(F.col(options.get("id_col", "doc_id")), F.col("__rate"))
-    return rated.select(*mine, F.col("__rate").alias("mix_rate"), copies.alias("mix_copies"), "__row").where("mix_copies > 0 and __row >= 0").drop("__row")
+    """``docs`` with mix_rate and mix_copies in place of columns of these names; documents of which no copy is to be used go.
+
+    Repeated rows are judged each; null texts count as empty ones; an empty table stays empty.
+    """
+    rated = mixing_rates(docs, labels, **options).select("doc", "row", "rate", _copies(F.col("id"), F.col("rate")).alias("copies")).where("copies > 0 and row >= 0")
+    mine = [F.col("doc").getField(c).alias(c) for c in docs.columns if c not in ("mix_rate", "mix_copies")]
+    return rated.select(*mine, F.col("rate").alias("mix_rate"), F.col("copies").alias("mix_copies"))

@@ -17,7 +17,7 @@ SAMPLE_ROWS = 20_000
 
 def learnable(id_col: str) -> Column:
     """Rows that a fit may learn from: the rest, where crc32 of the identifier is divisible by 5, is held out."""
-    return F.crc32(F.col(id_col).cast("string")) % 5 != 0
+    return F.crc32(F.col(f"`{id_col}`").cast("string")) % 5 != 0
 
 
 #: Measures that classifiers use; one more, the number of words, follows them.
@@ -49,18 +49,19 @@ def measures(text: Column, also=None) -> Column:
     return let(F.array_remove(F.split(text, r"\s+"), ""), of_words)
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, label_cols: list[str], sample_rows: int) -> DataFrame:
-    """At most ``sample_rows`` labelled rows to learn from, with their texts: (id, text, labels); conflicting repeats of a label keep the largest."""
+def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_cols: list[str], sample_rows: int) -> DataFrame:
+    """At most ``sample_rows`` labelled rows to learn from: (id, text, labels). Conflicting repeats of a label keep the largest, of repeated documents the text that sorts first is taken."""
+    mine = F.col(f"`{id_col}`")
     chosen = (
         labels.where(learnable(id_col))
-        .groupBy(id_col)
-        .agg(*[F.max(c).alias(f"__{c}") for c in label_cols])
+        .groupBy(mine.alias("id"))
+        .agg(*[F.max(f"`{c}`").alias(c) for c in label_cols])
         .dropna()
-        .orderBy(F.xxhash64(id_col), id_col)
+        .orderBy(F.xxhash64("id"), "id")
         .limit(sample_rows)
-        .select(F.col(id_col).alias("__id"), *[f"__{c}" for c in label_cols])
     )
-    return docs.join(F.broadcast(chosen), F.col(id_col) == F.col("__id"))
+    found = docs.select(mine.alias("id"), F.col(f"`{text_col}`").alias("text")).join(F.broadcast(chosen), "id")
+    return found.groupBy("id").agg(F.min("text").alias("text"), *[F.first(c).alias(c) for c in label_cols])
 
 
 def standardise(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

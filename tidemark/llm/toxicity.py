@@ -169,7 +169,7 @@ def _lean(buckets: list[np.ndarray], y: np.ndarray) -> np.ndarray:
 
 
 def train(texts: list[str], labels: list[int], epochs: int = 8, batch: int = 128, seed: int = 7) -> dict:
-    """Fit the network. A toxic text teaches by the window that leans most to toxic texts, another by that one and one at random.
+    """Fit the network. A toxic text teaches by the window that leans most to toxic texts, as word counts of the sample tell, another by that one and one at random; other windows of long texts aren't learnt from.
 
     The first input of words and grams starts from how their presence leans in the sample; everything is then trained.
     """
@@ -252,10 +252,12 @@ def score_texts(p: dict, texts: list[str]) -> np.ndarray:
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", toxic_rows: int = TOXIC_ROWS, other_rows: int = OTHER_ROWS) -> dict:
     """Fit on at most ``toxic_rows`` and ``other_rows`` labelled rows whose identifiers' crc32 is not divisible by 5."""
-    known = labels.where(learnable(id_col) & F.col("toxic").isNotNull()).groupBy(F.col(id_col).alias("__id")).agg(F.max("toxic").alias("__toxic"))
-    order = [F.xxhash64("__id"), F.col("__id")]
-    chosen = known.where("__toxic > 0").orderBy(*order).limit(toxic_rows).unionByName(known.where("__toxic <= 0").orderBy(*order).limit(other_rows))
-    rows = docs.join(F.broadcast(chosen), F.col(id_col) == F.col("__id")).select("__id", F.coalesce(F.col(text_col), F.lit("")).alias("text"), "__toxic").collect()
+    mine, text = F.col(f"`{id_col}`"), F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    known = labels.where(learnable(id_col) & F.col("toxic").isNotNull()).groupBy(mine.alias("id")).agg(F.max("toxic").alias("toxic"))
+    order = [F.xxhash64("id"), F.col("id")]
+    chosen = known.where("toxic > 0").orderBy(*order).limit(toxic_rows).unionByName(known.where("toxic <= 0").orderBy(*order).limit(other_rows))
+    # of repeated documents one text is taken, so that the bound holds
+    rows = docs.select(mine.alias("id"), text.alias("text")).join(F.broadcast(chosen), "id").groupBy("id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic")).collect()
     rows.sort(key=lambda r: (r[0], r.text))
     return train([r.text for r in rows], [int(r[2] > 0) for r in rows])
 
@@ -274,5 +276,5 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
         for texts in batches:
             yield pd.Series(score_texts(model.value, texts.tolist()))
 
-    scored = docs.select(id_col, (~learnable(id_col)).alias("held_out"), score(F.coalesce(F.col(text_col), F.lit(""))).alias("score"))
-    return scored.select(id_col, F.coalesce("held_out", F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    scored = docs.select(F.col(f"`{id_col}`").alias("id"), (~learnable(id_col)).alias("held_out"), score(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))).alias("score"))
+    return scored.select(F.col("id").alias(id_col), F.coalesce("held_out", F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
