@@ -209,3 +209,37 @@ def test_drift_diff_of_one_sided_rows(spark):
     got = {(r.k, r.path): (r.cache_value, r.upstream_value) for r in drift.semantic_diff(a, b, ["k"], ["x", "y"]).collect()}
     assert got == {(2, ""): ("present", "missing"), (4, ""): ("missing", "present"), (3, "x"): (None, "c"), (3, "y"): ("3", None)}
     assert drift.diff_hashes(drift.semantic_diff(a, b, ["k"], ["x", "y"]), ["k"]).count() == 3
+
+
+def test_counts_after_points_match_brute_force(spark, monkeypatch):
+    from tidemark.operators import changes
+
+    rng = random.Random(4)
+    monkeypatch.setattr(changes, "BUCKET", 8)
+    events = [(s, q, t(q % 20)) for s in "ab" for q in rng.sample(range(100), 60)]
+    points = [(s, rng.randrange(-5, 110)) for s in "abc" for _ in range(12)]
+    got = changes.after_counts(spark.createDataFrame(events, "stream string, seq long, occurred_at timestamp_ntz"), spark.createDataFrame(points, "stream string, after_seq long"))
+    for r in got.collect():
+        later = [x[2] for x in events if x[0] == r.stream and x[1] > r.after_seq]
+        assert (r.outstanding, r.oldest) == (len(later), min(later, default=None))
+    assert got.count() == len(set(points))
+
+
+def test_results_of_scopes_are_checked_for_owners_and_absence(spark):
+    from tidemark.operators.derive import validate_results
+
+    scopes = spark.createDataFrame([("repo:1:pr:2",), ("repo:1:pr:3",)], "scope_key string")
+    items = spark.createDataFrame([("repo:1:pr:2", "x", "{}", 1)], "scope_key string, identity_key string, payload string, repo_id long")
+    owners = spark.createDataFrame([("x", "repo:1:pr:9")], "identity_key string, scope_key string")
+    assert validate_results(scopes, items).count() == 0
+    got = {tuple(r) for r in validate_results(scopes, items, owners, complete=True).collect()}
+    assert got == {("repo:1:pr:2", "x", "identity of another scope"), ("repo:1:pr:3", None, "no result")}
+
+
+def test_repeats_of_a_timeline_keep_the_least(spark):
+    from tidemark.operators.timeline import dedupe_timeline
+
+    rows = [("k", t(1), "b"), ("k", t(1), "a"), ("k", t(2), "c")]
+    for some in (rows, rows[::-1]):
+        got = sorted((r.stable_key, r.v) for r in dedupe_timeline(spark.createDataFrame(some, "stable_key string, at timestamp_ntz, v string")).collect())
+        assert got == [("k", "a"), ("k", "c")]
