@@ -216,7 +216,7 @@ def test_counts_after_points_match_brute_force(spark, monkeypatch):
 
     rng = random.Random(4)
     monkeypatch.setattr(changes, "BUCKET", 8)
-    events = [(s, q, t(q % 20)) for s in "ab" for q in rng.sample(range(100), 60)]
+    events = [(s, q, t(q % 20 + 1)) for s in "ab" for q in rng.sample(range(100), 60)]
     points = [(s, rng.randrange(-5, 110)) for s in "abc" for _ in range(12)]
     got = changes.after_counts(spark.createDataFrame(events, "stream string, seq long, occurred_at timestamp_ntz"), spark.createDataFrame(points, "stream string, after_seq long"))
     for r in got.collect():
@@ -243,3 +243,43 @@ def test_repeats_of_a_timeline_keep_the_least(spark):
     for some in (rows, rows[::-1]):
         got = sorted((r.stable_key, r.v) for r in dedupe_timeline(spark.createDataFrame(some, "stable_key string, at timestamp_ntz, v string")).collect())
         assert got == [("k", "a"), ("k", "c")]
+
+
+def test_rules_from_a_file(spark, tmp_path):
+    (tmp_path / "rules.json").write_text('{"event": "push", "action": "*", "target": "branch"}\n\n{"event": "check_run", "action": "created", "target": "checks"}\n')
+    assert [r.r_event for r in dispatch.read_rules(spark, str(tmp_path / "rules.json")).orderBy("rule").collect()] == ["push", "check_run"]
+    for bad in ("", "[]", '{"event": "push"}', '{"event": "push", "action": "*", "target": "branch", "x": 1}', "nonsense"):
+        (tmp_path / "bad.json").write_text(bad)
+        with pytest.raises(ValueError):
+            dispatch.read_rules(spark, str(tmp_path / "bad.json"))
+
+
+def test_scopes_of_pulls_stacks_and_heads(spark):
+    members = spark.createDataFrame([(1, 10, 5), (1, 11, 5)], "repo_id long, number long, stack_number long")
+    old = spark.createDataFrame([(1, 10, 5), (1, 12, 6)], "repo_id long, number long, stack_number long")
+    pulls = spark.createDataFrame([(1, 10, "a", None), (1, 12, "b", None), (1, 13, "c", t(1))], "repo_id long, number long, head_sha string, tombstoned_at timestamp_ntz")
+    assert {(r.number, r.scope_key) for r in merge.scopes_for_pulls(pulls, members).collect()} == {(10, "repo:1:stack:5"), (12, "repo:1:pr:12"), (13, "repo:1:pr:13")}
+    assert {r.scope_key for r in merge.scopes_for_stacks(members, old).collect()} == {"repo:1:stack:5", "repo:1:stack:6", "repo:1:pr:12"}
+    heads = spark.createDataFrame([(1, "a"), (1, "c"), (2, "b")], "repo_id long, head_sha string")
+    assert {tuple(r) for r in merge.scopes_for_heads(heads, pulls, members).collect()} == {("a", "repo:1:stack:5")}
+
+
+def test_fences_let_the_stored_commit_through(spark):
+    pulls = spark.createDataFrame([(1, 1, "h", "b", t(3), None), (1, 2, "h2", "b", t(3), t(4))], "repo_id long, number long, head_sha string, base_sha string, gh_updated_at timestamp_ntz, tombstoned_at timestamp_ntz")
+    seen = spark.createDataFrame([(1, 1, "h", "b", t(3)), (1, 1, "old", "b", t(3)), (1, 1, "h", "b", t(2)), (1, 2, "h2", "b", t(3))], "repo_id long, pr_number long, head_sha string, base_sha string, parent_gh_updated_at timestamp_ntz")
+    good = merge.snapshot_fence(seen, pulls)
+    assert [(r.pr_number, r.head_sha, r.parent_gh_updated_at) for r in good.collect()] == [(1, "h", t(3))]
+    files = spark.createDataFrame([(1, 1, "h", "b", "x"), (1, 1, "old", "b", "y")], "repo_id long, pr_number long, head_sha string, base_sha string, path string")
+    assert [r.path for r in merge.child_fence(files, good).collect()] == ["x"]
+
+
+def test_documents_differ_by_leaves(spark):
+    from tidemark.operators.drift import document_diff
+
+    a = [(1, '{"x":{"y":1,"z":[1,2]},"w":null}'), (2, "{}"), (3, "same"), (4, '{"r":[{"identity":"p","v":1},{"identity":"q","v":2}]}'), (5, "[1")]
+    b = [(1, '{"x":{"y":2,"z":[1]},"w":null,"n":{"k":true}}'), (3, "same"), (4, '{"r":[{"identity":"q","v":2},{"identity":"p","v":3}]}'), (5, "[1]"), (6, "1")]
+    got = {tuple(r) for r in document_diff(*[spark.createDataFrame(x, "id long, document string") for x in (a, b)], ["id"]).collect()}
+    assert got == {
+        (1, "x.y", "1", "2"), (1, "x.z[1]", "2", None), (1, "n.k", None, "true"), (2, "", "present", None), (4, "r[p].v", "1", "3"),
+        (5, "", "[1", None), (5, "[0]", None, "1"), (6, "", None, "present"),
+    }

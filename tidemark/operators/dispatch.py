@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -57,6 +59,15 @@ def load_rules(spark: SparkSession, rules: list[dict] | None = None) -> DataFram
     return spark.createDataFrame(rows, "rule int, r_event string, r_action string, target string, stacked_target string")
 
 
+def read_rules(spark: SparkSession, path: str) -> DataFrame:
+    """The rule table from JSON lines at ``path``, checked as by ``load_rules``; a line that isn't an object is an error too."""
+    lines = [r.value for r in spark.read.text(path).collect() if r.value.strip()]  # a table of rules, not of data
+    rules = [json.loads(line) for line in lines]
+    if not all(isinstance(rule, dict) for rule in rules):
+        raise ValueError("a rule is an object")
+    return load_rules(spark, rules)
+
+
 def dedupe_deliveries(df: DataFrame) -> DataFrame:
     """The first row of each delivery, by received_at and arrival."""
     cols = [c for c in df.columns if c != "delivery_guid"]

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import json
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -80,6 +82,51 @@ def semantic_diff(cache: DataFrame, upstream: DataFrame, keys: list[str], fields
     return both.select(*keys, F.explode(diffs).alias("d")).select(*keys, "d.*")
 
 
+def document_diff(cache: DataFrame, upstream: DataFrame, keys: list[str]) -> DataFrame:
+    """One row per differing leaf of JSON documents (keys, document): keys, path, cache_value, upstream_value.
+
+    Objects and arrays are compared to any depth: a leaf's path names its fields and positions, arrays of objects that all
+    have an ``identity`` are compared by it, whatever their order. Of one-sided rows, leaves or containers the missing side is null; a row on
+    one side only has path ''. A document that isn't JSON is one leaf.
+    """
+
+    def leaves(text: str | None) -> dict[str, str]:
+        out: dict[str, str] = {}
+
+        def walk(path: str, value) -> None:
+            if isinstance(value, dict) and value:
+                for k, v in value.items():
+                    walk(f"{path}.{k}" if path else k, v)
+            elif isinstance(value, list) and value:
+                named = all(isinstance(v, dict) and v.get("identity") is not None for v in value)
+                for i, v in enumerate(value):
+                    walk(f"{path}[{v['identity'] if named else i}]", v)
+            else:
+                out[path] = json.dumps(value, ensure_ascii=False, sort_keys=True)
+
+        try:
+            walk("", json.loads(text))
+        except ValueError:
+            out[""] = text
+        return out
+
+    @F.pandas_udf("array<struct<path:string,cache_value:string,upstream_value:string>>")
+    def compared(left: pd.Series, right: pd.Series) -> pd.Series:
+        found = []
+        for a, b in zip(left, right, strict=True):
+            if a is None or b is None:
+                found.append([("", None if a is None else "present", None if b is None else "present")])
+                continue
+            a, b = leaves(a), leaves(b)
+            found.append([(p, a.get(p), b.get(p)) for p in sorted(a.keys() | b.keys()) if a.get(p) != b.get(p)])
+        return pd.Series(found)
+
+    both = cache.select(*keys, F.col("document").alias("c")).join(upstream.select(*keys, F.col("document").alias("u")), keys, "full")
+    # equal texts never reach Python
+    differ = both.where(~F.col("c").eqNullSafe(F.col("u")))
+    return differ.select(*keys, F.explode(compared("c", "u")).alias("d")).select(*keys, "d.*")
+
+
 def diff_hashes(diffs: DataFrame, keys: list[str]) -> DataFrame:
     """One row per differing entity with the hash of all its differences."""
     line = F.concat_ws("\x1f", "path", F.coalesce("cache_value", F.lit("\x00")), F.coalesce("upstream_value", F.lit("\x00")))

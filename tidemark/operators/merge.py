@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.keys import scope_key
 from ..functions.session import checkpoint_dir
 
 
@@ -231,6 +232,38 @@ def mark_dirty(state: DataFrame, scopes: DataFrame) -> DataFrame:
     return state.select("scope_key", "marked_at").unionByName(scopes.select("scope_key", "marked_at")).groupBy("scope_key").agg(F.max("marked_at").alias("marked_at"))
 
 
+def scopes_for_pulls(pulls: DataFrame, members: DataFrame) -> DataFrame:
+    """(repo_id, number, scope_key) of pull requests (repo_id, number): their live stack of ``members`` (repo_id, number, stack_number), or themselves."""
+    of = pulls.select("repo_id", "number").distinct().join(members.select("repo_id", "number", "stack_number").distinct(), ["repo_id", "number"], "left")
+    return of.select("repo_id", "number", scope_key(F.col("repo_id"), F.col("stack_number"), F.col("number")).alias("scope_key"))
+
+
+def scopes_for_stacks(members: DataFrame, old_members: DataFrame) -> DataFrame:
+    """(scope_key) of stacks whose members changed: the stack's before and after, and those of pull requests that left it."""
+    keys = ["repo_id", "number", "stack_number"]
+    now, was = (x.select(*keys).distinct() for x in (members, old_members))
+    moved = now.join(was, keys, "left_anti").unionByName(was.join(now, keys, "left_anti"))
+    stacks = moved.select(scope_key(F.col("repo_id"), F.col("stack_number"), F.col("number")).alias("scope_key"))
+    left = was.join(now.select("repo_id", "number"), ["repo_id", "number"], "left_anti")
+    return stacks.unionByName(left.select(scope_key(F.col("repo_id"), F.lit(None).cast("long"), F.col("number")).alias("scope_key"))).distinct()
+
+
+def scopes_for_heads(heads: DataFrame, pulls: DataFrame, members: DataFrame) -> DataFrame:
+    """(head_sha, scope_key) of the live pull requests whose head a check (repo_id, head_sha) is of."""
+    hit = pulls.where("tombstoned_at is null").select("repo_id", "number", "head_sha").join(heads.select("repo_id", "head_sha").distinct(), ["repo_id", "head_sha"])
+    return hit.join(scopes_for_pulls(hit, members), ["repo_id", "number"]).select("head_sha", "scope_key").distinct()
+
+
+def merge_fenced(state: DataFrame, snapshots: DataFrame, pulls: DataFrame, spec: Spec) -> DataFrame:
+    """``merge_if_newer`` of the change snapshots that ``snapshot_fence`` lets through."""
+    return merge_if_newer(state, snapshot_fence(snapshots, pulls), spec)
+
+
+def replace_fenced(state: DataFrame, children: DataFrame, parents: DataFrame, snapshots: DataFrame, spec: Spec) -> DataFrame:
+    """``replace_set`` of files or owners of the stored snapshots: children and parents of other commits are left out as by ``child_fence``."""
+    return replace_set(state, child_fence(children, snapshots), child_fence(parents, snapshots), spec)
+
+
 def check_semantic_version(df: DataFrame, fields: tuple[str, ...] = ("status", "conclusion", "url", "app", "started_at", "completed_at")) -> DataFrame:
     """A hash of what a check says, in a canonical form."""
     text = F.concat_ws("\x1f", *[F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in fields if c in df.columns])
