@@ -14,6 +14,7 @@ from .html_text import extract_text
 from .licenses import license_scan
 from .line_dedup import line_dedup_report
 from .mixing import mixing_report
+from .periodic_runs import periodic_runs
 from .quality import quality_report
 from .simhash import simhash_groups
 from .suffix_dedup import suffix_dedup
@@ -60,6 +61,10 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"), keep="largest")
 
 
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs(table(spark, sf_dir, "documents"), rewrite=True, with_text=False)
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -82,6 +87,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_suffix_dedup": op8_suffix_dedup,
         "op9_exact_dedup": op9_exact_dedup,
         "op10_mixing": op10_mixing,
+        "op12_periodic_runs": op12_periodic_runs,
         "op13_filter_audit": op13_filter_audit,
         "pipeline": pipeline,
     }
