@@ -13,6 +13,7 @@ from .filter_audit import filter_audit
 from .html_text import extract_text
 from .licenses import license_scan
 from .line_dedup import line_dedup_report
+from .minhash import minhash_groups
 from .mixing import mixing_report
 from .periodic_runs import periodic_runs
 from .quality import quality_report
@@ -61,6 +62,10 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"), keep="largest")
 
 
+def op11_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_groups(table(spark, sf_dir, "documents"))
+
+
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs(table(spark, sf_dir, "documents"), rewrite=True, with_text=False)
 
@@ -87,6 +92,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_suffix_dedup": op8_suffix_dedup,
         "op9_exact_dedup": op9_exact_dedup,
         "op10_mixing": op10_mixing,
+        "op11_minhash": op11_minhash,
         "op12_periodic_runs": op12_periodic_runs,
         "op13_filter_audit": op13_filter_audit,
         "pipeline": pipeline,
