@@ -75,7 +75,7 @@ def test_buckets_with_several_components(spark, monkeypatch):
     rows = list(enumerate(rows))
     expected, links = brute(rows)
     assert links > 100
-    for crowded in (64, 3):
+    for crowded in (200, 3):
         monkeypatch.setattr(minhash, "CROWDED", crowded)
         assert got(spark, rows) == sorted(map(str, expected))
 

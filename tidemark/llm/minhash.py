@@ -20,9 +20,9 @@ BANDS, ROWS = 28, 6
 BINS = BANDS * ROWS
 #: A sketch keeps one bit of each bin. Half of the bins that differ agree in it by chance, so sets at 85 % share 155 of 168
 #: bits on average, with a standard deviation of 4. Pairs of sets of so many shingles that share fewer bits go unread.
-LEAST_BITS, SKETCHED = 126, 32
-#: Members outside a bucket's main component that are compared with all of it at once; where there are more, they meet again where two bands agree.
-CROWDED = 64
+LEAST_BITS, SKETCHED = 134, 64
+#: Members outside a bucket's main component that are compared with all of it; where there are more, sets meet again by their rarest shingles.
+CROWDED = 16
 
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -160,9 +160,16 @@ def _alike(percent: int, a: str = "a", b: str = "b") -> Column:
 
 
 def _met(posted: DataFrame) -> DataFrame:
-    """(slot, t, rep) of buckets with several members; rep, the centre, is the smallest. Counted before anything else is shuffled."""
-    shared = cut(posted.groupBy("slot").agg(F.count(F.lit(1)).alias("c"), F.min("t").alias("rep")).where("c > 1"))
-    return cut(sieve(posted, F.col("slot"), shared.select(F.col("slot").alias("k"))).join(shared.select("slot", "rep"), "slot"))
+    """(slot, t, rep, pos) of buckets with several members, pos being null, counted before members are shuffled.
+
+    The centre ``rep`` is the member whose buckets are the fullest: of near copies of one text that is the one that the
+    others differ from least.
+    """
+    shared = cut(posted.groupBy("slot").agg(F.count(F.lit(1)).alias("c")).where("c > 1"))
+    met = cut(sieve(posted, F.col("slot"), shared.select(F.col("slot").alias("k"))).join(shared, "slot"))
+    full = met.groupBy("t").agg(F.sum("c").alias("w"))
+    centre = met.join(full, "t").groupBy("slot").agg(F.max(F.struct("w", "t")).alias("best"))
+    return cut(met.select("slot", "t").join(centre.select("slot", F.col("best.t").alias("rep")), "slot").withColumn("pos", F.lit(None).cast("int")))
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, held: DataFrame, percent: int) -> DataFrame:
@@ -183,41 +190,61 @@ def similar_links(sets: DataFrame, held, percent: int = PERCENT) -> DataFrame:
 
     Candidates are stars: every member of a bucket is compared with its centre alone, so a bucket costs as many pairs as
     it has members. What the stars have linked is one component. A bucket that holds several components still has its
-    members outside the main one compared with those of other components, if they are few (``CROWDED``). In a bucket
-    with more of them, members meet again in the finer buckets where a second band agrees, by stars first; there what is
-    left is compared in full, dealt out by lanes and sifted by size and sketch before whole sets are read.
+    members outside the main one compared with those of other components, if they are few (``CROWDED``). The members of
+    buckets with more of them meet again by their rarest shingles (``_prefixes``), which leaves out none that are similar
+    enough and parts those that differ in many places, each by shingles of its own.
 
     ``held(wanted)`` gives the whole sets (t, hs) of the identifiers ``wanted`` (t); it is asked once.
     """
     met = _met(sets.select(F.explode("slots").alias("slot"), "t"))
     whole = held(met.select("t").distinct())
     links = _linked(met.where("t <> rep").select(*_pairs("t", "rep")).distinct(), sets, whole, percent)
-    links, crowds = _across(met, links, sets, whole, percent, last=False)
-    if not crowds.isEmpty():
-        again = crowds.select("slot", "t").join(sets.select("t", "slots"), "t").select("slot", "t", F.explode("slots").alias("other")).where("slot <> other")
-        finer = _met(again.select(F.xxhash64(F.least("slot", "other"), F.greatest("slot", "other")).alias("slot"), "t").distinct())
-        links = links.unionByName(_linked(finer.where("t <> rep").select(*_pairs("t", "rep")).distinct(), sets, whole, percent))
-        links, _ = _across(finer, links, sets, whole, percent, last=True)
-    return links
-
-
-def _across(met: DataFrame, links: DataFrame, sets: DataFrame, whole: DataFrame, percent: int, last: bool) -> tuple[DataFrame, DataFrame]:
-    """``links`` with those found between components that meet in a bucket, and the members (slot, t) of crowded buckets, which are left unless this is the ``last`` chance."""
-    parts = cut(components(links))
-    placed = met.select("slot", "t").join(parts.withColumnRenamed("node", "t"), "t", "left").select("slot", "t", F.coalesce("component", "t").alias("part"))
+    parts = cut(components(links)).withColumnRenamed("node", "t")
+    mixed = cut(_mixed_buckets(met, parts))
+    found = _listed(mixed.where(F.col("outside") <= CROWDED), sets, percent)
+    crowd = cut(mixed.where(F.col("outside") > CROWDED).select("t").distinct())
+    if not crowd.isEmpty():
+        found = found.unionByName(_listed(_mixed_buckets(_prefixes(crowd, whole, percent), parts), sets, percent))
+    return links.unionByName(_linked(found.distinct(), sets, whole, percent))
+
+
+def _mixed_buckets(met: DataFrame, parts: DataFrame) -> DataFrame:
+    """``met`` (slot, t, pos) with part, main and outside, of buckets that hold several components; ``outside`` counts the members beyond the largest of them."""
+    placed = met.select("slot", "t", "pos").join(parts, "t", "left").select("slot", "t", "pos", F.coalesce("component", "t").alias("part"))
     sizes = placed.groupBy("slot", "part").agg(F.count(F.lit(1)).alias("n"))
-    split = sizes.groupBy("slot").agg(F.max(F.struct("n", "part")).alias("main"), F.sum("n").alias("c")).select("slot", F.col("main.part").alias("main"), (F.col("c") - F.col("main.n")).alias("outside"))
-    mixed = cut(placed.join(split.where("outside > 0"), "slot").join(sets.select("t", "n", "bits"), "t"))
-    crowds = mixed.where(F.col("outside") > CROWDED)
-    here = mixed if last else mixed.where(F.col("outside") <= CROWDED)
-    if here.isEmpty():
-        return links, crowds
-    lanes = F.ceil(F.col("outside") / CROWDED).cast("int")
-    some = here.where("part <> main").select("slot", F.explode(F.sequence(F.lit(0), lanes - 1)).alias("lane"), F.struct("t", "part", "n", "bits").alias("x"))
-    every = here.select("slot", F.pmod(F.xxhash64("t"), lanes).cast("int").alias("lane"), F.struct("t", "part", "n", "bits").alias("y"))
-    alike = F.expr("x.part <> y.part") & _alike(percent, "x", "y")
-    found = some.alias("s").join(every.alias("e"), (F.col("s.slot") == F.col("e.slot")) & (F.col("s.lane") == F.col("e.lane")) & alike).select(*_pairs("x.t", "y.t")).distinct()
-    return cut(links.unionByName(_linked(found, sets, whole, percent)).distinct()), crowds
+    split = sizes.groupBy("slot").agg(F.max(F.struct("n", "part")).alias("main"), F.sum("n").alias("c"))
+    return placed.join(split.select("slot", F.col("main.part").alias("main"), (F.col("c") - F.col("main.n")).alias("outside")).where("outside > 0"), "slot")
+
+
+def _listed(mixed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of members outside a bucket's main component with those of other components, sifted by size, sketch and position; a bucket's members are dealt to a lane for each ``CROWDED`` outside.
+
+    If the first shingle that two sets share stands at ``pos`` of each, no more are shared than follow it in either. Where
+    ``pos`` is null that says nothing.
+    """
+    told = mixed.join(sets.select("t", "n", "bits"), "t").withColumn("lanes", F.ceil(F.col("outside") / CROWDED).cast("int"))
+    side = F.struct("t", "part", "n", "bits", "pos")
+    some = told.where("part <> main").select("slot", F.explode(F.sequence(F.lit(0), F.col("lanes") - 1)).alias("lane"), side.alias("x"))
+    every = told.select("slot", F.pmod(F.xxhash64("t"), "lanes").cast("int").alias("lane"), side.alias("y"))
+    most = F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos")) + 1
+    enough = F.coalesce(most * 100 >= (F.col("x.n") + F.col("y.n") - most) * percent, F.lit(True))
+    meets = (F.col("s.slot") == F.col("e.slot")) & (F.col("s.lane") == F.col("e.lane")) & F.expr("x.part <> y.part") & enough & _alike(percent, "x", "y")
+    return some.alias("s").join(every.alias("e"), meets).select(*_pairs("x.t", "y.t")).distinct()
+
+
+def _prefixes(members: DataFrame, whole: DataFrame, percent: int) -> DataFrame:
+    """(slot, t, pos): the rarest shingles of each set by their position, so many that two similar sets share one of them.
+
+    Similar sets share ``percent`` of each at least, so of either's shingles in any common order, here from the rarest among
+    ``members`` on, the first ``n - ceil(n * percent / 100) + 1`` hold one that both have there.
+    """
+    # dealt evenly before each set becomes many rows
+    shingles = members.join(whole, "t").repartition("t").select("t", F.explode("hs").alias("slot"))
+    counted = shingles.join(shingles.groupBy("slot").agg(F.count(F.lit(1)).alias("c")), "slot")
+    rare = counted.groupBy("t").agg(F.sort_array(F.collect_list(F.struct("c", "slot"))).alias("s"))
+    n = F.size("s")
+    prefix = F.slice("s", 1, n - F.ceil(n * percent / 100).cast("int") + 1)
+    return rare.select("t", F.posexplode(prefix).alias("p", "s")).where("s.c > 1").select("s.slot", "t", (F.col("p") + 1).alias("pos"))
 
 
 def minhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
