@@ -82,7 +82,56 @@ def with_posteriors(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     return docs.select(F.col(f"`{id_col}`").alias("id"), packed(docs).alias("doc"), mix.alias("mix"), F.monotonically_increasing_id().alias("row"))
 
 
-def mixing_rates(docs: DataFrame, labels: DataFrame, target: dict[str, float] | None = None, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = SAMPLE_ROWS, max_repeat: float | None = None, steps: int = 40, with_text: bool = True) -> DataFrame:
+def projected_rates(cells: DataFrame, share: list[float], held: np.ndarray, max_rate: float, steps: int):
+    """A function from posteriors to rates, fitted by projected gradient steps with momentum on the rates of ``cells``.
+
+    Rates stay between 0 and ``max_rate``, those of documents that are more likely of the first domain than not at 1 or more,
+    so none of them goes. Beside the first domain's tokens the others' are to have the ratios of ``share``: the squared
+    misses are made least, from rates of 1 on. A step is one aggregation over the cells; a rate follows from the steps'
+    misses and a document's own posteriors, so nothing is kept for each document. Targets that these bounds don't allow
+    stay unmet; ``mixing_shares`` tells.
+    """
+    others = [k for k in (1, 2) if held[k] and share[0] > 0]
+    ratio = {k: share[k] / share[0] for k in others}
+
+    def parts(x) -> list[Column]:
+        return [x(f"p{k}") - x("p0") * float(ratio[k]) for k in others]
+
+    def bounded(x, r: Column) -> Column:
+        return F.greatest(F.when(x("p0") > 0.5, F.lit(1.0)).otherwise(F.lit(0.0)), F.least(F.lit(float(max_rate)), r))
+
+    history: list[tuple[list[float], float]] = []
+
+    def after(x) -> Column:
+        """The rate after all steps and the point from which the next one goes."""
+        start = F.struct(F.lit(1.0).alias("r"), F.lit(1.0).alias("y"))
+        if not history:
+            return start
+        past = F.array(*[F.struct(*[F.lit(float(g)).alias(f"g{i}") for i, g in enumerate(gaps)], F.lit(float(b)).alias("b")) for gaps, b in history])
+
+        def step(now: Column, h: Column) -> Column:
+            down = sum((part * h[f"g{i}"] for i, part in enumerate(parts(x))), F.lit(0.0))
+            return let(bounded(x, now["y"] - down), lambda r: F.struct(r.alias("r"), (r + (r - now["r"]) * h["b"]).alias("y")))
+
+        return F.aggregate(past, start, step)
+
+    if others:
+        sums = cells.agg(*[F.sum(F.col("t") * p * p) for p in parts(F.col)], F.sum(F.col("t") * F.col("p0"))).first()
+        scale, tokens = [max(v or 0.0, 1e-9) * len(others) for v in sums[:-1]], sums[-1] or 0.0
+        momentum = 1.0
+        for _ in range(steps):
+            told = cells.withColumn("at", after(F.col))
+            row = told.agg(*[F.sum(F.col("t") * F.col("at.y") * p) for p in parts(F.col)], *[F.sum(F.col("t") * F.col("at.r") * p) for p in parts(F.col)]).first()
+            gaps, missed = [v or 0.0 for v in row[: len(others)]], [v or 0.0 for v in row[len(others) :]]
+            if max(abs(v) for v in missed) <= 1e-3 * tokens:
+                break
+            faster = (1 + (1 + 4 * momentum**2) ** 0.5) / 2
+            history.append(([g / s for g, s in zip(gaps, scale, strict=True)], (momentum - 1) / faster))
+            momentum = faster
+    return lambda x: after(x)["r"]
+
+
+def mixing_rates(docs: DataFrame, labels: DataFrame, target: dict[str, float] | None = None, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = SAMPLE_ROWS, max_repeat: float | None = None, steps: int = 40, with_text: bool = True, keep_first: bool = False, max_rate: float = 4.0) -> DataFrame:
     """Per row of ``docs`` what ``with_posteriors`` tells, and rate: how often the document is to be used.
 
     Rates are nonnegative and bring expected domain tokens, the sum of rate times tokens times posterior, to their
@@ -96,6 +145,9 @@ def mixing_rates(docs: DataFrame, labels: DataFrame, target: dict[str, float] |
     two aggregations over the cells and a few numbers to the driver. A document's rate follows from its posteriors and
     these numbers alone, so the fit is applied row by row without a join.
 
+    With ``keep_first`` the rates come from ``projected_rates`` instead: documents of the first domain stay, and none is
+    used more than ``max_rate`` times.
+
     Null and empty texts have no tokens and rate as their posteriors say. Without labels all posteriors are equal.
     Repeated rows count and are rated each. An empty table gives an empty result. Without ``with_text`` there is no
     doc and the texts are read once.
@@ -108,6 +160,9 @@ def mixing_rates(docs: DataFrame, labels: DataFrame, target: dict[str, float] |
     mass = list(cells.agg(*[F.coalesce(F.sum(F.col("t") * F.col(f"p{k}")), F.lit(0.0)) for k in range(3)]).first())
     share = [target.get(d, 0.0) for d in DOMAINS]
     held = np.array([d in target and m > 0 for d, m in zip(DOMAINS, mass, strict=True)])
+    if keep_first:
+        fitted = projected_rates(cells, share, held, max_rate, steps)
+        return posts.withColumn("rate", let(F.col("mix"), lambda x: fitted(x.__getitem__)))
     total = mass[0] / share[0] if share[0] > 0 and mass[0] > 0 else sum(mass)
     if max_repeat is not None:
         total = min([total, *[max_repeat * m / s for s, m in zip(share, mass, strict=True) if s > 0 and m > 0]])
@@ -156,6 +211,15 @@ def mixing_report(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     return rated.select(F.col("id").alias(options.get("id_col", "doc_id")), F.col("mix.tokens").alias("n_tokens"), *columns, "rate", _copies(F.col("id"), F.col("rate")).alias("copies"))
 
 
+def mixing_shares(report: DataFrame, target: dict[str, float] | None = None) -> DataFrame:
+    """(domain, target, reached) of a ``mixing_report``: each domain's share of the expected tokens of all domains that have a target."""
+    target = TARGET if target is None else target
+    sums = report.agg(*[F.coalesce(F.sum(F.col("n_tokens") * F.col("rate") * F.col(f"p_{d}")), F.lit(0.0)).alias(d) for d in target])
+    whole = sum((F.col(d) for d in target), F.lit(0.0))
+    rows = F.array(*[F.struct(F.lit(d).alias("domain"), F.lit(float(v)).alias("target"), (F.col(d) / F.nullif(whole, F.lit(0.0))).alias("reached")) for d, v in target.items()])
+    return sums.select(F.explode(rows).alias("r")).select("r.*")
+
+
 def mixed_documents(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """``docs`` with mix_rate and mix_copies in place of columns of these names; documents of which no copy is to be used go.
 
