@@ -283,3 +283,77 @@ def test_documents_differ_by_leaves(spark):
         (1, "x.y", "1", "2"), (1, "x.z[1]", "2", None), (1, "n.k", None, "true"), (2, "", "present", None), (4, "r[p].v", "1", "3"),
         (5, "", "[1", None), (5, "[0]", None, "1"), (6, "", None, "present"),
     }
+
+
+def test_pushes_of_one_batch_chain(spark):
+    from datetime import datetime, timedelta
+
+    from tidemark.operators import branch
+
+    base = datetime(2024, 1, 1)
+    steps = [("main", "a", "b"), ("main", "x", "y"), ("main", "b", "c"), ("main", "a", "z"), ("main", "c", "c"), ("dev", "a", "q"), ("main", "", "b"), ("main", "c", "a"), ("main", "a", "d")]
+    steps += [("long", f"n{i}", f"n{i + 1}") for i in range(300)] + [("flip", "u" if i % 2 else "v", "v" if i % 2 else "u") for i in range(101)]
+    rows = [(f"g{i}", 1, b, f, t, True, base + timedelta(seconds=i)) for i, (b, f, t) in enumerate(steps)]
+    rows += [("g0", 1, "main", "a", "b", True, base + timedelta(days=1)), ("lost", 1, "main", "d", "e", False, base + timedelta(days=2)), ("none", 1, "main", "d", "f", None, base)]
+    pushes = spark.createDataFrame(rows, "delivery_guid string, repo_id long, branch string, before_sha string, after_sha string, transition_known boolean, received_at timestamp_ntz")
+    got = {(r.branch, r.before_sha): (r.after_sha, r.hops) for r in branch.branch_transitions(pushes).collect()}
+    expected = {}
+    for b in ("main", "dev", "long", "flip"):
+        mine = [(f, t) for x, f, t in steps if x == b and f and f != t]
+        for start in {f for f, _ in mine}:
+            at, hops = start, 0
+            for f, t in mine:
+                if f == at:
+                    at, hops = t, hops + 1
+            expected[b, start] = (at, hops)
+    assert got == expected and got["main", "a"] == ("d", 4) and got["long", "n0"] == ("n300", 300)
+    assert branch.branch_transitions(pushes.limit(0)).collect() == []
+
+
+def test_neighbours_and_quantiles_of_one_large_key(spark):
+    import random
+
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from tidemark.operators.ordered import exact_quantiles, lag_in_order
+
+    rng = random.Random(7)
+    rows = [("big", i, rng.gauss(0, 1) ** 3) for i in rng.sample(range(100_000), 20_000)] + [("few", i, float(i % 3)) for i in range(9)] + [("one", 1, 5.0), (None, 2, 6.0), (None, 3, None), ("void", 1, None)]
+    df = spark.createDataFrame(rows, "k string, i long, v double")
+    for parts in (1, 7):
+        told = lag_in_order(df, ["k"], ["i"], "i", "last", parts).collect()
+        assert len(told) == len(rows)
+        for k in ("big", "few", "one"):
+            mine = sorted((r.i, r["last"]) for r in told if r.k == k)
+            assert [x for _, x in mine] == [None, *[i for i, _ in mine[:-1]]]
+    got = {(r.k, r.q): r.v for r in exact_quantiles(df, ["k"], "v", [0.0, 0.5, 0.99, 1.0]).collect()}
+    for k in ("big", "few", "one"):
+        for q in (0.0, 0.5, 0.99, 1.0):
+            assert abs(got[k, q] - np.quantile([v for x, _, v in rows if x == k], q)) < 1e-12
+    assert ("void", 0.5) not in got
+    one = exact_quantiles(df.withColumn("w", F.lit(3.0)), [], "w", [0.5]).collect()
+    assert [(r.q, r.w) for r in one] == [(0.5, 3.0)]
+    assert exact_quantiles(df.limit(0), ["k"], "v", [0.5]).collect() == []
+
+
+def test_debounce_of_one_large_key(spark):
+    import random
+    from datetime import datetime
+
+    from pyspark.sql import functions as F
+
+    rng = random.Random(5)
+    times = sorted({rng.randrange(10**9) for _ in range(60_000)})
+    base = int(datetime(2024, 1, 1).timestamp())
+    df = spark.createDataFrame([("k", "a", t) for t in times] + [("k", None, 5), (None, "a", 7), ("j", "a", 9)], "kind string, key string, us long").withColumn("received_at", F.timestamp_micros(F.col("us") + base * 10**6).cast("timestamp_ntz"))
+    expected, opened = [], None
+    for t in times:
+        if opened is None or t >= opened + 50_000:
+            opened = t
+            expected.append([t, 0])
+        expected[-1][1] += 1
+    got = dispatch.debounce(df.withColumn("received_at", F.timestamp_micros("us").cast("timestamp_ntz")), 5).collect()
+    small = dispatch.debounce(df.withColumn("received_at", F.timestamp_micros(F.col("us") * 100).cast("timestamp_ntz")), 5).where("kind = 'k' and key = 'a'").orderBy("opened_us").collect()
+    assert [[r.opened_us // 100, r.instants] for r in small] == expected and len(expected) > 10_000
+    assert sorted(str((r.kind, r.key, r.opened_us, r.instants)) for r in got if (r.kind, r.key) != ("k", "a")) == sorted(map(str, [("k", None, 5, 1), (None, "a", 7, 1), ("j", "a", 9, 1)]))

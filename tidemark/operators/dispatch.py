@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -198,27 +201,65 @@ def coalesce_checks(df: DataFrame) -> DataFrame:
     return coalesce_intents(df.where(F.col("kind") == "refresh_checks"))
 
 
+def _runs(*columns: pa.Array) -> Iterator[tuple[int, int]]:
+    """(from, to) of stretches of rows that agree in all columns."""
+    n = len(columns[0])
+    starts = np.zeros(n, dtype=bool)
+    starts[:1] = True
+    for c in columns:
+        codes = c.dictionary_encode(null_encoding="encode").indices.to_numpy()
+        starts[1:] |= codes[1:] != codes[:-1]
+    bounds = np.append(np.flatnonzero(starts), n)
+    yield from zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)
+
+
+def _opened(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = [("kind", pa.string()), ("key", pa.string()), ("opened_us", pa.int64()), ("instants", pa.int64())]
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, (_, t) in enumerate(kinds)], [n for n, _ in kinds])
+
+
+def _windows(micros: int):
+    """(kind, key, opened_us, instants) from (kind, key, t) in this order; what is open goes on from batch to batch."""
+
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now: list = []  # kind, key, opened, instants
+
+        for batch in batches:
+            kinds, keys, times = (batch.column(c) for c in ("kind", "key", "t"))
+            t = times.to_numpy()
+            out: list[tuple] = []
+            for lo, hi in _runs(kinds, keys):
+                kind, key = kinds[lo].as_py(), keys[lo].as_py()
+                if now and (now[0], now[1]) != (kind, key):
+                    out.append(tuple(now))
+                    now = []
+                at = lo
+                while at < hi:
+                    if not now or t[at] >= now[2] + micros:
+                        if now:
+                            out.append(tuple(now))
+                        now = [kind, key, int(t[at]), 0]
+                    end = lo + int(np.searchsorted(t[lo:hi], now[2] + micros))
+                    now[3] += end - at
+                    at = end
+            yield _opened(out)
+        if now:
+            yield _opened([tuple(now)])
+
+    return windows
+
+
 def debounce(df: DataFrame, seconds: int = 5) -> DataFrame:
     """Windows of fixed length per (kind, key): the first intent opens one, later ones in it don't extend it, the next opens another.
 
-    Times are pre-aggregated to one per key and instant. An instant that comes a window or more after the one before it
-    opens a window for certain, so a key's history is cut there, and only the bursts between are folded in order.
+    Times are pre-aggregated to one per key and instant and sorted within a key. A task reads them in order and keeps only
+    the window that is open, so a key may have any number of instants.
     """
     micros = seconds * 1_000_000
     instants = df.select("kind", "key", F.unix_micros(F.col("received_at").cast("timestamp")).alias("t")).distinct()
-    order = Window.partitionBy("kind", "key").orderBy("t")
-    before = F.lag("t").over(order)
-    bursts = instants.withColumn("cut", (before.isNull() | (F.col("t") >= before + micros)).cast("int")).withColumn("burst", F.sum("cut").over(order))
-    times = bursts.groupBy("kind", "key", "burst").agg(F.sort_array(F.collect_list("t")).alias("times"))
-    seed = F.struct(F.array().cast("array<bigint>").alias("opened"), F.lit(None).cast("bigint").alias("last"))
-
-    def add(done: Column, t: Column) -> Column:
-        opens = done["last"].isNull() | (t >= done["last"] + micros)
-        return F.struct(F.when(opens, F.concat(done["opened"], F.array(t))).otherwise(done["opened"]).alias("opened"), F.when(opens, t).otherwise(done["last"]).alias("last"))
-
-    opened = times.select("kind", "key", "times", F.aggregate("times", seed, add)["opened"].alias("opened")).select("kind", "key", "times", F.explode("opened").alias("opened_us"))
-    inside = F.size(F.filter("times", lambda t: (t >= F.col("opened_us")) & (t < F.col("opened_us") + micros)))
-    return opened.select("kind", "key", "opened_us", (F.col("opened_us") + micros).alias("due_us"), inside.cast("long").alias("instants"))
+    ordered = instants.repartition("kind", "key").sortWithinPartitions("kind", "key", "t")
+    opened = ordered.mapInArrow(_windows(micros), "kind string, key string, opened_us long, instants long")
+    return opened.select("kind", "key", "opened_us", (F.col("opened_us") + micros).alias("due_us"), "instants")
 
 
 def bump_generations(state: DataFrame, intents: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from ..functions.scalars import seconds_between
 from .changes import after_counts
+from .ordered import exact_quantiles
 
 
 def _ts(text: str) -> Column:
@@ -129,11 +130,10 @@ def hist_quantile(hist: DataFrame, quantiles: list[float]) -> DataFrame:
 
 
 def slo_check(latencies: DataFrame, value: str, objectives: dict[float, float]) -> DataFrame:
-    """Exact percentiles against their objectives."""
-    quantiles = sorted(objectives)
-    row = latencies.agg(F.percentile(value, F.array(*[F.lit(q) for q in quantiles])).alias("p"))
-    pairs = F.arrays_zip("p", F.array(*[F.lit(q) for q in quantiles]).alias("q"), F.array(*[F.lit(objectives[q]) for q in quantiles]).alias("bound_s"))
-    return row.select(F.explode(pairs).alias("x")).select(F.col("x.q").alias("q"), F.col("x.p").alias("value_s"), F.col("x.bound_s").alias("bound_s"), (F.col("x.p") <= F.col("x.bound_s")).alias("met"))
+    """Exact percentiles against their objectives; none without values."""
+    found = exact_quantiles(latencies, [], value, sorted(objectives))
+    bound = F.create_map(*[F.lit(float(x)) for q in sorted(objectives) for x in (q, objectives[q])])[F.col("q")]
+    return found.select("q", F.col(value).alias("value_s"), bound.alias("bound_s"), (F.col(value) <= bound).alias("met"))
 
 
 def endpoint_family(path: Column) -> Column:

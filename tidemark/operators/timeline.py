@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from ..functions.session import checkpoint_dir
 from .merge import dense_sequence
+from .ordered import exact_quantiles, lag_in_order
 
 #: fixed values: causal order of kinds at one instant
 KIND_ORDER = ("commit", "push", "pull_request", "stack", "review", "review_thread", "review_comment", "issue_comment", "check_suite", "check_run")
@@ -74,8 +75,8 @@ def thread_events(threads: DataFrame) -> DataFrame:
 
 def pushes(commits: DataFrame) -> DataFrame:
     """Commits of a default branch (repo_id, sha, parent_sha, committed_at) as pushes: before is the first parent, else the commit before it."""
-    w = Window.partitionBy("repo_id").orderBy("committed_at", "sha")
-    return commits.select("repo_id", F.coalesce("parent_sha", F.lag("sha").over(w), F.lit("")).alias("before_sha"), F.col("sha").alias("after_sha"), "committed_at")
+    told = lag_in_order(commits.select("repo_id", "sha", "parent_sha", "committed_at"), ["repo_id"], ["committed_at", "sha"], "sha", "__last")
+    return told.select("repo_id", F.coalesce("parent_sha", "__last", F.lit("")).alias("before_sha"), F.col("sha").alias("after_sha"), "committed_at")
 
 
 def stack_edges(pulls: DataFrame, default_branch: str = "main") -> DataFrame:
@@ -160,8 +161,9 @@ def validate_recording(df: DataFrame) -> DataFrame:
 
 def arrival_profile(df: DataFrame, by: str, window: str = "1 hour") -> DataFrame:
     """Per group: events, gaps' quantiles in seconds, the busiest window."""
-    w = Window.partitionBy(by).orderBy("at")
-    gap = (F.unix_micros(F.col("at").cast("timestamp")) - F.unix_micros(F.lag("at").over(w).cast("timestamp"))) / 1_000_000
-    gaps = df.withColumn("gap_s", gap).groupBy(by).agg(F.count(F.lit(1)).alias("events"), F.percentile("gap_s", 0.5).alias("p50_s"), F.max("gap_s").alias("max_s"))
+    told = lag_in_order(df.select(by, "at"), [by], ["at"], "at", "__last")
+    gaps = told.withColumn("gap_s", (F.unix_micros(F.col("at").cast("timestamp")) - F.unix_micros(F.col("__last").cast("timestamp"))) / 1_000_000)
+    counts = gaps.groupBy(by).agg(F.count(F.lit(1)).alias("events"), F.max("gap_s").alias("max_s"))
+    middle = exact_quantiles(gaps, [by], "gap_s", [0.5]).select(by, F.col("gap_s").alias("p50_s"))
     busy = df.groupBy(by, F.window("at", window)).agg(F.count(F.lit(1)).alias("n")).groupBy(by).agg(F.max("n").alias("peak"))
-    return gaps.join(busy, by)
+    return counts.join(middle, by, "left").join(busy, by).select(by, "events", "p50_s", "max_s", "peak")

@@ -345,7 +345,7 @@ def _(spark, sf):
     return _targets(spark, sf)
 
 
-MOVES = f"SELECT repo_id, branch, before_sha, arg_max(after_sha, (received_at, delivery_guid)) AS after_sha FROM ({PUSHES}) WHERE transition_known GROUP BY repo_id, branch, before_sha"
+MOVES = f"SELECT repo_id, branch, before_sha, arg_min(after_sha, (received_at, delivery_guid)) AS after_sha FROM ({PUSHES}) WHERE transition_known GROUP BY repo_id, branch, before_sha"
 
 
 @query("e4_apply_push", f"SELECT p.repo_id, p.number, CASE WHEN p.state = 'open' AND p.tombstoned_at IS NULL AND h.after_sha IS NOT NULL THEN h.after_sha ELSE p.head_sha END AS head_sha, CASE WHEN p.state = 'open' AND p.tombstoned_at IS NULL AND s.after_sha IS NOT NULL THEN s.after_sha ELSE p.base_sha END AS base_sha, p.state = 'open' AND p.tombstoned_at IS NULL AND (h.after_sha IS NOT NULL OR s.after_sha IS NOT NULL) AS moved FROM fx_pulls p LEFT JOIN ({MOVES}) h ON h.repo_id = p.repo_id AND h.branch = p.head_ref AND h.before_sha = p.head_sha LEFT JOIN ({MOVES}) s ON s.repo_id = p.repo_id AND s.branch = p.base_ref AND s.before_sha = p.base_sha")
@@ -357,6 +357,48 @@ def _(spark, sf):
 def _(spark, sf):
     return b.push_stacks(_stacks(spark, sf), run_sql(spark, sf, PUSHES)).select("repo_id", "stack_number", F.array_join("entries.head_sha", ",").alias("heads"))
 
+# pushes that lead from commit to commit of a branch, there and back; the SQL applies them one by one
+CHAINED = "SELECT 'e' || CAST(event_id AS STRING) AS delivery_guid, CAST(floor((user_id * 7) / 5) AS BIGINT) % 25 AS repo_id, CASE WHEN event_id % 3 = 0 THEN 'main' ELSE 'b' || CAST(user_id * 7 AS STRING) END AS branch, 's' || CAST(event_id % 4 AS STRING) AS before_sha, 's' || CAST(CAST(floor(event_id / 4) AS BIGINT) % 4 AS STRING) AS after_sha, event_id % 11 > 0 AS transition_known, ts AS received_at FROM events"
+CHAINED_PULLS = "SELECT repo_id, number, state, tombstoned_at, head_ref, 's' || CAST(number % 3 AS STRING) AS head_sha, base_ref, 's' || CAST(number % 5 AS STRING) AS base_sha FROM fx_pulls"
+CHAINED_REPOS = "SELECT repo_id, default_branch, 's' || CAST(repo_id % 6 AS STRING) AS head_sha, tombstoned_at FROM fx_repos"
+ENDS = f"p AS (SELECT repo_id, branch, before_sha, after_sha, row_number() OVER (PARTITION BY repo_id, branch ORDER BY received_at, delivery_guid) AS i FROM ({CHAINED}) WHERE transition_known AND before_sha <> after_sha), w AS (SELECT repo_id, branch, before_sha AS start, before_sha AS stood, CAST(0 AS BIGINT) AS i, CAST(0 AS BIGINT) AS hops FROM (SELECT DISTINCT repo_id, branch, before_sha FROM p) UNION ALL SELECT w.repo_id, w.branch, w.start, CASE WHEN p.before_sha = w.stood THEN p.after_sha ELSE w.stood END, p.i, w.hops + CASE WHEN p.before_sha = w.stood THEN 1 ELSE 0 END FROM w JOIN p ON p.repo_id = w.repo_id AND p.branch = w.branch AND p.i = w.i + 1), v AS (SELECT repo_id, branch, start AS before_sha, arg_max(stood, i) AS after_sha, max(hops) AS hops FROM w GROUP BY 1, 2, 3)"
+MOVED_PULLS = f"mp AS (SELECT x.repo_id, x.number, coalesce(h.after_sha, x.head_sha) AS head_sha, coalesce(s.after_sha, x.base_sha) AS base_sha, h.hops IS NOT NULL OR s.hops IS NOT NULL AS moved FROM ({CHAINED_PULLS}) x LEFT JOIN v h ON h.repo_id = x.repo_id AND h.branch = x.head_ref AND h.before_sha = x.head_sha AND x.state = 'open' AND x.tombstoned_at IS NULL LEFT JOIN v s ON s.repo_id = x.repo_id AND s.branch = x.base_ref AND s.before_sha = x.base_sha AND x.state = 'open' AND x.tombstoned_at IS NULL)"
+MOVED_REPOS = f"mr AS (SELECT r.repo_id, CASE WHEN r.tombstoned_at IS NULL THEN coalesce(v.after_sha, r.head_sha) ELSE r.head_sha END AS head_sha, r.tombstoned_at IS NULL AND v.hops IS NOT NULL AS moved FROM ({CHAINED_REPOS}) r LEFT JOIN v ON v.repo_id = r.repo_id AND v.branch = r.default_branch AND v.before_sha = r.head_sha)"
+CHAINED_ENTRY = "SELECT repo_id, stack_number, position, number, head_ref, 's' || CAST(number % 3 AS STRING) AS head_sha, base_ref, 's' || CAST(number % 5 AS STRING) AS base_sha, updated_at FROM (" + MEMBERS + ")"
+MOVED_STACKS = f"en AS (SELECT e.repo_id, e.stack_number, e.number, h.hops IS NOT NULL OR e.position = min(e.position) OVER (PARTITION BY e.repo_id, e.stack_number) AND s.hops IS NOT NULL AS moved FROM ({CHAINED_ENTRY}) e LEFT JOIN v h ON h.repo_id = e.repo_id AND h.branch = e.head_ref AND h.before_sha = e.head_sha LEFT JOIN v s ON s.repo_id = e.repo_id AND s.branch = e.base_ref AND s.before_sha = e.base_sha), ms AS (SELECT repo_id, stack_number, bool_or(moved) AS moved FROM en GROUP BY 1, 2)"
+
+
+def _chained(spark, sf):
+    """Pull requests, stacks and repositories after the pushes."""
+    moves = b.branch_transitions(run_sql(spark, sf, CHAINED))
+    stacks = m.shape_stacks(run_sql(spark, sf, CHAINED_ENTRY)).withColumn("tombstoned_at", F.lit(None).cast("timestamp_ntz"))
+    return b.push_pulls(run_sql(spark, sf, CHAINED_PULLS), None, moves), b.push_stacks(stacks, None, moves), b.push_repos(run_sql(spark, sf, CHAINED_REPOS), None, moves)
+
+
+@query("e4_branch_transitions", f"WITH RECURSIVE {ENDS} SELECT * FROM v")
+def _(spark, sf):
+    return b.branch_transitions(run_sql(spark, sf, CHAINED))
+
+
+@query("e4_push_chains", f"WITH RECURSIVE {ENDS}, {MOVED_PULLS} SELECT * FROM mp")
+def _(spark, sf):
+    return _chained(spark, sf)[0].select("repo_id", "number", "head_sha", "base_sha", "moved")
+
+
+@query("e4_push_repos", f"WITH RECURSIVE {ENDS}, {MOVED_REPOS} SELECT * FROM mr")
+def _(spark, sf):
+    return _chained(spark, sf)[2].select("repo_id", "head_sha", "moved")
+
+
+@query("e4_push_scopes", f"WITH RECURSIVE {ENDS}, {MOVED_PULLS}, {MOVED_STACKS} SELECT DISTINCT CASE WHEN e.stack_number IS NULL THEN 'repo:' || mp.repo_id || ':pr:' || mp.number ELSE 'repo:' || e.repo_id || ':stack:' || e.stack_number END AS scope_key FROM mp LEFT JOIN en e ON e.repo_id = mp.repo_id AND e.number = mp.number WHERE mp.moved UNION SELECT 'repo:' || repo_id || ':stack:' || stack_number FROM ms WHERE moved")
+def _(spark, sf):
+    return b.push_effects(*_chained(spark, sf))[0]
+
+
+@query("e4_push_events", f"WITH RECURSIVE {ENDS}, {MOVED_PULLS}, {MOVED_STACKS}, {MOVED_REPOS} SELECT 'repository.changed' AS kind, 'repo:' || repo_id AS entity_key FROM mr WHERE moved UNION ALL SELECT 'pull_request.changed', 'pr:' || repo_id || ':' || number FROM mp WHERE moved UNION ALL SELECT 'stack.changed', 'stack:' || repo_id || ':' || stack_number FROM ms WHERE moved")
+def _(spark, sf):
+    return b.push_effects(*_chained(spark, sf))[1]
+
 
 @query("e5_begin_reconciliation", f"WITH s AS (SELECT repo_id, branch, count(*) AS generation, min(delivery_guid) AS g FROM ({PUSHES}) WHERE branch = 'main' GROUP BY repo_id, branch), n AS (SELECT p.repo_id, p.branch, count(DISTINCT delivery_guid) AS n, arg_max(delivery_guid, (received_at, delivery_guid)) AS g FROM ({PUSHES}) p WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.repo_id = p.repo_id AND s.branch = p.branch AND s.g = p.delivery_guid) GROUP BY p.repo_id, p.branch) SELECT coalesce(s.repo_id, n.repo_id) AS repo_id, coalesce(s.branch, n.branch) AS branch, coalesce(s.generation, 0) + coalesce(n.n, 0) AS generation, coalesce(n.g, s.g) AS delivery_guid FROM s FULL JOIN n ON s.repo_id = n.repo_id AND s.branch = n.branch")
 def _(spark, sf):
