@@ -357,3 +357,16 @@ def test_debounce_of_one_large_key(spark):
     small = dispatch.debounce(df.withColumn("received_at", F.timestamp_micros(F.col("us") * 100).cast("timestamp_ntz")), 5).where("kind = 'k' and key = 'a'").orderBy("opened_us").collect()
     assert [[r.opened_us // 100, r.instants] for r in small] == expected and len(expected) > 10_000
     assert sorted(str((r.kind, r.key, r.opened_us, r.instants)) for r in got if (r.kind, r.key) != ("k", "a")) == sorted(map(str, [("k", None, 5, 1), (None, "a", 7, 1), ("j", "a", 9, 1)]))
+
+
+def test_document_diff_tells_paths_apart_at_any_depth(spark):
+    from tidemark.operators.drift import document_diff
+
+    deep = "[" * 7 + "{}" + "]" * 7
+    a = [(1, '{"a.b":1}'), (2, '{"r":[{"identity":"p","v":1},{"identity":"p","v":2}]}'), (3, deep.replace("{}", "1")), (4, '{"k":[1,{"identity":"x"}]}'), (5, '{"a":1,"b":[{"c":null}]}'), (None, '{"q\\"]":1}'), (7, None), (8, '{"0":1}')]
+    b = [(1, '{"a":{"b":1}}'), (2, '{"r":[{"identity":"p","v":1},{"identity":"p","v":3}]}'), (3, deep.replace("{}", "2")), (4, '{"k":[{"identity":"x"},1]}'), (5, '{ "b" : [{"c":null}], "a" : 1 }'), (7, "{}"), (8, "[1]")]
+    got = {tuple(r) for r in document_diff(*[spark.createDataFrame(x, "id long, document string") for x in (a, b)], ["id"]).collect()}
+    assert got == {
+        (1, '["a.b"]', "1", None), (1, "a.b", None, "1"), (2, "r[p#1].v", "2", "3"), (3, "[0]" * 7, "1", "2"), (4, "k[0]", "1", None), (4, "k[0].identity", None, '"x"'),
+        (4, "k[1].identity", '"x"', None), (4, "k[1]", None, "1"), (None, "", "present", None), (7, "", None, "present"), (8, '["0"]', "1", None), (8, "[0]", None, "1"),
+    }

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import json
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from ..functions.session import checkpoint_dir
 
 #: fixed values: how mergeability and review decisions are classed
 MERGEABLE = {"MERGEABLE": "mergeable", "CLEAN": "mergeable", "CONFLICTING": "conflicting", "DIRTY": "conflicting", "UNKNOWN": "unknown", "": "unknown"}
@@ -82,49 +83,70 @@ def semantic_diff(cache: DataFrame, upstream: DataFrame, keys: list[str], fields
     return both.select(*keys, F.explode(diffs).alias("d")).select(*keys, "d.*")
 
 
+#: A step of a path into a document: a field's name, an item's position, or an item's identity with its place among items of the same.
+STEP = "struct<kind:string,name:string,nth:int>"
+
+
+def _path(steps: Column) -> Column:
+    """Steps as text. Names that aren't plain words are quoted, so different steps never give one text."""
+
+    def shown(s: Column) -> Column:
+        name = s["name"]
+        quoted = F.concat(F.lit('"'), F.regexp_replace(name, r'(["\\])', r"\\$1"), F.lit('"'))
+        field = F.when(name.rlike("^[A-Za-z_][A-Za-z0-9_-]*$"), F.concat(F.lit("."), name)).otherwise(F.concat(F.lit("["), quoted, F.lit("]")))
+        again = F.when(s["nth"] > 0, F.concat(F.lit("#"), s["nth"].cast("string"))).otherwise("")
+        plain = name.rlike("^[A-Za-z_./:@-][A-Za-z0-9_./:@-]*$")
+        named = F.concat(F.lit("["), F.when(plain, name).otherwise(F.concat(F.lit("="), quoted)), again, F.lit("]"))
+        return F.when(s["kind"] == "field", field).when(s["kind"] == "item", F.concat(F.lit("["), name, F.lit("]"))).otherwise(named)
+
+    return F.regexp_replace(F.array_join(F.transform(steps, shown), ""), r"^\.", "")
+
+
+def _members(side: DataFrame) -> DataFrame:
+    """(d, steps, v, text) one level below (d, steps, v): what objects and arrays hold, each with its step."""
+    items = F.when(F.col("text").startswith("["), F.try_variant_get("v", "$", "array<variant>"))
+    named = F.coalesce(F.forall(items, lambda x: F.try_variant_get(x, "$.identity", "string").isNotNull()), F.lit(False))
+    told = side.withColumns({"named": named, "list": F.col("text").startswith("[")})
+    below = told.lateralJoin(told.sparkSession.tvf.variant_explode(F.col("v").outer()))
+    kind = F.when(~F.col("list"), "field").when(F.col("named"), "named").otherwise("item")
+    name = F.when(~F.col("list"), F.col("key")).when(F.col("named"), F.try_variant_get("value", "$.identity", "string")).otherwise(F.col("pos").cast("string"))
+    stepped = below.select("d", "steps", "pos", kind.alias("kind"), name.alias("name"), F.col("value").alias("v"))
+    # items that repeat an identity are told apart by their order
+    nth = F.when(F.col("kind") == "named", F.row_number().over(Window.partitionBy("d", "steps", "kind", "name").orderBy("pos")) - 1).otherwise(F.lit(0))
+    return stepped.select("d", F.concat("steps", F.array(F.struct("kind", "name", nth.alias("nth")))).alias("steps"), "v", F.to_json("v").alias("text"))
+
+
 def document_diff(cache: DataFrame, upstream: DataFrame, keys: list[str]) -> DataFrame:
     """One row per differing leaf of JSON documents (keys, document): keys, path, cache_value, upstream_value.
 
-    Objects and arrays are compared to any depth: a leaf's path names its fields and positions, arrays of objects that all
-    have an ``identity`` are compared by it, whatever their order. Of one-sided rows, leaves or containers the missing side is null; a row on
-    one side only has path ''. A document that isn't JSON is one leaf.
+    Documents are compared level by level as variants: what objects and arrays hold is exploded on both sides and joined by
+    its steps, and only members that differ go on to the next level, so a round shuffles what is left to compare. A round
+    is one level; the depth isn't bounded by anything here. Arrays of objects that all have an ``identity`` are compared by it, whatever
+    their order, and by place among items that repeat it. Empty objects and arrays are leaves. Of one-sided leaves the
+    missing side is null; a row on one side only has path ''. A document that isn't JSON is one leaf.
     """
-
-    def leaves(text: str | None) -> dict[str, str]:
-        out: dict[str, str] = {}
-
-        def walk(path: str, value) -> None:
-            if isinstance(value, dict) and value:
-                for k, v in value.items():
-                    walk(f"{path}.{k}" if path else k, v)
-            elif isinstance(value, list) and value:
-                named = all(isinstance(v, dict) and v.get("identity") is not None for v in value)
-                for i, v in enumerate(value):
-                    walk(f"{path}[{v['identity'] if named else i}]", v)
-            else:
-                out[path] = json.dumps(value, ensure_ascii=False, sort_keys=True)
-
-        try:
-            walk("", json.loads(text))
-        except ValueError:
-            out[""] = text
-        return out
-
-    @F.pandas_udf("array<struct<path:string,cache_value:string,upstream_value:string>>")
-    def compared(left: pd.Series, right: pd.Series) -> pd.Series:
-        found = []
-        for a, b in zip(left, right, strict=True):
-            if a is None or b is None:
-                found.append([("", None if a is None else "present", None if b is None else "present")])
-                continue
-            a, b = leaves(a), leaves(b)
-            found.append([(p, a.get(p), b.get(p)) for p in sorted(a.keys() | b.keys()) if a.get(p) != b.get(p)])
-        return pd.Series(found)
-
+    spark = cache.sparkSession
+    checkpoint_dir(spark)
     both = cache.select(*keys, F.col("document").alias("c")).join(upstream.select(*keys, F.col("document").alias("u")), keys, "full")
-    # equal texts never reach Python
-    differ = both.where(~F.col("c").eqNullSafe(F.col("u")))
-    return differ.select(*keys, F.explode(compared("c", "u")).alias("d")).select(*keys, "d.*")
+    rows = both.where(~F.col("c").eqNullSafe(F.col("u"))).withColumn("d", F.monotonically_increasing_id()).checkpoint()
+    root = F.array().cast(f"array<{STEP}>").alias("steps")
+    one_sided = rows.where("c is null or u is null").select("d", root, *[F.when(F.col(x).isNotNull(), "present").alias(y) for x, y in (("c", "cache_value"), ("u", "upstream_value"))])
+    found = [one_sided]
+    top = rows.where("c is not null and u is not null").select("d", root, *[F.try_parse_json(x).alias(f"v{x}") for x in "cu"], "c", "u")
+    level = top.select("d", "steps", *[c for x in "cu" for c in (F.col(f"v{x}"), F.coalesce(F.to_json(f"v{x}"), F.col(x)).alias(f"t{x}"))])
+    while True:
+        # an inner object or array is one that is JSON and holds something
+        inner = {x: F.coalesce(F.col(f"v{x}").isNotNull() & F.col(f"t{x}").rlike(r"^[\[{]") & ~F.col(f"t{x}").isin("[]", "{}"), F.lit(False)) for x in "cu"}
+        level = level.where(~F.col("tc").eqNullSafe(F.col("tu"))).withColumns({f"i{x}": inner[x] for x in "cu"}).checkpoint()
+        leaves = level.where("(tc is not null and not ic) or (tu is not null and not iu)")
+        found.append(leaves.select("d", "steps", F.when(~F.col("ic"), F.col("tc")).alias("cache_value"), F.when(~F.col("iu"), F.col("tu")).alias("upstream_value")))
+        deeper = level.where("ic or iu")
+        if deeper.isEmpty():
+            break
+        sides = [_members(deeper.where(f"i{x}").select("d", "steps", F.col(f"v{x}").alias("v"), F.col(f"t{x}").alias("text"))).select("d", "steps", F.col("v").alias(f"v{x}"), F.col("text").alias(f"t{x}")) for x in "cu"]
+        level = sides[0].join(sides[1], ["d", "steps"], "full")
+    leaf = reduce(DataFrame.unionByName, found)
+    return leaf.join(rows.select("d", *keys), "d").select(*keys, _path(F.col("steps")).alias("path"), "cache_value", "upstream_value")
 
 
 def diff_hashes(diffs: DataFrame, keys: list[str]) -> DataFrame:

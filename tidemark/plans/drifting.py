@@ -76,6 +76,42 @@ def _(spark, sf):
     return _diff(spark, sf)
 
 
+# nested documents of which some leaves differ, with a name that holds a dot, items in another order and items that repeat an identity
+DOCUMENT = """SELECT number, '{"title":"' || title || '","head":{"ref":"' || head_ref || '","sha":"' || {sha} || '"},"head.ref":' || {dotted} || ',"reviews":[' || {reviews} || '],"labels":[{"identity":"l","v":1},{"identity":"l","v":' || {label} || '}],"tail":[1' || {tail} || ']}' AS document FROM fx_pulls WHERE {some}"""
+
+
+def _document(**parts: str) -> str:
+    out = DOCUMENT
+    for name, text in parts.items():
+        out = out.replace("{" + name + "}", text)
+    return out
+
+
+HERE = _document(sha="head_sha", dotted="'1'", reviews="""'{"identity":"p","v":1},{"identity":"q","v":[]}'""", label="'2'", tail="',2'", some="number % 19 <> 0")
+THERE = _document(
+    sha="CASE WHEN number % 7 = 0 THEN 'moved' ELSE head_sha END", dotted="CASE WHEN number % 3 = 0 THEN '{\"x\":true}' ELSE '1' END",
+    reviews="""CASE WHEN number % 5 = 0 THEN '{"identity":"q","v":[]},{"identity":"p","v":1}' ELSE '{"identity":"q","v":[[3]]},{"identity":"p","v":1}' END""",
+    label="CASE WHEN number % 4 = 0 THEN '3' ELSE '2' END", tail="CASE WHEN number % 11 = 0 THEN '' ELSE ',2' END", some="number % 17 <> 0",
+)
+BOTH = "SELECT number, head_sha FROM fx_pulls WHERE number % 19 <> 0 AND number % 17 <> 0"
+
+
+@query(
+    "i7_document_diff",
+    f"""WITH b AS ({BOTH})
+SELECT number, '' AS path, CASE WHEN number % 19 <> 0 THEN 'present' END AS cache_value, CASE WHEN number % 17 <> 0 THEN 'present' END AS upstream_value FROM fx_pulls WHERE (number % 19 = 0) <> (number % 17 = 0)
+UNION ALL SELECT number, 'head.sha', '"' || head_sha || '"', '"moved"' FROM b WHERE number % 7 = 0
+UNION ALL SELECT number, '["head.ref"]', '1', NULL FROM b WHERE number % 3 = 0
+UNION ALL SELECT number, '["head.ref"].x', NULL, 'true' FROM b WHERE number % 3 = 0
+UNION ALL SELECT number, 'reviews[q].v', '[]', NULL FROM b WHERE number % 5 <> 0
+UNION ALL SELECT number, 'reviews[q].v[0][0]', NULL, '3' FROM b WHERE number % 5 <> 0
+UNION ALL SELECT number, 'labels[l#1].v', '2', '3' FROM b WHERE number % 4 = 0
+UNION ALL SELECT number, 'tail[1]', '2', NULL FROM b WHERE number % 11 = 0""",
+)
+def _(spark, sf):
+    return d.document_diff(run_sql(spark, sf, HERE), run_sql(spark, sf, THERE), ["number"])
+
+
 STATE = "SELECT 'k' || CAST(number AS STRING) AS entity_key, CASE WHEN number % 2 = 0 THEN 'h' ELSE 'g' END AS diff_hash, CAST(1 AS BIGINT) AS occurrence_count, number % 3 = 0 AS heal_completed, gh_updated_at AS first_seen_at, CASE WHEN number % 5 = 0 THEN gh_updated_at END AS resolved_at FROM fx_pulls"
 FOUND = "SELECT 'k' || CAST(number AS STRING) AS entity_key, CASE WHEN number % 4 = 0 THEN 'new' ELSE 'h' END AS diff_hash FROM fx_pulls WHERE number % 7 > 0"
 CHECKED = "SELECT 'k' || CAST(number AS STRING) AS entity_key FROM fx_pulls WHERE number % 8 > 0"
