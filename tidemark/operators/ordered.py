@@ -32,6 +32,25 @@ def lag_in_order(df: DataFrame, by: list[str], order: list[str], value: str, nam
     return out.select(*df.columns, F.when(F.col("__first"), F.col(f"__edge.{value}")).otherwise(F.col(name)).alias(name))
 
 
+def scan_in_order(df: DataFrame, by: list[str], order: list[str], fields: list[str], partitions: int | None = None) -> DataFrame:
+    """``df`` with each of ``fields`` replaced by its last value that isn't null up to the row, in the ``order`` of its key ``by``.
+
+    A row is a change of state that sets some fields; changes compose to the last value of each. They are composed within
+    sorted ranges by a window, and over ranges from one composed change a range and key, so a key of any size is spread.
+    """
+    spark = df.sparkSession
+    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    checkpoint_dir(spark)
+    ranged = df.repartitionByRange(n, *by, *order).sortWithinPartitions(*by, *order).withColumn("__pos", F.monotonically_increasing_id()).withColumn("__range", F.shiftright("__pos", 33)).checkpoint()
+    so_far = Window.partitionBy("__range", *by).orderBy("__pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    within = ranged.withColumns({f: F.last(f, ignorenulls=True).over(so_far) for f in fields})
+    edges = ranged.groupBy(*by, "__range").agg(*[F.max_by(f, F.when(F.col(f).isNotNull(), F.col("__pos"))).alias(f"__{f}") for f in fields])
+    earlier = Window.partitionBy(*by).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    carried = edges.select(*by, "__range", F.row_number().over(Window.partitionBy(*by).orderBy("__range")).alias("__nth"), *[F.last(f"__{f}", ignorenulls=True).over(earlier).alias(f"__{f}") for f in fields])
+    out = within.join(F.broadcast(carried.where("__nth > 1").drop("__nth")), [*by, "__range"], "left")  # a row for each range at most
+    return out.select(*[F.coalesce(c, f"__{c}").alias(c) if c in fields else F.col(c) for c in df.columns])
+
+
 def exact_quantiles(df: DataFrame, by: list[str], value: str, quantiles: list[float]) -> DataFrame:
     """(by, q, value): exact quantiles of the values of each key, interpolated between neighbours; nulls don't count.
 

@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from ..functions.session import checkpoint_dir
 from .merge import dense_sequence
-from .ordered import exact_quantiles, lag_in_order
+from .ordered import exact_quantiles, lag_in_order, scan_in_order
 
 #: fixed values: causal order of kinds at one instant
 KIND_ORDER = ("commit", "push", "pull_request", "stack", "review", "review_thread", "review_comment", "issue_comment", "check_suite", "check_run")
@@ -41,16 +41,53 @@ def dedupe_timeline(df: DataFrame) -> DataFrame:
 def pull_state_at(timeline: DataFrame, probes: DataFrame) -> DataFrame:
     """The state of pull requests (repo_id, number) at probe times: each field's last value at or before the probe.
 
-    An as-of join by one window over events and probes together; at one instant events go before probes.
+    An as-of join by one scan over events and probes together; at one instant events go before probes.
     """
     fields = ["state", "head_sha", "base_ref", "decision"]
     e = timeline.select("repo_id", "number", "at", F.lit(0).alias("probe"), *fields, F.lit(None).cast("long").alias("probe_id"))
     p = probes.select("repo_id", "number", "at", F.lit(1).alias("probe"), *[F.lit(None).cast("string").alias(f) for f in fields], "probe_id")
-    w = Window.partitionBy("repo_id", "number").orderBy("at", "probe").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    out = e.unionByName(p).select("repo_id", "number", "at", "probe", "probe_id", *[F.last(f, ignorenulls=True).over(w).alias(f) for f in fields])
+    out = scan_in_order(e.unionByName(p), ["repo_id", "number"], ["at", "probe"], fields)
     return out.where("probe = 1").select("probe_id", "repo_id", "number", "at", *fields)
 
 
+def pull_history_at(pulls: DataFrame, timeline: DataFrame, probes: DataFrame) -> DataFrame:
+    """What pull requests looked like at probe times: probe_id, repo_id, number, state, merged, closed_at, merged_at, head_sha, base_ref, base_sha, decision, updated_at.
+
+    ``pulls`` (repo_id, number, created_at, base_ref, base_sha) tell the end; ``timeline`` (repo_id, number, at, node, kind, sha,
+    ref, previous_ref, review_id, verdict) what happened, in order of at and node. Every event is a change that sets some of
+    the state, and changes up to the probe compose (``scan_in_order``). At first a pull request is open, its head is its
+    first commit, its base what the first change of base left. Commits and forced pushes set the head, so a forced push
+    drops what it doesn't hold; a change to the last base brings that one's commit, to others none. A review that
+    is dismissed later counts until then by the verdict it had; dismissal clears the decision. Reopening clears the closing,
+    not the merge. Reviews don't count as updates.
+    """
+    key = ["repo_id", "number"]
+    gone = timeline.where("kind = 'dismissed' and review_id is not null").groupBy(*key, "review_id").agg(F.min_by(F.coalesce("verdict", F.lit("")), F.struct("at", "node")).alias("__before"))
+    reviewed = timeline.join(gone, [*key, "review_id"], "left").join(pulls.select(*key, F.col("base_ref").alias("__ref"), F.col("base_sha").alias("__sha")), key)
+    kind, at = F.col("kind"), F.col("at")
+    verdict = F.upper(F.coalesce(F.nullif("__before", F.lit("")), "verdict"))
+    commit = kind.isin("commit", "force_push") & (F.coalesce("sha", F.lit("")) != "")
+    changes = {
+        "head": F.when(commit, F.col("sha")),
+        "base": F.when(kind == "base_changed", F.struct(F.col("ref").alias("ref"), F.when(F.col("ref") == F.col("__ref"), F.col("__sha")).otherwise("").alias("sha"))),
+        "decision": F.when((kind == "review") & verdict.isin("APPROVED", "CHANGES_REQUESTED"), verdict).when(kind == "dismissed", ""),
+        "life": F.when(kind.isin("closed", "merged"), F.struct(F.lit("closed").alias("state"), at.alias("closed_at"))).when(kind == "reopened", F.struct(F.lit("open").alias("state"), F.lit(None).cast("timestamp_ntz").alias("closed_at"))),
+        "merged_at": F.when(kind == "merged", at),
+        "updated_at": F.when(commit | kind.isin("base_changed", "closed", "merged", "reopened"), at),
+    }
+    events = reviewed.select(*key, "at", F.lit(0).alias("asked"), "node", F.lit(None).cast("long").alias("probe_id"), *[c.alias(f) for f, c in changes.items()])
+    asked = probes.select(*key, "at", F.lit(1).alias("asked"), F.col("probe_id").alias("node"), "probe_id", *[F.lit(None).cast(events.schema[f].dataType).alias(f) for f in changes])
+    told = scan_in_order(events.unionByName(asked), key, ["at", "asked", "node"], list(changes)).where("asked = 1")
+    first = F.struct("at", "node")
+    start = timeline.groupBy(*key).agg(F.min_by("sha", F.when((kind == "commit") & (F.coalesce("sha", F.lit("")) != ""), first)).alias("__head"), F.min_by("previous_ref", F.when((kind == "base_changed") & (F.coalesce("previous_ref", F.lit("")) != ""), first)).alias("__base"))
+    out = told.join(pulls.select(*key, "created_at", "base_ref", "base_sha"), key).join(start, key, "left")
+    return out.select(
+        "probe_id", *key, F.coalesce("life.state", F.lit("open")).alias("state"), F.col("merged_at").isNotNull().alias("merged"), "life.closed_at", "merged_at", F.coalesce("head", "__head").alias("head_sha"),
+        F.coalesce("base.ref", "__base", "base_ref").alias("base_ref"), F.when(F.col("base").isNotNull(), F.col("base.sha")).when(F.col("__base").isNotNull(), "").otherwise(F.col("base_sha")).alias("base_sha"),
+        F.coalesce("decision", F.lit("")).alias("decision"), F.greatest("created_at", F.coalesce("updated_at", "created_at")).alias("updated_at"),
+    )
+
+
 def pull_events(timeline: DataFrame) -> DataFrame:
     """Each timeline row with the state that it leaves, the previous head, and an action: opened for the first."""
     w = Window.partitionBy("repo_id", "number").orderBy("at", "node")

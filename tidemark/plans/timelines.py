@@ -24,15 +24,46 @@ def _(spark, sf):
 
 
 STEPS = "SELECT user_id % 25 AS repo_id, user_id AS number, ts AS {at}, event_id AS node, CASE WHEN event_type = 'purchase' THEN 'closed' WHEN event_type = 'signup' THEN 'open' END AS state, CASE WHEN event_type = 'view' THEN md5(CAST(event_id AS STRING)) END AS head_sha, CASE WHEN event_type = 'error' THEN 'b' || CAST(event_id % 7 AS STRING) END AS base_ref, CASE WHEN event_type = 'click' THEN 'approved' END AS decision FROM events"
-PROBE = "SELECT user_id % 25 AS repo_id, user_id AS number, ts + INTERVAL 3 HOUR AS {at}, event_id AS probe_id FROM events WHERE event_id % 10 = 0"
+PROBE = "SELECT user_id % 25 AS repo_id, user_id AS number, ts + INTERVAL 3 HOUR AS {at}, event_id AS probe_id FROM events"
 S_SPARK, S_DUCK = STEPS.format(at="at"), STEPS.format(at="tt")
 
 
-@query("k3_pull_state_at", f"WITH s AS ({S_DUCK}) SELECT probe_id, " + ", ".join(f"(SELECT arg_max({f}, tt) FROM s WHERE s.number = p.number AND s.tt <= p.tt AND {f} IS NOT NULL) AS {f}" for f in ("state", "head_sha", "base_ref", "decision")) + f" FROM ({PROBE.format(at='tt')}) p")
+@query(
+    "k3_pull_state_at",
+    f"WITH s AS ({S_DUCK}), p AS ({PROBE.format(at='tt')}) SELECT p.probe_id, a.state, h.head_sha, b.base_ref, d.decision FROM p "
+    + " ".join(f"ASOF LEFT JOIN (SELECT number, tt, arg_max({f}, node) AS {f} FROM s WHERE {f} IS NOT NULL GROUP BY ALL) {x} ON {x}.number = p.number AND p.tt >= {x}.tt" for x, f in (("a", "state"), ("h", "head_sha"), ("b", "base_ref"), ("d", "decision"))),
+)
 def _(spark, sf):
     return t.pull_state_at(run_sql(spark, sf, S_SPARK), run_sql(spark, sf, PROBE.format(at="at"))).select("probe_id", "state", "head_sha", "base_ref", "decision")
 
 
+HISTORY = "SELECT user_id % 25 AS repo_id, user_id AS number, ts AS {at}, event_id AS node, CASE WHEN event_type = 'view' AND event_id % 5 = 0 THEN 'force_push' WHEN event_type = 'view' THEN 'commit' WHEN event_type = 'error' THEN 'base_changed' WHEN event_type = 'click' THEN 'review' WHEN event_type = 'signup' THEN 'dismissed' WHEN event_id % 3 = 0 THEN 'closed' WHEN event_id % 3 = 1 THEN 'merged' ELSE 'reopened' END AS kind, CASE WHEN event_type = 'view' THEN 's' || CAST(event_id AS STRING) END AS sha, CASE WHEN event_type = 'error' THEN 'b' || CAST(event_id % 3 AS STRING) END AS ref, CASE WHEN event_type = 'error' THEN 'b' || CAST(event_id % 7 AS STRING) END AS previous_ref, CASE WHEN event_type IN ('click', 'signup') THEN user_id * 3 + event_id % 3 END AS review_id, CASE WHEN event_type IN ('click', 'signup') THEN CASE event_id % 4 WHEN 0 THEN 'approved' WHEN 1 THEN 'changes_requested' WHEN 2 THEN 'commented' ELSE '' END END AS verdict FROM events"
+ENDED = "SELECT DISTINCT user_id % 25 AS repo_id, user_id AS number, TIMESTAMP '2024-01-03 00:00:00' AS created_at, 'b' || CAST(user_id % 3 AS STRING) AS base_ref, 'end' || CAST(user_id AS STRING) AS base_sha FROM events"
+
+
+def _asof(name: str, field: str, where: str) -> str:
+    return f"ASOF LEFT JOIN (SELECT number, tt, arg_max({field}, node) AS v, TRUE AS hit FROM e WHERE {where} GROUP BY number, tt) {name} ON {name}.number = p.number AND p.tt >= {name}.tt"
+
+
+@query(
+    "k3_pull_history_at",
+    f"""WITH t AS ({HISTORY.format(at="tt")}), x AS ({ENDED}), p AS ({PROBE.format(at="tt")}),
+g AS (SELECT number, review_id, arg_min(verdict, (tt, node)) AS was FROM t WHERE kind = 'dismissed' GROUP BY ALL),
+e AS (SELECT t.*, upper(coalesce(nullif(g.was, ''), t.verdict)) AS counted FROM t LEFT JOIN g ON g.number = t.number AND g.review_id = t.review_id),
+f AS (SELECT number, arg_min(sha, (tt, node)) FILTER (WHERE kind = 'commit') AS head, arg_min(previous_ref, (tt, node)) FILTER (WHERE kind = 'base_changed') AS base FROM t GROUP BY number)
+SELECT p.probe_id, CASE WHEN l.v IS NULL OR l.v = 'reopened' THEN 'open' ELSE 'closed' END AS state, m.hit IS NOT NULL AS merged, CASE WHEN l.v <> 'reopened' THEN epoch_us(l.tt) END AS closed_us, epoch_us(m.tt) AS merged_us,
+       coalesce(h.v, f.head) AS head_sha, coalesce(b.v, f.base, x.base_ref) AS base_ref,
+       CASE WHEN b.v = x.base_ref OR b.v IS NULL AND f.base IS NULL THEN x.base_sha ELSE '' END AS base_sha, CASE WHEN d.v IN ('APPROVED', 'CHANGES_REQUESTED') THEN d.v ELSE '' END AS decision,
+       epoch_us(greatest(x.created_at, coalesce(u.tt, x.created_at))) AS updated_us
+FROM p JOIN x ON x.number = p.number LEFT JOIN f ON f.number = p.number
+{_asof("l", "kind", "kind IN ('closed', 'merged', 'reopened')")} {_asof("m", "kind", "kind = 'merged'")} {_asof("h", "sha", "sha IS NOT NULL")} {_asof("b", "ref", "kind = 'base_changed'")}
+{_asof("d", "CASE WHEN kind = 'dismissed' THEN '' ELSE counted END", "kind = 'dismissed' OR kind = 'review' AND counted IN ('APPROVED', 'CHANGES_REQUESTED')")} {_asof("u", "kind", "kind NOT IN ('review', 'dismissed')")}""",
+)
+def _(spark, sf):
+    out = t.pull_history_at(run_sql(spark, sf, ENDED), run_sql(spark, sf, HISTORY.format(at="at")), run_sql(spark, sf, PROBE.format(at="at")))
+    return out.select("probe_id", "state", "merged", us("closed_at").alias("closed_us"), us("merged_at").alias("merged_us"), "head_sha", "base_ref", "base_sha", "decision", us("updated_at").alias("updated_us"))
+
+
 @query("k4_pull_events", f"WITH s AS ({S_DUCK}) SELECT node, CASE WHEN row_number() OVER w = 1 THEN 'opened' WHEN head_sha IS NOT NULL THEN 'synchronize' WHEN base_ref IS NOT NULL THEN 'edited' ELSE coalesce(state, 'updated') END AS action, last_value(head_sha IGNORE NULLS) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS previous_head FROM s WINDOW w AS (PARTITION BY number ORDER BY tt, node)")
 def _(spark, sf):
     return t.pull_events(run_sql(spark, sf, S_SPARK)).select("node", "action", "previous_head")
