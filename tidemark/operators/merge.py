@@ -254,6 +254,19 @@ def scopes_for_heads(heads: DataFrame, pulls: DataFrame, members: DataFrame) ->
     return hit.join(scopes_for_pulls(hit, members), ["repo_id", "number"]).select("head_sha", "scope_key").distinct()
 
 
+def scopes_for_repos(repos: DataFrame, stacks: DataFrame, pulls: DataFrame, members: DataFrame) -> DataFrame:
+    """(repo_id, scope_key) of all that is derived for repositories (repo_id): their live stacks, and their live pull requests that are in none.
+
+    Stacks of repositories need no pull requests, and pull requests are loose if no row of ``members`` (repo_id, number,
+    stack_number) puts them into a stack, live or not.
+    """
+    wanted = repos.select("repo_id").distinct()
+    whole = stacks.where("tombstoned_at is null").select("repo_id", "stack_number").join(wanted, "repo_id")
+    loose = pulls.where("tombstoned_at is null").select("repo_id", "number").join(wanted, "repo_id").join(members.where("stack_number is not null").select("repo_id", "number"), ["repo_id", "number"], "left_anti")
+    none = F.lit(None).cast("long")
+    return whole.select("repo_id", scope_key(F.col("repo_id"), F.col("stack_number"), none).alias("scope_key")).unionByName(loose.select("repo_id", scope_key(F.col("repo_id"), none, F.col("number")).alias("scope_key"))).distinct()
+
+
 def merge_fenced(state: DataFrame, snapshots: DataFrame, pulls: DataFrame, spec: Spec) -> DataFrame:
     """``merge_if_newer`` of the change snapshots that ``snapshot_fence`` lets through."""
     return merge_if_newer(state, snapshot_fence(snapshots, pulls), spec)

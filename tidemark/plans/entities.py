@@ -12,7 +12,7 @@ from ..operators import derive as dv
 from ..operators import merge as m
 from ..operators import owners as o
 from ..operators.merge import Spec
-from .registry import query, us
+from .registry import QUERIES, query, us
 
 
 def merge_sql(state: str, batch: str, spec: Spec, extra_accept: str = "") -> str:
@@ -201,6 +201,74 @@ def _(spark, sf):
     return fx(spark, sf, "pulls").join(heads, ["repo_id", "head_sha"]).select("head_sha", scope_key(F.col("repo_id"), stack, F.col("number")).alias("scope_key")).distinct()
 
 
+LIVE_STACKS = f"SELECT repo_id, stack_number, CASE WHEN stack_number % 9 = 4 THEN {T0} END AS tombstoned_at FROM (SELECT DISTINCT repo_id, stack_number FROM ({SCOPED}) WHERE stack_number IS NOT NULL)"
+OF_PULL = "CASE WHEN stack_number IS NOT NULL THEN 'repo:' || CAST(repo_id AS STRING) || ':stack:' || CAST(stack_number AS STRING) ELSE 'repo:' || CAST(repo_id AS STRING) || ':pr:' || CAST(number AS STRING) END"
+
+
+def _members(spark, sf):
+    return run_sql(spark, sf, f"SELECT repo_id, number, stack_number FROM ({SCOPED}) WHERE stack_number IS NOT NULL")
+
+
+@query("c24_scopes_of_pulls", f"SELECT repo_id, number, {OF_PULL} AS scope_key FROM ({SCOPED}) WHERE number % 2 = 0")
+def _(spark, sf):
+    return m.scopes_for_pulls(fx(spark, sf, "pulls").where("number % 2 = 0"), _members(spark, sf))
+
+
+@query("c24_scopes_of_checks", f"SELECT DISTINCT o.head_sha, c.scope_key FROM fx_check_observations o JOIN fx_pulls p ON p.repo_id = o.repo_id AND p.head_sha = o.head_sha AND p.tombstoned_at IS NULL JOIN (SELECT repo_id, number, {OF_PULL} AS scope_key FROM ({SCOPED})) c ON c.repo_id = p.repo_id AND c.number = p.number")
+def _(spark, sf):
+    return m.scopes_for_heads(fx(spark, sf, "check_observations"), fx(spark, sf, "pulls"), _members(spark, sf))
+
+
+@query("c24_scopes_of_stacks", f"""WITH n AS (SELECT repo_id, number, stack_number FROM ({SCOPED}) WHERE stack_number IS NOT NULL), o AS (SELECT repo_id, number, old_stack AS stack_number FROM ({SCOPED}) WHERE old_stack IS NOT NULL)
+SELECT 'repo:' || CAST(repo_id AS STRING) || ':stack:' || CAST(stack_number AS STRING) AS scope_key FROM ((SELECT * FROM n EXCEPT SELECT * FROM o) UNION (SELECT * FROM o EXCEPT SELECT * FROM n)) UNION SELECT 'repo:' || CAST(o.repo_id AS STRING) || ':pr:' || CAST(o.number AS STRING) FROM o WHERE NOT EXISTS (SELECT 1 FROM n WHERE n.repo_id = o.repo_id AND n.number = o.number)""")
+def _(spark, sf):
+    old = run_sql(spark, sf, f"SELECT repo_id, number, old_stack AS stack_number FROM ({SCOPED}) WHERE old_stack IS NOT NULL")
+    return m.scopes_for_stacks(_members(spark, sf), old)
+
+
+@query("c24_scopes_of_repos", f"SELECT s.repo_id, 'repo:' || CAST(s.repo_id AS STRING) || ':stack:' || CAST(stack_number AS STRING) AS scope_key FROM ({LIVE_STACKS}) s JOIN fx_repos r ON r.repo_id = s.repo_id AND NOT r.archived WHERE s.tombstoned_at IS NULL UNION ALL SELECT p.repo_id, 'repo:' || CAST(p.repo_id AS STRING) || ':pr:' || CAST(p.number AS STRING) FROM fx_pulls p JOIN fx_repos r ON r.repo_id = p.repo_id AND NOT r.archived WHERE p.tombstoned_at IS NULL AND p.number % 3 <> 0")
+def _(spark, sf):
+    return m.scopes_for_repos(fx(spark, sf, "repos").where("not archived"), run_sql(spark, sf, LIVE_STACKS), fx(spark, sf, "pulls"), _members(spark, sf))
+
+
+# snapshots of pull requests, of which some are of another commit than the parent's or older than it
+FENCED_BATCH = "SELECT repo_id, number AS pr_number, number % 7 AS files_total, number % 5 = 0 AS files_truncated, 'present' AS codeowners_state, CASE WHEN number % 4 = 0 THEN 'other' ELSE head_sha END AS head_sha, base_sha, CASE WHEN number % 6 = 0 THEN gh_updated_at - INTERVAL 1 DAY ELSE gh_updated_at END AS parent_gh_updated_at, gh_updated_at + INTERVAL 1 DAY AS gh_updated_at, last_checked_at + INTERVAL 2 DAY AS last_checked_at FROM fx_pulls"
+FENCED = f"SELECT i.repo_id, i.pr_number, i.files_total, i.files_truncated, i.codeowners_state, i.gh_updated_at, i.last_checked_at FROM ({FENCED_BATCH}) i JOIN fx_pulls p ON p.repo_id = i.repo_id AND p.number = i.pr_number AND p.head_sha = i.head_sha AND p.base_sha = i.base_sha WHERE i.head_sha <> '' AND i.base_sha <> '' AND p.tombstoned_at IS NULL AND p.gh_updated_at <= i.parent_gh_updated_at"
+
+
+@query("c12_merge_fenced", f"WITH {merge_sql(SNAP_STATE, FENCED, m.CHANGE_SNAPSHOTS, '')} SELECT repo_id, pr_number, files_total, files_truncated, codeowners_state, change, tombstoned_at IS NOT NULL AS dead FROM merged")
+def _(spark, sf):
+    out = m.merge_fenced(run_sql(spark, sf, SNAP_STATE), run_sql(spark, sf, FENCED_BATCH), fx(spark, sf, "pulls"), m.CHANGE_SNAPSHOTS)
+    return out.select("repo_id", "pr_number", *[F.col(c).cast("string").alias(c) for c in m.CHANGE_SNAPSHOTS.payload], "change", F.col("tombstoned_at").isNotNull().alias("dead"))
+
+
+COMMITTED = "SELECT *, CASE WHEN pr_number % 7 = 3 THEN 'old' ELSE 'head' END AS head_sha, 'base' AS base_sha FROM"
+SNAPSHOTS = "SELECT DISTINCT repo_id, pr_number, 'head' AS head_sha, 'base' AS base_sha FROM fx_changed_files WHERE pr_number % 8 <> 5"
+
+
+def fenced_query(name: str, state: str, batch: str, spec: Spec) -> None:
+    """The replace-set of ``batch`` that the snapshots' commits let through, against the SQL of the replace-set on what passes."""
+    pass_ = "pr_number % 7 <> 3 AND pr_number % 8 <> 5"
+    replace_query(name, state, f"SELECT * FROM ({batch}) WHERE {pass_}", f"SELECT * FROM ({FILE_PARENTS}) WHERE {pass_}", spec)
+
+    def fenced(spark, sf):
+        out = m.replace_fenced(run_sql(spark, sf, state), run_sql(spark, sf, f"{COMMITTED} ({batch})"), run_sql(spark, sf, f"{COMMITTED} ({FILE_PARENTS})"), run_sql(spark, sf, SNAPSHOTS), spec)
+        return out.select(*spec.keys, "change", F.col("tombstoned_at").isNotNull().alias("dead"))
+
+    QUERIES[name] = fenced
+
+
+fenced_query("c13_replace_fenced", FILE_STATE, FILE_BATCH, m.CHANGED_FILES)
+fenced_query("c14_replace_fenced", OWNER_STATE, OWNER_BATCH, m.FILE_OWNERS)
+
+GATED_CHILDREN = "SELECT repo_id, number AS pr_number, number % 3 AS position, CASE WHEN number % 4 = 0 THEN gh_updated_at - INTERVAL 1 DAY ELSE gh_updated_at + CAST(number % 2 AS INT) * INTERVAL 1 DAY END AS parent_gh_updated_at FROM fx_pulls"
+
+
+@query("c7_parent_gate_versions", f"SELECT repo_id, number AS pr_number, number % 3 AS position FROM fx_pulls WHERE number % 4 <> 0 AND tombstoned_at IS NULL")
+def _(spark, sf):
+    return m.parent_gate(run_sql(spark, sf, GATED_CHILDREN), fx(spark, sf, "pulls")).select("repo_id", "pr_number", "position")
+
+
 @query("c25_semantic_version", "SELECT sha256(status || chr(31) || conclusion || chr(31) || name) AS version, count(*) AS n FROM fx_check_observations GROUP BY 1")
 def _(spark, sf):
     out = m.check_semantic_version(fx(spark, sf, "check_observations"), ("status", "conclusion", "name"))
@@ -280,6 +348,29 @@ def _(spark, sf):
     return _rules(spark).select(F.explode("tokens").alias("token")).distinct().select("token", owner_type(F.col("token")).alias("type"))
 
 
+# rule files of repositories, written from the paths of their changed files and the names of suppliers
+RULE_LINES = "SELECT repo_id, path, row_number() OVER (PARTITION BY repo_id ORDER BY path) AS line FROM (SELECT DISTINCT repo_id, path FROM fx_changed_files)"
+RULE_LINE = "CASE line % 4 WHEN 0 THEN '# ' || path WHEN 1 THEN '/' || path || ' @acme/t' || CAST(line AS STRING) WHEN 2 THEN path || ' @u' || CAST(line AS STRING) || ' who' || CAST(line AS STRING) || '@example.com # who' ELSE path || ' bad@ @ok' END"
+
+
+def _written(spark, sf):
+    lines = run_sql(spark, sf, f"SELECT CAST(repo_id AS STRING) AS source_id, line, {RULE_LINE} AS text FROM ({RULE_LINES})")
+    return lines.groupBy("source_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "text"))), lambda x: x["text"]), "\n").alias("content"))
+
+
+@query("d1_parse_written_rules", f"SELECT CAST(repo_id AS STRING) AS source_id, line, CASE line % 4 WHEN 1 THEN '/' || path ELSE path END AS pattern, CASE line % 4 WHEN 1 THEN 1 ELSE 2 END AS owners FROM ({RULE_LINES}) WHERE line % 4 > 0")
+def _(spark, sf):
+    return o.parse_codeowners(_written(spark, sf)).select("source_id", "line", "pattern", F.size("tokens").alias("owners"))
+
+
+@query("d4_classify_written_owners", f"SELECT DISTINCT unnest(CASE line % 4 WHEN 1 THEN ['@acme/t' || line] WHEN 2 THEN ['@u' || line, 'who' || line || '@example.com'] ELSE ['bad@', '@ok'] END) AS token, unnest(CASE line % 4 WHEN 1 THEN ['team'] WHEN 2 THEN ['user', 'email'] ELSE ['malformed', 'user'] END) AS type FROM ({RULE_LINES}) WHERE line % 4 > 0")
+def _(spark, sf):
+    from ..functions.scalars import owner_type
+
+    rules = o.parse_codeowners(_written(spark, sf))
+    return rules.select(F.explode("tokens").alias("token")).distinct().select("token", owner_type(F.col("token")).alias("type"))
+
+
 SEEN = "SELECT 'user' AS identity_type, CASE WHEN user_id % 2 = 0 THEN 'U' ELSE 'u' END || CAST(user_id % 100 AS STRING) AS login, CASE WHEN event_id % 3 = 0 THEN user_id END AS gh_id, ts AS seen_at, 'n' || CAST(event_id AS STRING) AS node_id FROM events"
 
 
@@ -473,6 +564,15 @@ def _(spark, sf):
     return dv.validate_results(scopes, run_sql(spark, sf, ITEMS))
 
 
+OWNERS = f"SELECT identity_key, min(scope_key) AS scope_key FROM ({ITEMS}) WHERE number % 6 = 0 GROUP BY identity_key"
+
+
+@query("f4_validate_owners", f"WITH i AS ({ITEMS}), w AS ({OWNERS}), d AS (SELECT DISTINCT scope_key FROM ({DIRTY})) SELECT i.scope_key, i.identity_key, 'identity of another scope' AS problem FROM i JOIN w ON w.identity_key = i.identity_key WHERE w.scope_key <> i.scope_key UNION ALL SELECT d.scope_key, NULL, 'no result' FROM d WHERE NOT EXISTS (SELECT 1 FROM i WHERE i.scope_key = d.scope_key)")
+def _(spark, sf):
+    out = dv.validate_results(run_sql(spark, sf, DIRTY), run_sql(spark, sf, ITEMS), run_sql(spark, sf, OWNERS), complete=True)
+    return out.where("problem in ('identity of another scope', 'no result')")
+
+
 WORK = f"SELECT scope_key || ':w' AS identity_key, scope_key, 'p' || CAST(length(scope_key) AS STRING) AS payload FROM ({DIRTY}) WHERE length(scope_key) % 2 = 0"
 DERIVED = f"SELECT scope_key || ':w' AS identity_key, scope_key, CASE WHEN scope_key LIKE '%7' THEN 'new' ELSE 'p' || CAST(length(scope_key) AS STRING) END AS payload FROM ({DIRTY}) WHERE scope_key NOT LIKE '%3' AND scope_key NOT LIKE 'repo:4:%'"
 

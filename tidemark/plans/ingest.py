@@ -8,7 +8,7 @@ from ..fixtures import NOW, fx, run_sql
 from ..functions.scalars import actor_kind
 from ..functions.session import scratch
 from ..operators import dispatch as d
-from ..sources.deliveries import conformance_report, decode_payload, project_envelope, split_poison
+from ..sources.deliveries import conformance_report, decode_payload, project_envelope, read_deliveries, split_poison
 from ..sources.recordings import read_recording
 from ..sources.snapshots import append_events, read_snapshot, write_snapshot
 from .registry import query, us
@@ -59,6 +59,12 @@ def _(spark, sf):
     return fx(spark, sf, "deliveries").groupBy("event").agg(F.count(F.lit(1)).alias("n"), us(F.min("received_at")).alias("first_us"))
 
 
+@query("a1_read_log", "SELECT event_type AS event, count(*) AS n, epoch_us(max(ts)) AS last_us FROM events GROUP BY event_type")
+def _(spark, sf):
+    log = read_deliveries(spark, f"{sf}/events.parquet", schema="event_type string, ts timestamp_ntz")
+    return log.groupBy(F.col("event_type").alias("event")).agg(F.count(F.lit(1)).alias("n"), us(F.max("ts")).alias("last_us"))
+
+
 @query("a2_decode_payload", f"SELECT arrival, CASE WHEN {GOOD} THEN NULL WHEN arrival % 61 = 0 THEN 'unsupported content type' ELSE 'payload is not a JSON object' END AS decode_error FROM fx_deliveries")
 def _(spark, sf):
     return decode_payload(payloads(spark, sf)).select("arrival", "decode_error")
