@@ -23,6 +23,8 @@ BINS = BANDS * ROWS
 LEAST_BITS, SKETCHED = 134, 64
 #: Members outside a bucket's main component that are compared with all of it; where there are more, sets meet again by their rarest shingles.
 CROWDED = 16
+#: Shelves on which shingles of crowded buckets are counted, to order them by rarity.
+SHELVES = 1 << 20
 
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -232,19 +234,51 @@ def _listed(mixed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return some.alias("s").join(every.alias("e"), meets).select(*_pairs("x.t", "y.t")).distinct()
 
 
+def _shelf(hashes: np.ndarray) -> np.ndarray:
+    return (_mixed(hashes) & np.uint64(SHELVES - 1)).astype(np.int64)
+
+
+def _shelf_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(shelf, c) of a task's shingles, summed in the task."""
+    total = np.zeros(SHELVES, dtype=np.int64)
+    for batch in batches:
+        total += np.bincount(_shelf(batch.column("hs").flatten().to_numpy().view(np.uint64)), minlength=SHELVES)
+    at = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["shelf", "c"])
+
+
+def _rarest(counts: np.ndarray, percent: int):
+    """(slot, t, pos) of the prefixes from (t, hs)."""
+
+    def rarest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            slots, ts, places = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for t, hs in zip(batch.column("t").to_pylist(), batch.column("hs"), strict=True):
+                h = hs.values.to_numpy().view(np.uint64)
+                c = counts[_shelf(h)]
+                first = np.lexsort((h, c))[: len(h) + (-len(h) * percent // 100) + 1]
+                shared = np.flatnonzero(c[first] > 1)
+                slots.append(h[first[shared]])
+                ts.append(np.full(len(shared), t, dtype=np.int64))
+                places.append(shared + 1)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(slots).view(np.int64)), pa.array(np.concatenate(ts)), pa.array(np.concatenate(places), pa.int32())], ["slot", "t", "pos"])
+
+    return rarest
+
+
 def _prefixes(members: DataFrame, whole: DataFrame, percent: int) -> DataFrame:
     """(slot, t, pos): the rarest shingles of each set by their position, so many that two similar sets share one of them.
 
-    Similar sets share ``percent`` of each at least, so of either's shingles in any common order, here from the rarest among
-    ``members`` on, the first ``n - ceil(n * percent / 100) + 1`` hold one that both have there.
+    Similar sets share ``percent`` of each at least, so of either's shingles in any common order the first
+    ``n - ceil(n * percent / 100) + 1`` hold one that both have there. The order here is by the counts among ``members``
+    of the ``SHELVES`` that shingles fall on by hash, then by hash: the table of counts is of one size whatever the input,
+    and shingles that share a shelf only come later than they might. A shingle alone on its shelf is in no other set.
     """
-    # dealt evenly before each set becomes many rows
-    shingles = members.join(whole, "t").repartition("t").select("t", F.explode("hs").alias("slot"))
-    counted = shingles.join(shingles.groupBy("slot").agg(F.count(F.lit(1)).alias("c")), "slot")
-    rare = counted.groupBy("t").agg(F.sort_array(F.collect_list(F.struct("c", "slot"))).alias("s"))
-    n = F.size("s")
-    prefix = F.slice("s", 1, n - F.ceil(n * percent / 100).cast("int") + 1)
-    return rare.select("t", F.posexplode(prefix).alias("p", "s")).where("s.c > 1").select("s.slot", "t", (F.col("p") + 1).alias("pos"))
+    held = members.join(whole, "t").select("t", "hs")
+    told = held.mapInArrow(_shelf_counts, "shelf long, c long").groupBy("shelf").agg(F.sum("c").alias("c")).toArrow()  # SHELVES rows at most
+    counts = np.zeros(SHELVES, dtype=np.int32)
+    counts[told.column("shelf").to_numpy()] = np.minimum(told.column("c").to_numpy(), np.iinfo(np.int32).max)
+    return held.mapInArrow(_rarest(counts, percent), "slot long, t long, pos int")
 
 
 def minhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
