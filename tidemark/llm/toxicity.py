@@ -20,6 +20,8 @@ HIDDEN, DEPTH, ATTENTION = 8, 4, 8
 BUCKETS = 1 << 14
 #: Labelled rows used for the fit at most, of toxic and of other texts.
 TOXIC_ROWS, OTHER_ROWS = 2000, 3000
+#: Steps of the fit at most, steps from one judgement to the next, and judgements without a better one that end it.
+STEPS, JUDGED, PATIENCE = 480, 20, 8
 #: Words whose inputs one pass of the network holds.
 CHUNK_WORDS = 150_000
 
@@ -168,19 +170,26 @@ def _lean(buckets: list[np.ndarray], y: np.ndarray) -> np.ndarray:
     return np.clip(odds * with_ / (with_ + 10), -4, 4)
 
 
-def train(texts: list[str], labels: list[int], epochs: int = 8, batch: int = 128, seed: int = 7) -> dict:
+def train(texts: list[str], labels: list[int], steps: int = STEPS, batch: int = 128, seed: int = 7) -> dict:
     """Fit the network. A toxic text teaches by the window that leans most to toxic texts, as word counts of the sample tell, another by that one and one at random; other windows of long texts aren't learnt from.
 
-    The first input of words and grams starts from how their presence leans in the sample; everything is then trained.
+    The first input of words and grams starts from how their presence leans in the sample; everything is then trained, by
+    as many ``steps`` however few texts there are. About one text in eight, chosen by its hash, isn't taught but judges: of the parameters met every ``JUDGED`` steps
+    those with the least loss on its texts count, and ``PATIENCE`` judgements without a better one end the fit. Without
+    judges of both labels the last parameters count.
     """
     rng = np.random.default_rng(seed)
     p = start(rng)
     unique = dict(zip(texts, labels, strict=True))  # copies of a text teach once
-    tokens, y = [WORD.findall(t.lower()) for t in unique], np.array(list(unique.values()), np.float32)
-    if len(set(y.tolist())) < 2:
+    if len(set(unique.values())) < 2:
         p["wo"][:] = 0
-        p["bo"][:] = 5 if len(y) and y[0] else -5
+        p["bo"][:] = 5 if unique and next(iter(unique.values())) else -5
         return p
+    judges = {t: v for t, v in unique.items() if zlib.crc32(t.encode("utf-8", "surrogatepass")) % 8 == 0}
+    taught = {t: v for t, v in unique.items() if t not in judges}
+    if len(set(judges.values())) < 2 or len(set(taught.values())) < 2:
+        judges, taught = {}, unique
+    tokens, y = [WORD.findall(t.lower()) for t in taught], np.array(list(taught.values()), np.float32)
     held = [word_features(sorted(set(w)) or [""]) for w in tokens]
     p["words"][:, 0] = _lean([h[0] for h in held], y)
     p["chars"][:, 0] = _lean([h[1] for h in held], y)
@@ -196,22 +205,38 @@ def train(texts: list[str], labels: list[int], epochs: int = 8, batch: int = 128
         for c in sorted(chosen):
             examples.append(options[c])
             targets.append(t)
+    if not examples:
+        return p
     target = np.array(targets, np.float32)
     first = {k: np.zeros_like(v) for k, v in p.items()}
     second = {k: np.zeros_like(v) for k, v in p.items()}
-    step = 0
-    for epoch in range(epochs):
-        for part in np.array_split(rng.permutation(len(examples)), max(1, len(examples) // batch)):
-            vocabulary: dict[str, int] = {}
-            index, mask = _packed([[vocabulary.setdefault(w, len(vocabulary)) for w in examples[i]] for i in part])
-            _, g = gradients(p, list(vocabulary), index, mask, target[part])
-            step += 1
-            rate = 0.01 * (1 - epoch / (epochs + 1))
-            for k in p:
-                first[k] = 0.9 * first[k] + 0.1 * g[k]
-                second[k] = 0.999 * second[k] + 0.001 * g[k] ** 2
-                p[k] = (p[k] - rate * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.999**step)) + 1e-6)).astype(np.float32)
-    return p
+    best, least, waited, queue = p, np.inf, 0, np.zeros(0, np.int64)
+    for step in range(1, steps + 1):
+        while len(queue) < min(batch, len(examples)):
+            queue = np.concatenate([queue, rng.permutation(len(examples))])
+        part, queue = queue[:batch], queue[batch:]
+        vocabulary: dict[str, int] = {}
+        index, mask = _packed([[vocabulary.setdefault(w, len(vocabulary)) for w in examples[i]] for i in part])
+        _, g = gradients(p, list(vocabulary), index, mask, target[part])
+        rate = 0.01 * (1 - step / (steps + 1))
+        for k in p:
+            first[k] = 0.9 * first[k] + 0.1 * g[k]
+            second[k] = 0.999 * second[k] + 0.001 * g[k] ** 2
+            p[k] = (p[k] - rate * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.999**step)) + 1e-6)).astype(np.float32)
+        if judges and step % JUDGED == 0:
+            loss = _loss(p, judges)
+            if loss < least:
+                best, least, waited = dict(p), loss, 0
+            elif (waited := waited + 1) >= PATIENCE:
+                break
+    return best if judges else p
+
+
+def _loss(p: dict, known: dict[str, int]) -> float:
+    """Log loss of whole texts' scores."""
+    y = np.array(list(known.values()), np.float32)
+    s = np.clip(score_texts(p, list(known)), 1e-3, 1 - 1e-3)
+    return float(-np.mean(y * np.log(s) + (1 - y) * np.log(1 - s)))
 
 
 def score_texts(p: dict, texts: list[str]) -> np.ndarray:
