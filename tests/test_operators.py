@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import owner_type
-from tidemark.operators import dispatch, drift, merge, metrics, owners, timeline
+from tidemark.operators import alerts, dispatch, drift, merge, metrics, owners, timeline
 from tidemark.operators.merge import Spec, fold_batch, merge_if_newer, replace_set
 from tidemark.sources.deliveries import decode_payload
 from tidemark.sources.recordings import read_recording
@@ -157,18 +157,18 @@ def test_alerts_absence_increase_reset_and_hold(spark):
         ("never", 10, "page", [{"metric": "age", "op": ">", "value": 50}]),
     ]
     df = spark.createDataFrame(rows, "at timestamp_ntz, name string, labels map<string,string>, value double")
-    start = metrics.evaluate_alerts(df, rules).agg(F.min("from_us")).first()[0]
+    start = alerts.evaluate_alerts(df, rules).agg(F.min("from_us")).first()[0]
     zero = start - 3 * 60_000_000
-    got = {(r.rule, r.labels): ((r.from_us - zero) // 60_000_000, (r.to_us - zero) // 60_000_000) for r in metrics.evaluate_alerts(df, rules).collect()}
-    assert got == {("grew", ""): (3, 4), ("held", "a"): (9, 12), ("gone", ""): (9, 19)}
-    assert len(metrics.ALERT_RULES) == 28
+    got = {(r.rule, r.labels): ((r.from_us - zero) // 60_000_000, (r.to_us - zero) // 60_000_000) for r in alerts.evaluate_alerts(df, rules).collect()}
+    assert got == {("grew", ""): (3, 4), ("held", "who=a"): (9, 12), ("gone", ""): (9, 19)}
+    assert len(alerts.ALERT_RULES) == 28
 
 
 def test_alert_rules_run(spark):
     from datetime import datetime
 
     df = spark.createDataFrame([(datetime(2024, 1, 1), "tick", {"le": "1"}, 1.0)], "at timestamp_ntz, name string, labels map<string,string>, value double")
-    assert {r.rule for r in metrics.evaluate_alerts(df, metrics.ALERT_RULES[:3]).collect()} == {"budget_class_starved"}
+    assert {r.rule for r in alerts.evaluate_alerts(df, alerts.ALERT_RULES[:3]).collect()} == {"budget_class_starved"}
 
 
 def test_stack_cycle_starts_at_its_smallest(spark):

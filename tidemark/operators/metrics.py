@@ -6,7 +6,6 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions.scalars import seconds_between
 from .changes import after_counts
@@ -191,116 +190,3 @@ def run_status(guids: DataFrame, log: DataFrame, outstanding: DataFrame) -> Data
 def trust_verdict(checks: DataFrame) -> DataFrame:
     """One row over (aspect, good): the aspects that fail, and the verdict."""
     return checks.agg(F.array_join(F.array_sort(F.collect_list(F.when(~F.col("good"), F.col("aspect")))), ",").alias("failing"), F.bool_and("good").alias("trusted"))
-
-
-# ---- alert rules -----------------------------------------------------------------------------------------------------
-
-
-def _pass_missing(component: str, operation: str, bound: int, sampled: bool = True) -> list[dict]:
-    at = {"component": component, "operation": operation}
-    names = ["last_operation_success_age_seconds", *(["last_operation_sample_age_seconds"] if sampled else [])]
-    return [{"metric": n, "labels": at, **test} for n in names for test in ({"op": "<", "value": 0}, {"op": ">", "value": bound}, {"absent": True})]
-
-
-#: fixed values: rule name, for (minutes), severity, and the conditions of which one suffices. A condition tests a
-#: metric's value, its increase over minutes, a ratio of two increases, or its absence; ``also`` conditions must hold too.
-ALERT_RULES: list[tuple[str, int, str, list[dict]]] = [
-    ("conditional_hit_rate_low", 15, "warning", [
-        {"ratio": ("conditional_304s_total", "conditional_requests_total"), "labels": {"class": "sweep", "resource": "rest"}, "minutes": 15, "op": "<", "value": 0.80},
-        {"metric": "conditional_requests_total", "labels": {"class": "sweep", "resource": "rest"}, "absent": True}, {"metric": "conditional_304s_total", "labels": {"class": "sweep", "resource": "rest"}, "absent": True}]),
-    ("budget_class_starved", 0, "page", [{"metric": "starvations_total", "minutes": 5, "op": ">", "value": 0}, {"metric": "starvations_total", "absent": True}]),
-    ("secondary_gate_closed", 5, "page", [{"metric": "gate_closed", "op": "==", "value": 1}, {"metric": "gate_closed", "absent": True}]),
-    ("event_cache_p95_breach", 10, "page", [{"quantile": 0.95, "metric": "event_to_cache_latency_seconds_bucket", "minutes": 10, "op": ">", "value": 20}, {"metric": "event_to_cache_latency_seconds_bucket", "absent": True}]),
-    ("event_cache_p99_breach", 10, "page", [{"quantile": 0.99, "metric": "event_to_cache_latency_seconds_bucket", "minutes": 10, "op": ">", "value": 60}, {"metric": "event_to_cache_latency_seconds_bucket", "absent": True}]),
-    ("invalid_event_cache_clock", 0, "page", [{"metric": "invalid_event_cache_latency_total", "minutes": 5, "op": ">", "value": 0}, {"metric": "invalid_event_cache_latency_total", "absent": True}]),
-    ("oldest_delivery_too_old", 5, "page", [{"metric": "oldest_unprocessed_delivery_age_seconds", "op": ">", "value": 60}, {"metric": "oldest_unprocessed_delivery_age_seconds", "absent": True}]),
-    ("outstanding_generation_too_old", 5, "page", [{"metric": "oldest_outstanding_generation_age_seconds", "op": ">", "value": 60}, {"metric": "oldest_outstanding_generation_age_seconds", "absent": True}, {"metric": "outstanding_generations", "absent": True}]),
-    ("event_queue_backlog", 5, "warning", [{"metric": "queue_depth", "labels": {"queue": "event"}, "op": ">", "value": 1000}, {"metric": "queue_depth", "labels": {"queue": "event"}, "absent": True}]),
-    ("poison_delivery_parked", 1, "page", [{"metric": "parked_deliveries", "op": ">", "value": 0, "also": {"metric": "oldest_parked_delivery_age_seconds", "op": ">", "value": 300}}, {"metric": "parked_deliveries", "absent": True}, {"metric": "oldest_parked_delivery_age_seconds", "absent": True}]),
-    ("cache_staleness_bound_breached", 2, "page", [{"metric": "cache_staleness_seconds", "above": "staleness_bound_seconds", "on": ["entity_class"]}, {"metric": "cache_staleness_seconds", "absent": True}, {"metric": "staleness_bound_seconds", "absent": True}]),
-    ("sweep_overrun", 0, "page", [{"metric": "sweep_overruns_total", "minutes": 15, "op": ">", "value": 0}, {"metric": "sweep_duration_seconds", "above": "sweep_period_seconds", "on": ["sweep_kind"]}, {"metric": "sweep_duration_seconds", "absent": True}, {"metric": "sweep_period_seconds", "absent": True}]),
-    ("stack_sweep_missing", 5, "page", _pass_missing("sweep", "stacks", 675)),
-    ("pull_request_sweep_missing", 5, "page", _pass_missing("sweep", "pull_requests", 1350)),
-    ("repo_rules_sweep_missing", 5, "page", _pass_missing("sweep", "repo_rules", 8100)),
-    ("repository_sweep_missing", 5, "page", _pass_missing("sweep", "repositories", 8100)),
-    ("closed_sweep_missing", 5, "page", _pass_missing("sweep", "closed_tracked", 194400)),
-    ("drift_open", 1, "page", [{"metric": "drift_findings", "labels": {"state": "open", "entity_kind": "all"}, "op": ">", "value": 0}, {"metric": "drift_findings", "labels": {"state": "open", "entity_kind": "all"}, "absent": True}]),
-    ("drift_pass_missing", 5, "page", _pass_missing("drift", "detector", 7200)),
-    ("watermark_stalled", 2, "page", [{"metric": "watermark_lag_sequences", "op": ">", "value": 0, "also": {"metric": "watermark_age_seconds", "op": ">", "value": 30}}, {"metric": "watermark_lag_sequences", "absent": True}, {"metric": "watermark_age_seconds", "absent": True}]),
-    ("watermark_pass_missing", 2, "page", _pass_missing("watermarker", "entities", 30)),
-    ("outbox_backlog", 15, "warning", [{"metric": "prunable_outbox_depth", "labels": {"stream": "all"}, "op": ">", "value": 100000}, {"metric": "prunable_outbox_depth", "labels": {"stream": "all"}, "absent": True}]),
-    ("consumer_cursor_stalled", 5, "warning", [{"metric": "consumer_outstanding_events", "op": ">", "value": 10000, "also": {"metric": "oldest_outstanding_event_age_seconds", "op": ">", "value": 300}, "on": ["consumer", "stream"]}]),
-    ("consumer_metrics_absent", 5, "warning", [{"metric": "consumer_outstanding_events", "absent": True}, {"metric": "oldest_outstanding_event_age_seconds", "absent": True}]),
-    ("resync_storm", 0, "page", [{"metric": "resyncs_total", "minutes": 15, "op": ">", "value": 3}]),
-    ("deriver_backlog", 10, "warning", [{"metric": "deriver_dirty_backlog", "op": ">", "value": 500}, {"metric": "deriver_dirty_backlog", "absent": True}]),
-    ("deriver_pass_missing", 2, "page", _pass_missing("deriver", "dirty_sets", 30, sampled=False)),
-    ("required_role_absent", 2, "page", [{"metric": "role_enabled", "labels": {"role": r}, "absent": True} for r in ("metrics", "ingress", "fetch", "sweep", "drift", "dispatch", "pruner", "watermarker", "deriver")]),
-]
-
-
-def _test(value: Column, op: str, bound: float) -> Column:
-    return {"<": value < bound, ">": value > bound, "==": value == bound}[op]
-
-
-def increases(samples: DataFrame) -> DataFrame:
-    """Counter samples (at, name, labels, value) as growth per step; a counter that falls was reset and counts from 0."""
-    w = Window.partitionBy("name", "lkey").orderBy("at")
-    grown = F.col("value") - F.lag("value").over(w)
-    return samples.withColumn("grown", F.when(grown < 0, F.col("value")).otherwise(F.coalesce(grown, F.lit(0.0))))
-
-
-def evaluate_alerts(samples: DataFrame, rules: list | None = None, step_s: int = 60) -> DataFrame:
-    """Intervals during which rules fire: rule, severity, labels, from_us, to_us.
-
-    ``samples`` (at, name, labels map, value) are put on a grid of ``step_s``, the last of a step counts. A rule fires
-    for a set of labels once its condition held over as many steps as it must; runs of steps are found by gaps and
-    islands. Absence is judged at every step of the grid that has any sample.
-    """
-    step = step_s * 1_000_000
-    slot = F.floor(F.unix_micros(F.col("at").cast("timestamp")) / step)
-    lkey = F.array_join(F.transform(F.array_sort(F.map_entries("labels")), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ",")
-    grid = samples.select(slot.alias("slot"), "name", "labels", lkey.alias("lkey"), "at", "value").groupBy("slot", "name", "lkey").agg(F.max_by("value", "at").alias("value"), F.first("labels").alias("labels"), F.max("at").alias("at"))
-    grid = increases(grid).persist()
-    slots = grid.select("slot").distinct()
-
-    def of(name: str, labels: dict | None) -> DataFrame:
-        out = grid.where(F.col("name") == name)
-        for k, v in (labels or {}).items():
-            out = out.where(F.col("labels")[k] == v)
-        return out
-
-    def increase(name: str, labels: dict | None, minutes: int, by: str = "lkey") -> DataFrame:
-        w = Window.partitionBy(by).orderBy("slot").rangeBetween(-(minutes * 60 // step_s) + 1, 0)
-        return of(name, labels).withColumn("inc", F.sum("grown").over(w)).select("slot", "lkey", "labels", "inc")
-
-    def holds(c: dict) -> DataFrame:
-        if c.get("absent"):
-            return slots.join(of(c["metric"], c.get("labels")).select("slot").distinct(), "slot", "left_anti").select("slot", F.lit("").alias("lkey"))
-        if "ratio" in c:
-            top, base = (increase(n, c.get("labels"), c["minutes"]).groupBy("slot").agg(F.sum("inc").alias(x)) for n, x in zip(c["ratio"], ("t", "b"), strict=True))
-            return top.join(base, "slot").where("b > 0").where(_test(F.col("t") / F.col("b"), c["op"], c["value"])).select("slot", F.lit("").alias("lkey"))
-        if "quantile" in c:
-            inc = increase(c["metric"], c.get("labels"), c["minutes"]).withColumn("le", F.when(F.col("labels")["le"] == "+Inf", F.lit(float("inf"))).otherwise(F.col("labels")["le"].cast("double")))
-            per = inc.groupBy("slot", "le").agg(F.sum("inc").alias("n"))
-            total = Window.partitionBy("slot")
-            reached = per.withColumn("total", F.max("n").over(total)).where((F.col("total") > 0) & (F.col("n") >= F.col("total") * c["quantile"])).groupBy("slot").agg(F.min("le").alias("q"))
-            return reached.where(_test(F.col("q"), c["op"], c["value"])).select("slot", F.lit("").alias("lkey"))
-        on = F.array_join(F.transform(F.array(*[F.lit(k) for k in c["on"]]), lambda k: F.col("labels")[k]), ",") if "on" in c else F.lit("")
-        if "above" in c:
-            left, right = (of(n, None).groupBy("slot", on.alias("lkey")).agg(F.max("value").alias(x)) for n, x in ((c["metric"], "v"), (c["above"], "bound")))
-            return left.join(right, ["slot", "lkey"]).where("v > bound").select("slot", "lkey")
-        if "minutes" in c:
-            return increase(c["metric"], c.get("labels"), c["minutes"]).where(_test(F.col("inc"), c["op"], c["value"])).select("slot", "lkey")
-        if "also" in c:
-            a, b = (of(x["metric"], x.get("labels")).groupBy("slot", on.alias("lkey")).agg(F.max("value").alias("v")).where(_test(F.col("v"), x["op"], x["value"])).select("slot", "lkey") for x in (c, c["also"]))
-            return a.join(b, ["slot", "lkey"], "left_semi")
-        return of(c["metric"], c.get("labels")).where(_test(F.col("value"), c["op"], c["value"])).select("slot", "lkey")
-
-    parts = []
-    for name, minutes, severity, conditions in rules or ALERT_RULES:
-        met = reduce(DataFrame.unionByName, [holds(c) for c in conditions]).distinct()
-        parts.append(met.select(F.lit(name).alias("rule"), F.lit(severity).alias("severity"), F.lit(minutes * 60 // step_s).alias("needs"), "lkey", "slot"))
-    every = reduce(DataFrame.unionByName, parts)
-    island = F.col("slot") - F.row_number().over(Window.partitionBy("rule", "lkey").orderBy("slot"))
-    runs = every.withColumn("island", island).groupBy("rule", "severity", "needs", "lkey", "island").agg(F.min("slot").alias("a"), F.max("slot").alias("b"))
-    return runs.where("b - a >= needs").select("rule", "severity", F.col("lkey").alias("labels"), ((F.col("a") + F.col("needs")) * step).alias("from_us"), (F.col("b") * step).alias("to_us"))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..fixtures import NOW, PULL_NOW, fx, run_sql
 from ..functions.scalars import count_label
-from ..operators import changes
+from ..operators import alerts, changes
 from ..operators import metrics as m
 from .registry import query, us
 
@@ -168,7 +168,7 @@ def _(spark, sf):
     slot = F.floor(us("at") / 3_600_000_000)
     samples = hours.select("at", F.lit("depth").alias("name"), F.create_map(F.lit("queue"), F.lit("event")).alias("labels"), F.when(slot % 12 < 5, 2000.0).otherwise(1.0).alias("value"))
     rules = [("backlog", 120, "warning", [{"metric": "depth", "labels": {"queue": "event"}, "op": ">", "value": 1000}])]
-    return m.evaluate_alerts(samples, rules, 3600).select("rule", "from_us", "to_us")
+    return alerts.evaluate_alerts(samples, rules, 3600).select("rule", "from_us", "to_us")
 
 
 @query("j21_trust_verdict", f"WITH c AS (SELECT 'correctness' AS aspect, count(*) FILTER (WHERE resolved_at IS NULL) = 0 AS good FROM ({FINDINGS}) UNION ALL SELECT 'staleness', max(staleness_s) < 1e12 FROM ({STALENESS}) UNION ALL SELECT 'stream', CAST(sum(lag) AS BIGINT) = 0 FROM ({STREAMS})) SELECT string_agg(aspect, ',' ORDER BY aspect) FILTER (WHERE NOT good) AS failing, bool_and(good) AS trusted FROM c")
