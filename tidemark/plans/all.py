@@ -6,7 +6,7 @@ import importlib
 
 from .registry import ORACLES, QUERIES, Query
 
-MODULES = ("ingest", "entities", "stream", "reconciliation", "drifting", "measures", "alerting", "timelines", "reading")
+MODULES = ("ingest", "entities", "stream", "reconciliation", "drifting", "snapshots", "measures", "alerting", "timelines", "reading")
 
 
 def load() -> tuple[dict[str, Query], dict[str, str]]:
