@@ -164,6 +164,85 @@ def test_alerts_absence_increase_reset_and_hold(spark):
     assert len(alerts.ALERT_RULES) == 28
 
 
+def test_alerts_quantile_lies_within_its_bucket(spark):
+    from datetime import datetime, timedelta
+
+    base = datetime(2024, 1, 1)
+    share = {"10": 0, "20": 90, "40": 100, "+Inf": 100}
+    rows = [(base + timedelta(minutes=i), "b", {"le": le, "pod": pod}, float(i * n)) for i in range(6) for le, n in share.items() for pod in "xy"]
+
+    def fires(bound, op):
+        rules = [("slow", 0, "page", [{"quantile": 0.95, "metric": "b", "minutes": 5, "op": op, "value": bound}])]
+        return [(r.labels, (r.to_us - r.from_us) // 60_000_000) for r in alerts.evaluate_alerts(spark.createDataFrame(rows, SAMPLES), rules).collect()]
+
+    assert fires(29.9, ">") == [("", 4)] and fires(30.1, ">") == [] and fires(30.1, "<") == [("", 4)]
+
+
+def test_alerts_take_whole_series_groups_and_odd_samples(spark):
+    from datetime import datetime, timedelta
+
+    base = datetime(2024, 1, 1)
+    rows = [(base + timedelta(minutes=i), "lag", {"pod": p, "zone": "a, b} {c"}, 5.0 if p == "x" or i < 2 else 0.0) for i in range(4) for p in "xy"]
+    rows += [(base + timedelta(minutes=i), "age", {"zone": "a, b} {c", "pod": "x"}, 50.0) for i in range(4)]
+    rows += [(base, "lag", None, 9.0), (None, "lag", {}, 9.0), (base, None, {}, 9.0), (base, "lag", {"pod": "z"}, None)]
+    rules = [("stalled", 1, "page", [{"metric": "lag", "op": ">", "value": 0, "also": {"metric": "age", "op": ">", "value": 30}}]), ("role", 1, "page", [{"metric": "up", "labels": {"role": r}, "absent": True} for r in "ab"])]
+    got = {(r.rule, r.labels) for r in alerts.evaluate_alerts(spark.createDataFrame(rows, SAMPLES), rules).collect()}
+    assert got == {("stalled", "pod=x,zone=a, b} {c"), ("role", "role=a"), ("role", "role=b")}
+    assert alerts.evaluate_alerts(spark.createDataFrame([], SAMPLES)).collect() == []
+    twice = spark.createDataFrame([(base, "lag", {}, 1.0), (base, "lag", {}, 3.0)], SAMPLES)
+    assert alerts.on_grid(twice, 60).first().value == 3.0
+
+
+SAMPLES = "at timestamp_ntz, name string, labels map<string,string>, value double"
+
+
+def _document_tables(spark, **rows):
+    from datetime import datetime
+
+    t = datetime(2024, 1, 1)
+    base = "last_checked_at timestamp_ntz, tombstoned_at timestamp_ntz"
+    schemas = {
+        "repos": "repo_id long, gh_id long, installation_id long, full_name string, " + base,
+        "pull_requests": "repo_id long, number long, pull_id long, gh_id long, head_sha string, base_sha string, " + base,
+        "stacks": "repo_id long, number long, stack_id long, gh_id long, entries array<struct<number:long,updated_at:timestamp_ntz>>, " + base,
+        "repo_rules": "repo_id long, rule_key string, rule string, " + base,
+        "rule_sync_state": "repo_id long, last_checked_at timestamp_ntz",
+        "check_runs": "repo_id long, head_sha string, gh_id long, name string, " + base,
+        "change_snapshots": "repo_id long, pr_number long, base_sha string, head_sha string, files_total_count long, " + base,
+        "review_requests": "repo_id long, pr_number long, reviewer_kind string, reviewer_gh_id long, head_sha string, " + base,
+        "reviews": "repo_id long, pr_number long, node_id string, head_sha string, submitted_at timestamp_ntz, " + base,
+        "comments": "repo_id long, pr_number long, node_id string, head_sha string, " + base,
+        "changed_files": "repo_id long, pr_number long, path string, base_sha string, head_sha string, " + base,
+        "file_owners": "repo_id long, pr_number long, path string, owner_token string, base_sha string, head_sha string, " + base,
+        "review_threads": "repo_id long, pr_number long, thread_id string, comments array<struct<author_login:string>>, " + base,
+    }
+    return {name: spark.createDataFrame([tuple(r) + ((t,) if name == "rule_sync_state" else (t, None) if len(r) < len(schema.split(" timestamp_ntz")[0].split(", ")) + (name == "reviews") else ()) for r in rows.get(name, [])], schema) for name, schema in schemas.items()}
+
+
+def test_documents_fence_children_and_change_inputs(spark):
+    from tidemark.operators import documents
+
+    def pulls(**rows):
+        tables = _document_tables(spark, repos=[(1, 10, 7, 'a/"b"')], pull_requests=[(1, 5, 50, 500, "h", "b"), (2, 6, 60, 600, "h", "b")], **rows)
+        out = documents.entity_documents(tables).collect()
+        keys = {(r.installation_id, r.entity_kind, r.source_id) for r in documents.document_keys(tables).collect()}
+        assert keys == {(r.installation_id, r.entity_kind, r.source_id) for r in out} and len(keys) == len(out)
+        return {r.entity_kind: json.loads(r.document) for r in out}
+
+    empty = pulls()
+    assert set(empty) == {"repository", "repo_rules", "pull_request", "review_threads"}
+    assert empty["pull_request"]["reviews"] == [] and empty["pull_request"]["change_inputs"] is None and empty["repo_rules"] == {"rules_by_id": {}} and empty["review_threads"] == {"threads": []}
+    assert empty["repository"]["full_name"] == 'a/"b"' and "title" in empty["pull_request"]
+
+    stated = dict(change_snapshots=[(1, 5, "b", "h", 2)], changed_files=[(1, 5, "z", "b", "h"), (1, 5, "a", "b", "h")])
+    full = pulls(**stated, comments=[(1, 5, "n2", "h"), (1, 5, "n1", "old"), (1, 5, "n0", "h"), (1, 5, "n9", None)], repo_rules=[(1, 'k"', '{"x":[1]}')], check_runs=[(1, "h", 9, "c"), (1, "h", 8, None)])
+    assert [c["node_id"] for c in full["pull_request"]["comments"]] == ["n0", "n2"]
+    assert [f["path"] for f in full["pull_request"]["change_inputs"]["files"]] == ["a", "z"] and full["pull_request"]["change_inputs"]["owners"] == []
+    assert full["repo_rules"] == {"rules_by_id": {'k"': {"x": [1]}}} and [r["id"] for r in full["checks"]["runs"]] == [8, 9]
+    for spoilt in (dict(file_owners=[(1, 5, "a", "@t", None, "h")]), dict(file_owners=[(1, 5, "a", "@t", "b", "other")]), dict(change_snapshots=[(1, 5, "b", "old", 2)])):
+        assert pulls(**{**stated, **spoilt})["pull_request"]["change_inputs"] is None
+
+
 def test_alert_rules_run(spark):
     from datetime import datetime
 

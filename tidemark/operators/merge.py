@@ -155,6 +155,14 @@ def child_fence(children: DataFrame, snapshots: DataFrame) -> DataFrame:
     return children.join(s, ["repo_id", "pr_number", "head_sha", "base_sha"], "left_semi")
 
 
+def merge_rule_sync(state: DataFrame, checks: DataFrame) -> DataFrame:
+    """(repo_id, etag, last_checked_at) after a batch of rule checks (repo_id, etag, checked_at, arrival) in order of arrival: an empty or missing etag leaves the one before, a check never goes back in time. The batch is folded before it meets the state."""
+    valid = F.nullif(F.col("etag"), F.lit(""))
+    batch = checks.groupBy("repo_id").agg(F.max_by(valid, F.when(valid.isNotNull(), F.struct("arrival", "checked_at", "etag"))).alias("new_etag"), F.max("checked_at").alias("checked_at"))
+    both = state.select("repo_id", "etag", "last_checked_at").join(batch, "repo_id", "full_outer")
+    return both.select("repo_id", F.coalesce("new_etag", "etag", F.lit("")).alias("etag"), F.greatest("last_checked_at", "checked_at").alias("last_checked_at"))
+
+
 def merge_aliases(aliases: DataFrame) -> DataFrame:
     """The repository that each name was last seen for."""
     return aliases.groupBy("full_name").agg(F.max_by("repo_id", F.struct("last_seen_at", "repo_id")).alias("repo_id"), F.max("last_seen_at").alias("last_seen_at"))

@@ -27,6 +27,34 @@ def checks(runs: DataFrame, head_sha: str) -> DataFrame:
     return live(runs).where(F.col("head_sha") == head_sha).orderBy("name", "gh_id")
 
 
+def stacks(df: DataFrame, repos: DataFrame, now: str, limit: int) -> DataFrame:
+    """Stacks of live repositories that are open or still displayed, open ones first."""
+    shown = F.col("open") | F.coalesce(F.col("display_until") > F.lit(now).cast("timestamp_ntz"), F.lit(False))
+    return live(df, repos).where(shown).orderBy(F.desc("open"), "repo_id", "number").limit(limit)
+
+
+def numbered(df: DataFrame, repos: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Answers to look-ups by number (number, full_name; an empty or missing name stands for any repository): repo_id and whether it was found, is missing, or is ambiguous.
+
+    Of a look-up's matches only their count and least repository are kept, so a number that many repositories use stays one row.
+    """
+    names = repos.where("tombstoned_at is null").select("repo_id", F.col("full_name").alias("r_name"))
+    known = live(df).select("repo_id", "number").join(names, "repo_id")
+    any_name = F.coalesce(F.col("full_name"), F.lit("")) == ""
+    asked = wanted.select("number", "full_name").distinct()
+    wide = known.groupBy("number").agg(F.count(F.lit(1)).alias("n"), F.min("repo_id").alias("repo_id"))
+    by_number = asked.where(any_name).join(wide, "number", "left")
+    narrow = known.groupBy("number", F.col("r_name").alias("full_name")).agg(F.count(F.lit(1)).alias("n"), F.min("repo_id").alias("repo_id"))
+    by_name = asked.where(~any_name).join(narrow, ["number", "full_name"], "left")
+    answer = F.when(F.coalesce("n", F.lit(0)) == 0, "missing").when(F.col("n") == 1, "found").otherwise("ambiguous")
+    return by_number.unionByName(by_name, allowMissingColumns=True).select("number", "full_name", answer.alias("answer"), F.when(F.col("n") == 1, F.col("repo_id")).alias("repo_id"))
+
+
+def checks_of_heads(runs: DataFrame, repos: DataFrame, heads: DataFrame) -> DataFrame:
+    """Live runs of the wanted heads in live repositories, in the order of head, repository, name and identifier."""
+    return live(runs, repos).join(heads.select("head_sha").distinct(), "head_sha", "left_semi").orderBy("head_sha", "repo_id", "name", "gh_id")
+
+
 def by_alias(df: DataFrame, aliases: DataFrame, repos: DataFrame, names: DataFrame) -> DataFrame:
     """Rows of repositories looked up by a current or former name (column full_name); a current name goes before an alias."""
     current = repos.where("tombstoned_at is null").select("full_name", "repo_id", F.lit(0).alias("rank"))

@@ -118,6 +118,15 @@ RULE_STATE = f"SELECT CAST(p_partkey % 25 AS BIGINT) AS repo_id, CAST(p_partkey
 RULE_BATCH = f"SELECT repo_id, CASE WHEN repo_id % 3 = 0 THEN rule_key || 'x' ELSE rule_key END AS rule_key, rule_type, '{{1}}' AS parameters, gh_updated_at + INTERVAL 1 DAY AS gh_updated_at, {T0} + INTERVAL 2 DAY AS last_checked_at FROM ({RULE_STATE})"
 replace_query("c17_repo_rules", RULE_STATE, RULE_BATCH, f"SELECT DISTINCT repo_id, {T0} + INTERVAL 2 DAY AS observed_at FROM fx_repos WHERE repo_id % 4 > 0", m.REPO_RULES)
 
+RULE_SYNC = "SELECT repo_id, CASE WHEN repo_id % 2 = 0 THEN 's' || CAST(repo_id AS STRING) ELSE '' END AS etag, TIMESTAMP '1997-01-01 00:00:00' AS last_checked_at FROM fx_repos WHERE repo_id % 5 > 0"
+RULE_CHECKS = "SELECT repo_id, CASE WHEN number % 3 = 0 OR repo_id % 4 = 0 THEN '' ELSE 'e' || CAST(number AS STRING) END AS etag, last_checked_at AS checked_at, number AS arrival FROM fx_pulls WHERE repo_id % 7 > 0"
+
+
+@query("c17_rule_sync", f"SELECT coalesce(s.repo_id, c.repo_id) AS repo_id, coalesce(c.etag, s.etag, '') AS etag, epoch_us(greatest(s.last_checked_at, c.checked_at)) AS checked_us FROM ({RULE_SYNC}) s FULL JOIN (SELECT repo_id, arg_max(etag, arrival) FILTER (WHERE etag <> '') AS etag, max(checked_at) AS checked_at FROM ({RULE_CHECKS}) GROUP BY repo_id) c ON c.repo_id = s.repo_id")
+def _(spark, sf):
+    return m.merge_rule_sync(run_sql(spark, sf, RULE_SYNC), run_sql(spark, sf, RULE_CHECKS)).select("repo_id", "etag", us("last_checked_at").alias("checked_us"))
+
+
 ALIASES = "SELECT 'acme/old' || CAST(o_custkey % 40 AS STRING) AS full_name, o_orderkey % 25 AS repo_id, o_orderdate AS last_seen_at FROM orders"
 
 

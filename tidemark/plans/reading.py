@@ -68,3 +68,40 @@ OPEN = "SELECT repo_id, number, CASE WHEN number % 2 = 0 THEN gh_updated_at END
 def _(spark, sf):
     pulls = run_sql(spark, sf, "SELECT *, 'p' || CAST(number AS STRING) AS etag FROM fx_pulls")
     return r.reuse_metadata(pulls, run_sql(spark, sf, RUNS), run_sql(spark, sf, OPEN))
+
+
+STACKED = "SELECT repo_id, CAST(floor((number - 1) / 5) AS BIGINT) % 40 AS number, max(state = 'open') AS open, CASE WHEN max(number) % 2 = 0 THEN max(gh_updated_at) + INTERVAL 1000 DAY END AS display_until, CASE WHEN max(number) % 9 = 0 THEN max(gh_updated_at) END AS tombstoned_at FROM fx_pulls GROUP BY repo_id, CAST(floor((number - 1) / 5) AS BIGINT) % 40"
+ASKED = "SELECT number % 45 AS number, CASE WHEN number % 3 = 0 THEN '' ELSE 'acme/' || CASE WHEN number % 3 = 1 THEN 'france' ELSE 'nowhere' END END AS full_name FROM fx_pulls"
+NAMES = "SELECT s.repo_id, s.number, r.full_name FROM ({0}) s JOIN fx_repos r ON r.repo_id = s.repo_id WHERE s.tombstoned_at IS NULL AND r.tombstoned_at IS NULL"
+
+
+def _answers(asked: str, table: str) -> str:
+    return f"SELECT a.number, a.full_name, CASE count(k.repo_id) WHEN 0 THEN 'missing' WHEN 1 THEN 'found' ELSE 'ambiguous' END AS answer, CASE WHEN count(k.repo_id) = 1 THEN min(k.repo_id) END AS repo_id FROM (SELECT DISTINCT number, full_name FROM ({asked})) a LEFT JOIN ({NAMES.format(table)}) k ON k.number = a.number AND (a.full_name = '' OR a.full_name = k.full_name) GROUP BY a.number, a.full_name"
+
+
+@query("l1_stacks", f"SELECT repo_id, number, open FROM ({STACKED}) WHERE tombstoned_at IS NULL AND repo_id IN (SELECT repo_id FROM fx_repos WHERE tombstoned_at IS NULL) AND (open OR display_until > TIMESTAMP '{PULL_NOW}') ORDER BY open DESC, repo_id, number LIMIT 100")
+def _(spark, sf):
+    stacked = run_sql(spark, sf, STACKED)
+    return r.stacks(stacked, fx(spark, sf, "repos"), PULL_NOW, 100).select("repo_id", "number", "open")
+
+
+@query("l1_stack_by_number", _answers(ASKED, STACKED))
+def _(spark, sf):
+    return r.numbered(run_sql(spark, sf, STACKED), fx(spark, sf, "repos"), run_sql(spark, sf, ASKED))
+
+
+PULL_NAMES = "SELECT p.number + CASE WHEN p.number % 10 = 0 THEN 900000000 ELSE 0 END AS number, CASE WHEN p.number % 4 = 0 THEN '' ELSE r.full_name END AS full_name FROM fx_pulls p JOIN fx_repos r ON r.repo_id = p.repo_id"
+
+
+@query("l1_pull_by_number", _answers(PULL_NAMES, "SELECT * FROM fx_pulls"))
+def _(spark, sf):
+    return r.numbered(fx(spark, sf, "pulls"), fx(spark, sf, "repos"), run_sql(spark, sf, PULL_NAMES))
+
+
+NAMED_RUNS = "SELECT gh_id, repo_id, head_sha, max(name) AS name, CASE WHEN gh_id % 10 = 2 THEN max(observed_at) END AS tombstoned_at FROM fx_check_observations GROUP BY gh_id, repo_id, head_sha"
+
+
+@query("l1_checks_of_heads", f"SELECT head_sha, repo_id, name, gh_id FROM ({NAMED_RUNS}) WHERE tombstoned_at IS NULL AND repo_id IN (SELECT repo_id FROM fx_repos WHERE tombstoned_at IS NULL) AND head_sha IN (SELECT head_sha FROM fx_pulls WHERE state = 'open')")
+def _(spark, sf):
+    heads = fx(spark, sf, "pulls").where("state = 'open'")
+    return r.checks_of_heads(run_sql(spark, sf, NAMED_RUNS), fx(spark, sf, "repos"), heads).select("head_sha", "repo_id", "name", "gh_id")

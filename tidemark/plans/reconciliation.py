@@ -78,6 +78,14 @@ def _(spark, sf):
     return r.orphans(fx(spark, sf, "generations"), run_sql(spark, sf, JOBS), "2024-01-28 00:00:00").select("refresh_key", "last_state")
 
 
+TRIED = "SELECT kind, refresh_key, generation * 10 AS job_id, 'discarded' AS state FROM fx_generations WHERE generation % 5 > 0 UNION ALL SELECT kind, refresh_key, generation * 10 + 1, CASE WHEN generation % 4 = 0 THEN 'running' WHEN generation % 2 = 0 THEN 'cancelled' ELSE 'completed' END FROM fx_generations WHERE generation % 3 > 0"
+
+
+@query("h9_orphan_states", f"SELECT g.refresh_key, j.last_state FROM fx_generations g LEFT JOIN (SELECT kind, refresh_key, arg_max(state, job_id) AS last_state, bool_or(state = 'running') AS runs FROM ({TRIED}) GROUP BY kind, refresh_key) j ON j.kind = g.kind AND j.refresh_key = g.refresh_key WHERE g.completed_generation < g.generation AND g.updated_at < TIMESTAMP '2024-02-01 00:00:00' AND NOT coalesce(j.runs, FALSE)")
+def _(spark, sf):
+    return r.orphans(fx(spark, sf, "generations"), run_sql(spark, sf, TRIED), "2024-02-01 00:00:00").select("refresh_key", "last_state")
+
+
 CHILDREN = "SELECT repo_id, number AS child_key, 3 AS generation, CASE WHEN number % 11 = 0 THEN NULL WHEN number % 7 = 0 THEN 2 ELSE 3 END AS completed_generation FROM fx_pulls WHERE repo_id % 3 > 0 OR number % 11 > 0 AND number % 7 > 0"
 
 
