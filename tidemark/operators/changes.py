@@ -29,6 +29,18 @@ def advance_cursor(cursors: DataFrame, delivered: DataFrame) -> DataFrame:
     return cursors.join(d, ["consumer", "stream"], "full").select("consumer", "stream", F.greatest("cursor_seq", "last").alias("cursor_seq"))
 
 
+def delivered_within(cursors: DataFrame, events: DataFrame, span: int) -> DataFrame:
+    """(consumer, stream, seq): the ``events`` (stream, seq) whose sequence is after a cursor by ``span`` at most.
+
+    Sequences meet in buckets of ``span`` numbers, of which a cursor needs two, so the work grows with cursors, events and
+    what is delivered, not with cursors times events of a stream.
+    """
+    at = F.floor(F.col("cursor_seq") / span)
+    c = cursors.select("consumer", "stream", "cursor_seq", F.explode(F.array(at, at + 1)).alias("bucket"))
+    e = events.select("stream", "seq", F.floor(F.col("seq") / span).alias("bucket"))
+    return c.join(e, ["stream", "bucket"]).where((F.col("seq") > F.col("cursor_seq")) & (F.col("seq") <= F.col("cursor_seq") + span)).select("consumer", "stream", "seq")
+
+
 def resync_needed(cursors: DataFrame, horizons: DataFrame) -> DataFrame:
     """Consumers whose next event may have been pruned."""
     h = horizons.select("stream", "pruned_through_seq")

@@ -26,7 +26,7 @@ def _(spark, sf):
 def _(spark, sf):
     cursors = fx(spark, sf, "consumers")
     e = fx(spark, sf, "change_events").select("stream", "seq")
-    delivered = cursors.join(e, "stream").where("seq > cursor_seq and seq <= cursor_seq + 300").select("consumer", "stream", "seq")
+    delivered = c.delivered_within(cursors, e, 300)
     return c.advance_cursor(cursors, delivered.unionByName(delivered))
 
 
