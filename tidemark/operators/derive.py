@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,8 +37,13 @@ def scope_snapshots(scopes: DataFrame, repos: DataFrame, pulls: DataFrame, threa
 
 
 def derive(snapshots: DataFrame, fn: Callable, schema: str = "scope_key string, identity_key string, payload string") -> DataFrame:
-    """Work items of each scope by a pandas function of the scope's rows."""
-    return snapshots.groupBy("scope_key").applyInPandas(fn, schema)
+    """Work items of scopes by a pandas function of their rows, as ``scope_snapshots`` gives them: a row is a whole scope, and ``fn`` is given many at a time."""
+
+    def batches(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in parts:
+            yield fn(rows)
+
+    return snapshots.mapInPandas(batches, schema)
 
 
 def validate_results(scopes: DataFrame, items: DataFrame, owners: DataFrame | None = None, complete: bool = False) -> DataFrame:
