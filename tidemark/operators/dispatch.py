@@ -181,12 +181,15 @@ def suppress_matching(intents: DataFrame, hints: DataFrame, stacks: DataFrame) -
     intents: delivery_guid, kind, key; hints as ``stack_hint`` gives them with delivery_guid; stacks: full_name, number,
     gh_id, base_ref, base_sha, entries (array of structs with number).
     """
-    s = stacks.select(F.col("full_name").alias("s_repo"), F.col("number").alias("s_number"), F.col("gh_id").alias("s_id"), F.col("base_ref").alias("s_ref"), F.col("base_sha").alias("s_sha"), "entries")
+    # entries meet hints one by one on all that has to agree, so a stack number that many stacks or hints name is no product of them
+    entry = stacks.select("full_name", "number", "gh_id", "base_ref", "base_sha", F.size("entries").alias("size"), F.posexplode("entries").alias("i", "e"))
+    s = entry.where("base_sha <> ''").select("full_name", "number", "gh_id", "base_ref", "base_sha", "size", (F.col("i") + 1).alias("position"), F.col("e.number").alias("member"))
+    h = hints.withColumn("at", F.col("stack_position").cast("int"))
     same = (
-        (F.col("stack_id") == F.col("s_id")) & (F.col("base_ref") == F.col("s_ref")) & (F.col("base_sha") == F.col("s_sha")) & (F.col("s_sha") != "")
-        & (F.col("stack_size") == F.size("entries")) & (F.get(F.col("entries"), F.col("stack_position").cast("int") - 1)["number"] == F.col("pr_number"))
+        (h["hint_repo"] == s["full_name"]) & (h["stack_number"] == s["number"]) & (h["stack_id"] == s["gh_id"]) & (h["base_ref"] == s["base_ref"]) & (h["base_sha"] == s["base_sha"])
+        & (h["stack_size"] == s["size"]) & (h["at"] == s["position"]) & (h["pr_number"] == s["member"])
     )
-    joined = hints.join(s, (F.col("hint_repo") == F.col("s_repo")) & (F.col("stack_number") == F.col("s_number"))).where(same)
+    joined = h.join(s, same, "left_semi")
     told = joined.select("delivery_guid", F.lit("refresh_stack").alias("kind"), F.concat_ws(":", F.lit("stack"), "hint_repo", F.col("stack_number").cast("string")).alias("key")).distinct()
     return intents.join(told, ["delivery_guid", "kind", "key"], "left_anti")
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 DELIVERY_SCHEMA = "delivery_guid string, event string, content_type string, body string, received_at timestamp, status string, attempts int, arrival long"
@@ -21,6 +21,12 @@ def read_deliveries(spark: SparkSession, path: str, stream: bool = False, fmt: s
     return (spark.readStream if stream else spark.read).schema(schema).format(fmt).load(path)
 
 
+def _once(df: DataFrame, new: dict[str, Column]) -> DataFrame:
+    """``df`` with columns that are costly to make: they come out of a generator of one row, so that each filter and field that reads them doesn't make them again."""
+    made = F.explode(F.array(F.struct(*[c.alias(n) for n, c in new.items()]))).alias("__made")
+    return df.select(*[c for c in df.columns if c not in new], made).select(*[c for c in df.columns if c not in new], *[F.col(f"__made.{n}").alias(n) for n in new])
+
+
 def decode_payload(df: DataFrame) -> DataFrame:
     """``df`` (content_type, body) with payload (JSON text of an object) or decode_error.
 
@@ -37,12 +43,12 @@ def decode_payload(df: DataFrame) -> DataFrame:
         .when(form & (F.size(fields) != 1), "form needs exactly one payload field")
         .when(~is_object, "payload is not a JSON object")
     )
-    return df.withColumns({"payload": F.when(is_object, raw), "decode_error": error})
+    return _once(df, {"payload": F.when(is_object, raw), "decode_error": error})
 
 
 def project_envelope(df: DataFrame) -> DataFrame:
     """``df`` (payload) with the typed envelope as column p."""
-    return df.withColumn("p", F.from_json("payload", ENVELOPE_SCHEMA))
+    return _once(df, {"p": F.from_json("payload", ENVELOPE_SCHEMA)})
 
 
 def split_poison(df: DataFrame, error: str = "decode_error") -> tuple[DataFrame, DataFrame]:
