@@ -34,3 +34,13 @@ def test_derive_hands_over_many_scopes_at_a_time(spark):
     scopes = spark.range(1000).select(F.concat(F.lit("repo:1:pr:"), F.col("id").cast("string")).alias("scope_key")).coalesce(1)
     out = derive.derive(scopes, lambda rows: pd.DataFrame({"scope_key": rows.scope_key, "identity_key": rows.scope_key, "payload": str(len(rows))})).collect()
     assert len({r.scope_key for r in out}) == 1000 and {r.payload for r in out} == {"1000"}
+
+
+def test_alert_samples_come_from_all_tasks(spark, tmp_path):
+    from tidemark.plans import alerting
+
+    rows = spark.range(4000).selectExpr("id AS event_id", "id % 7 AS user_id", "'view' AS event_type")
+    rows.coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    samples = alerting.samples(spark, str(tmp_path))
+    made = samples.select(F.spark_partition_id().alias("p")).groupBy("p").count().count()
+    assert made == int(spark.conf.get("spark.sql.shuffle.partitions"))  # one file was one task, with all samples of it

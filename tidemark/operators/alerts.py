@@ -142,8 +142,9 @@ def holding(samples: DataFrame, rules: list | None = None, step_s: int = 60) ->
     met = met.groupBy("cond", "side", "key", "steps", "slot").agg(F.max("value").alias("value"), F.sum("grown").alias("grown")).checkpoint()
     series = Window.partitionBy("cond", "side", "key", "steps").orderBy("slot")
     lengths = sorted({s[5] for s in selectors if s[5] is not None})
-    x = reduce(lambda c, n: c.when(F.col("steps") == n, F.sum("grown").over(series.rangeBetween(1 - n, 0))), lengths, F.when(F.col("steps").isNull(), F.col("value")))
-    x = met.where("cond >= 0").select("cond", "side", "key", "slot", x.alias("x"))
+    grown = met.where("steps is not null")  # only increases are sorted by series
+    x = grown.select("cond", "side", "key", "slot", reduce(lambda c, n: c.when(F.col("steps") == n, F.sum("grown").over(series.rangeBetween(1 - n, 0))), lengths, F.when(F.lit(False), F.col("grown"))).alias("x"))
+    x = x.unionByName(met.where("cond >= 0 and steps is null").select("cond", "side", "key", "slot", F.col("value").alias("x")))
 
     tests = F.broadcast(cond.where("form not in ('absent', 'quantile')"))
     a, b = F.col("a"), F.col("b")

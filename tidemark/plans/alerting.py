@@ -57,9 +57,13 @@ EVENTS = "SELECT TIMESTAMP '2024-01-01 00:00:00' + INTERVAL 30 SECOND * CAST(eve
 
 
 def samples(spark, sf):
-    """(at, name, labels, value): every event gives one sample of each series that is there at its time."""
+    """(at, name, labels, value): every event gives one sample of each series that is there at its time.
+
+    An event makes many samples, so events are dealt over all tasks first, those of a minute together; their files alone may be a task or two.
+    """
     rows = F.array(*[F.struct(*[F.lit(v).alias(c) for c, v in zip(COLUMNS.split(", "), s, strict=True)]) for s in SERIES])
-    each = run_sql(spark, sf, EVENTS).select("sampled_at", "t", "u", F.explode(rows).alias("s")).select("sampled_at", "t", "u", "s.*").where(THERE)
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    each = run_sql(spark, sf, EVENTS).repartition(n, "t").select("sampled_at", "t", "u", F.explode(rows).alias("s")).select("sampled_at", "t", "u", "s.*").where(THERE)
     labels = F.when(F.col("lkey") == "", F.create_map().cast("map<string,string>")).otherwise(F.str_to_map("lkey", F.lit(","), F.lit("=")))
     return each.select(F.col("sampled_at").alias("at"), "name", labels.alias("labels"), F.expr(VALUE).cast("double").alias("value"))
 
