@@ -135,6 +135,27 @@ def test_crowded_postings_are_dealt_out(spark, monkeypatch):
         assert got(line_dedup_report(df)) == expected
 
 
+def test_crowded_posting_loses_no_pair(spark, monkeypatch):
+    # 300 lines of one posting with sketches far apart; two similar ones differ in every byte of their SimHashes
+    rng = random.Random(9)
+    texts = ["".join(rng.choice("abcdefgh ") for _ in range(60)).strip() for _ in range(299)]
+    texts.append(texts[150][:-1] + "z")
+    marks = [rng.getrandbits(55) << 8 for _ in texts]
+    marks[299] = marks[150] ^ 0x0101010101010100
+
+    def posted(batches):
+        for batch in batches:
+            k = batch.column("k")
+            yield pa.RecordBatch.from_arrays([pa.array([7] * len(k), pa.int64()), k, pa.array([marks[x] for x in k.to_pylist()], pa.int64())], names=["slot", "k", "sketch"])
+
+    monkeypatch.setattr(module, "_posted", posted)
+    lines = spark.createDataFrame([(x.encode(), i, x.encode()) for i, x in enumerate(texts)], "key binary, k long, line binary")
+    for size in (1024, 50):
+        monkeypatch.setattr(module, "PAIRED_POSTING", size)
+        links = [{bytes(r.a), bytes(r.b)} for r in module.similar_lines(lines).collect()]
+        assert links == [{texts[150].encode(), texts[299].encode()}]
+
+
 def test_documents(spark):
     docs = table(spark, "/root/testdata/sf0.001", "documents")
     rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").where("length(text) < 2500").limit(30).collect()]

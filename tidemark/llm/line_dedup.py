@@ -14,16 +14,14 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from .common import components, cut, document_key, let, packed, sieve, written
 
 #: Edit similarity of linked lines, and the differing bits of 56 up to which SimHashes over words and over grams let a pair be compared.
 SIMILARITY, WORD_BITS, GRAM_BITS = 0.8, 19, 16
-#: Members of a posting that are compared pair by pair; more are dealt out by blocks of their SimHashes.
-PAIRED_POSTING = 256
-#: Of seven blocks those that members of a crowded posting share to be compared, one of these choices, and of one that is
-#: crowded still. Any two blocks are together in one of the seven triples, so at most two differing blocks leave a triple whole.
-CHOICES = (tuple((b,) for b in range(1, 8)), ((1, 2, 3), (1, 4, 5), (1, 6, 7), (2, 4, 6), (2, 5, 7), (3, 4, 7), (3, 5, 6)))
+#: Members of a posting that one task compares with all of it; a posting with more of them is dealt over as many lanes as that takes.
+PAIRED_POSTING = 1024
 #: Up to so many characters a similarity of 0.8 allows one edit at most, which texts with one character left out find for certain.
 ONE_EDIT = 9
 #: Seeds of the 64 more SimHash bits each that are made of the texts of candidates, and the differing bits allowed in all of these.
@@ -389,20 +387,20 @@ def similar_lines(lines: DataFrame, similarity: float = SIMILARITY) -> DataFrame
     An edited word or gram changes at most two groups of a line's features, so at most two of its blocks: lines that few
     edits part share a block for certain, by the pigeonhole principle, others if some block's features are left. Every
     member of a posting is first compared with the posting's smallest. Members that prove similar to it are connected
-    already and are not compared with one another; the others are compared with all members, in postings of over
-    ``PAIRED_POSTING`` with those that share one of seven blocks of the SimHash too, three blocks in postings that are
-    crowded even so (``CHOICES``). So neither a posting full of near copies nor one that meets by chance is compared in all
-    its pairs. Texts are read for lines of near pairs only: a Bloom filter of bounded size drops most others where they
-    are stored, an exact semi-join the rest.
+    already and are not compared with one another; the others are compared with all members, whatever the posting's size:
+    in one of over ``PAIRED_POSTING`` of them they are dealt over lanes, each of which meets all members. Pairs that the
+    links found so far connect are not compared. Texts are read for lines of near pairs only: a Bloom filter of bounded
+    size drops most others where they are stored, an exact join the rest.
     """
     posted = lines.select("k", "line").mapInArrow(_posted, "slot long, k long, sketch long")
+    tasks = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def verified(pairs: DataFrame) -> DataFrame:
         pairs = cut(pairs.distinct())
         wanted = pairs.select(F.col("a").alias("k")).union(pairs.select("b")).distinct()
-        stored = sieve(lines.select("key", "k", "line"), F.col("k"), wanted)
+        stored = sieve(lines.select("key", "k", "line"), F.col("k"), wanted).groupBy("k", "key").agg(F.first("line").alias("line"))
         # an inner join, since a semi-join would be moved before the filter
-        held = stored.join(wanted, "k").groupBy("key").agg(F.first("line").alias("line"), F.first("k").alias("k"))
+        held = stored.join(wanted, "k")
         more = ", ".join(f"{kind}{i} long" for kind in "wg" for i in range(len(MORE_SEEDS)))
         held = written(held.select("key", "k", "line").mapInArrow(_longer_sketches, f"key binary, k long, line binary, {more}"))
         sides = []
@@ -417,61 +415,33 @@ def similar_lines(lines: DataFrame, similarity: float = SIMILARITY) -> DataFrame
         # texts join the pairs that the longer SimHashes allow; over words if both lines have enough of them
         near = cut(met.where(F.coalesce(apart("w") <= MORE_WORD_BITS, apart("g") <= MORE_GRAM_BITS)).select("a", "b", "ka", "kb"))
         left, right = (held.select(F.col("key").alias(f"k{name}"), F.col("line").alias(f"l{name}")) for name in "ab")
-        tasks = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few bytes, but much work a byte
-        both = near.join(left, "ka").join(right, "kb").select("a", "b", "ka", "kb", "la", "lb").repartition(tasks)
+        # few bytes, but much work a byte: the number of tasks is set, so that they are not merged
+        both = near.join(left, "ka").repartition(tasks, "kb").join(right, "kb").select("a", "b", "ka", "kb", "la", "lb")
         return cut(both.mapInArrow(_verified(similarity), "a long, b long, ka binary, kb binary"))
 
-    def linked(posted: DataFrame, level: int) -> list[DataFrame]:
-        """``posted`` are (slot, k, sketch, known): known members of a slot are linked with one another, which is the case for none at first."""
-        # one shuffle serves the groups' first members and the members themselves
-        dealt = posted.repartition("slot")
-        first = F.when(F.col("known"), F.col("k"))
-        groups = dealt.groupBy("slot").agg(
-            F.count(F.lit(1)).alias("n"),
-            F.max("k").alias("most"),
-            F.min("k").alias("least"),
-            F.min(first).alias("r1"),
-            F.min_by("sketch", first).alias("s1"),
-            F.min_by("sketch", "k").alias("s2"),
-        )
-        groups = groups.where("least < most").select("slot", "n", F.coalesce("r1", "least").alias("r"), F.when(F.col("r1").isNull(), F.col("s2")).otherwise(F.col("s1")).alias("rs"))
-        open_ = (F.col("k") != F.col("r")) & ~F.col("known")
-        near_rep = _near(F.col("sketch"), F.col("rs"), similarity)
-        met = dealt.join(groups.hint("shuffle_hash"), "slot").where((F.col("n") > 2) | (open_ & near_rep))
-        met = written(met.select("slot", "k", "sketch", "n", "r", "known", open_.alias("open"), near_rep.alias("near")))
-        one = verified(met.where("open and near").select(F.col("k").alias("a"), F.col("r").alias("b")))
-        proved = one.select(F.col("a").alias("k"), F.col("b").alias("r"))
-        many = met.where("n > 2")
-        loose = many.where("open").join(proved, ["k", "r"], "left_anti")
-        last = level == len(CHOICES)
-        deeper = F.lit(False) if last else F.col("n") > PAIRED_POSTING
-        second = (
-            loose.where(~deeper)
-            .select("slot", F.col("k").alias("a"), "sketch", "r")
-            .join(many.where(~deeper).select("slot", F.col("k").alias("b"), F.col("sketch").alias("other")), "slot")
-            .where((F.col("a") != F.col("b")) & (F.col("b") != F.col("r")) & _near(F.col("sketch"), F.col("other"), similarity))
-            .select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        )
-        out = [one, verified(second)]
-        if not last:
-            crowded = cut(loose.where(deeper).select("slot", "k").distinct())
-            if not crowded.isEmpty():
-                members = many.join(crowded.select("slot").distinct(), "slot", "left_semi").join(crowded.withColumn("loose", F.lit(True)), ["slot", "k"], "left")
-                parts = [F.xxhash64("slot", F.lit(i), F.col("sketch").bitwiseAND(_signed(sum(0xFF << 8 * b for b in kept)))) for i, kept in enumerate(CHOICES[level])]
-                out += linked(members.select(F.explode(F.array(*parts)).alias("slot"), "k", "sketch", F.col("loose").isNull().alias("known")), level + 1)
-        return out
-
-    found = linked(posted.withColumn("known", F.lit(False)), 0)
-    links = found[0]
-    for more in found[1:]:
-        links = links.unionByName(more)
+    whole = Window.partitionBy("slot")
+    least = F.min(F.struct("k", "sketch")).over(whole)
+    dealt = posted.withColumns({"n": F.count(F.lit(1)).over(whole), "most": F.max("k").over(whole), "least": least}).where(F.col("least.k") < F.col("most"))
+    open_ = F.col("k") != F.col("least.k")
+    near_least = open_ & _near(F.col("sketch"), F.col("least.sketch"), similarity)
+    dealt = dealt.where((F.col("n") > 2) | near_least).select("slot", "k", "sketch", "n", F.col("least.k").alias("r"), near_least.alias("near"))
+    met = written(dealt.dropDuplicates(["slot", "k"]))
+    one = verified(met.where("near").select(F.col("k").alias("a"), F.col("r").alias("b")))
+    proved = one.select(F.col("a").alias("k"), F.col("b").alias("r"))
+    loose = cut(met.where("n > 2 and k <> r").select("slot", "k", "sketch", "r").join(proved, ["k", "r"], "left_anti"))
+    lanes = loose.groupBy("slot").agg(F.ceil(F.count(F.lit(1)) / PAIRED_POSTING).cast("int").alias("lanes"))
+    mine = loose.join(lanes, "slot").select("slot", F.pmod(F.xxhash64("k"), "lanes").cast("int").alias("lane"), F.col("k").alias("a"), "sketch")
+    every = met.where("n > 2 and k <> r").join(lanes, "slot").select("slot", F.explode(F.sequence(F.lit(0), F.col("lanes") - 1)).alias("lane"), F.col("k").alias("b"), F.col("sketch").alias("other"))
+    second = mine.join(every, ["slot", "lane"]).where((F.col("a") != F.col("b")) & _near(F.col("sketch"), F.col("other"), similarity))
+    second = second.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    parts = cut(components(one.select("a", "b")))
+    for name in "ab":
+        second = second.join(parts.select(F.col("node").alias(name), F.col("component").alias(f"{name}_part")), name, "left")
+    apart_yet = ~F.coalesce(F.col("a_part") == F.col("b_part"), F.lit(False))
+    links = one.unionByName(verified(second.where(apart_yet).select("a", "b")))
     return links.select(F.col("ka").alias("a"), F.col("kb").alias("b"))
 
 
-def _signed(mask: int) -> int:
-    return mask - (1 << 64) if mask >> 63 else mask
-
-
 def _removed(occurrences: DataFrame, similarity: float) -> DataFrame:
     """(row, removed): for each row of ``occurrences`` that loses lines, their positions from 0."""
     met = occurrences.where("pos >= 0")
