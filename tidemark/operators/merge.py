@@ -68,11 +68,15 @@ def merge_if_newer(state: DataFrame, batch: DataFrame, spec: Spec) -> DataFrame:
     after the stored row's tombstone. A stored null version accepts anything, or with ``needs_version`` a version. Equal
     keys in the batch are folded first. Accepting clears the tombstone.
     """
+    return _merge_folded(state, fold_batch(batch, spec), spec).drop("__seen")
+
+
+def _merge_folded(state: DataFrame, folded: DataFrame, spec: Spec) -> DataFrame:
+    """``merge_if_newer`` of a batch with one row a key; ``__seen`` tells whether the batch has the key."""
     cols = [*spec.keys, *spec.payload, spec.version, *[c for c in spec.extra if c != spec.version]]
     cols = list(dict.fromkeys(cols))
     s = state.select(*[F.col(c).alias(f"s_{c}") for c in cols], F.lit(True).alias("s_here"))
     flags = [spec.known_flag] if spec.known_flag else []
-    folded = fold_batch(batch, spec)
     i = folded.select(*[(F.col(c) if c in folded.columns else F.lit(None)).alias(f"i_{c}") for c in (*cols, *flags)], F.lit(True).alias("i_here"))
     both = s.join(i, reduce(lambda a, b: a & b, (F.col(f"s_{k}") == F.col(f"i_{k}") for k in spec.keys)), "full")
     s_here, i_here = F.col("s_here").isNotNull(), F.col("i_here").isNotNull()
@@ -113,7 +117,7 @@ def merge_if_newer(state: DataFrame, batch: DataFrame, spec: Spec) -> DataFrame:
         new["requested_at"] = F.coalesce(F.col("i_requested_at"), F.when(F.col("s_tombstoned_at").isNull(), F.col("s_requested_at")))
     new["tombstoned_at"] = F.lit(None).cast(state.schema["tombstoned_at"].dataType)
     change = F.when(inserted, "inserted").when(taken, "updated").otherwise("kept")
-    return both.select(*[F.when(taken, new[c]).otherwise(F.col(f"s_{c}")).alias(c) for c in cols], change.alias("change"))
+    return both.select(*[F.when(taken, new[c]).otherwise(F.col(f"s_{c}")).alias(c) for c in cols], change.alias("change"), i_here.alias("__seen"))
 
 
 def replace_set(state: DataFrame, observed: DataFrame, parents: DataFrame, spec: Spec) -> DataFrame:
@@ -124,14 +128,14 @@ def replace_set(state: DataFrame, observed: DataFrame, parents: DataFrame, spec:
     """
     on = list(spec.parent)
     seen = fold_batch(observed.join(parents.select(*on), on, "left_semi"), spec)
-    merged = merge_if_newer(state, seen, spec)
-    here = seen.select(*spec.keys).withColumn("seen", F.lit(True))
+    # the merge itself tells what was seen, so the batch is folded and shuffled once
+    merged = _merge_folded(state, seen, spec)
     gone = parents.groupBy(*on).agg(F.max("observed_at").alias("observed_at"))
-    both = merged.join(here, list(spec.keys), "left").join(gone, on, "left")
-    missing = F.col("observed_at").isNotNull() & F.col("seen").isNull() & F.col("tombstoned_at").isNull()
+    both = merged.join(gone, on, "left")
+    missing = F.col("observed_at").isNotNull() & ~F.col("__seen") & F.col("tombstoned_at").isNull()
     missing = missing & F.coalesce(F.col("last_checked_at") <= F.col("observed_at"), F.lit(True))
     return both.select(
-        *[F.when(missing, F.col("observed_at")).otherwise(F.col(c)).alias(c) if c == "tombstoned_at" else F.col(c) for c in merged.columns if c != "change"],
+        *[F.when(missing, F.col("observed_at")).otherwise(F.col(c)).alias(c) if c == "tombstoned_at" else F.col(c) for c in merged.columns if c not in ("change", "__seen")],
         F.when(missing, "tombstoned").otherwise(F.col("change")).alias("change"),
     )
 
