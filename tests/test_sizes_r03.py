@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from tidemark.operators import derive as dv
 from tidemark.operators import merge as m
 
 
@@ -13,3 +14,19 @@ def test_replace_set_folds_the_batch_once(spark):
     assert out._jdf.queryExecution().optimizedPlan().toString().count("max_by(") == 1
     expected = {(i, "kept" if i % 5 > 2 else "updated" if i % 4 else "tombstoned") for i in range(20)}
     assert {(r.gh_id, r.change) for r in out.collect()} == expected
+
+
+def test_items_of_one_identity_are_dealt_over_tasks(spark):
+    scopes = spark.sql("SELECT concat('repo:1:pr:', id) AS scope_key FROM range(1000)")
+    items = spark.createDataFrame([(f"repo:1:pr:{i}", "dup", "{}", 1) for i in range(1000)], "scope_key string, identity_key string, payload string, repo_id long")
+    owners = spark.createDataFrame([("dup", "repo:1:pr:0")], "identity_key string, scope_key string")
+    before = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        out = dv.validate_results(scopes, items, owners).where("problem = 'identity of another scope'")
+        tasks = [r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert sum(tasks) == 999 and max(tasks) < 600

@@ -46,6 +46,17 @@ def derive(snapshots: DataFrame, fn: Callable, schema: str = "scope_key string,
     return snapshots.mapInPandas(batches, schema)
 
 
+#: Lanes over which the items of one identity are dealt.
+LANES = 64
+
+
+def _spread_join(items: DataFrame, side: DataFrame) -> DataFrame:
+    """``items`` joined with ``side`` on identity_key; distinct (identity, lane) pairs meet ``side`` and items meet these, so that one identity of very many items is no one task's work."""
+    laned = items.withColumn("__lane", F.pmod(F.xxhash64(*items.columns), F.lit(LANES)).cast("int"))
+    entries = laned.select("identity_key", "__lane").distinct().join(side, "identity_key")
+    return laned.join(entries, ["identity_key", "__lane"]).drop("__lane")
+
+
 def validate_results(scopes: DataFrame, items: DataFrame, owners: DataFrame | None = None, complete: bool = False) -> DataFrame:
     """Problems of derived items (scope_key, identity_key, payload, repo_id): foreign scope, duplicate identity, wrong repository, payload that isn't JSON.
 
@@ -54,7 +65,7 @@ def validate_results(scopes: DataFrame, items: DataFrame, owners: DataFrame | No
     """
     claimed = scopes.select("scope_key").distinct().withColumn("__claimed", F.lit(True))
     counts = items.groupBy("identity_key").agg(F.count(F.lit(1)).alias("__n"))
-    j = items.join(claimed, "scope_key", "left").join(counts, "identity_key")
+    j = _spread_join(items, counts).join(claimed, "scope_key", "left")
     problem = (
         F.when(F.col("__claimed").isNull(), "foreign scope")
         .when(F.col("__n") > 1, "duplicate identity")
@@ -64,7 +75,7 @@ def validate_results(scopes: DataFrame, items: DataFrame, owners: DataFrame | No
     out = j.withColumn("problem", problem).where("problem is not null").select("scope_key", "identity_key", "problem")
     if owners is not None:
         owned = owners.select("identity_key", F.col("scope_key").alias("__owner")).distinct()
-        foreign = items.join(owned, "identity_key").where("__owner <> scope_key")
+        foreign = _spread_join(items.select("scope_key", "identity_key"), owned).where("__owner <> scope_key")
         out = out.unionByName(foreign.select("scope_key", "identity_key", F.lit("identity of another scope").alias("problem")))
     if complete:
         absent = claimed.join(items.select("scope_key").distinct(), "scope_key", "left_anti")
