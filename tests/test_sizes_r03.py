@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import derive as dv
 from tidemark.operators import merge as m
+from tidemark.operators import timeline
 
 
 def test_replace_set_folds_the_batch_once(spark):
@@ -30,3 +31,14 @@ def test_items_of_one_identity_are_dealt_over_tasks(spark):
         for k, v in before.items():
             spark.conf.set(k, v)
     assert sum(tasks) == 999 and max(tasks) < 600
+
+
+def test_stacks_with_a_cycle_and_smaller_members_beside_it(spark):
+    # 5 and 7 stand on each other, 1 on 5, 9 on 1; a chain of 40 stands beside them
+    edges = [(1, 5, 7), (1, 7, 5), (1, 1, 5), (1, 9, 1)] + [(2, n + 1, n) for n in range(1, 40)]
+    edges = spark.createDataFrame(edges, "repo_id long, number long, parent long")
+    pulls = spark.sql("SELECT repo_id, id AS number, TIMESTAMP_NTZ '2001-01-01' AS gh_updated_at FROM range(1, 41) CROSS JOIN VALUES (1L), (2L) AS r (repo_id)")
+    got = timeline.order_stacks(pulls, edges).orderBy("repo_id", "position").collect()
+    assert [(r.stack_number, r.position, r.number) for r in got if r.repo_id == 1] == [(5, 1, 5), (5, 2, 1), (5, 3, 9), (5, 4, 7)]
+    assert [(r.stack_number, r.number) for r in got if r.repo_id == 2] == [(1, n) for n in range(1, 41)]
+    assert {(r.repo_id, r.number, r.root) for r in timeline.stack_components(edges).collect()} == {(1, n, 1) for n in (1, 5, 7, 9)} | {(2, n, 1) for n in range(1, 41)}

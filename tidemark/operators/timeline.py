@@ -129,46 +129,68 @@ def stack_edges(pulls: DataFrame, default_branch: str = "main") -> DataFrame:
     return met.groupBy("repo_id", "number").agg(F.min_by("parent", rank).alias("parent"))
 
 
-def stack_components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
-    """(repo_id, number, root): connected pull requests, the smallest number of each as root.
+def _followed(edges: DataFrame) -> DataFrame:
+    """(repo_id, number, top, path) of every pull request in ``edges`` (one parent a member): its top, and the numbers from there down to it.
 
-    Every member of a stack has at most one parent. Labels are passed on by pointer jumping, so rounds grow with the
-    logarithm of the longest chain; each is checkpointed, the loop ends when nothing changes.
+    Parents are followed by pointer doubling, so rounds grow with the logarithm of the longest chain, and a round is one
+    join of what hasn't reached its top. A round that ends nowhere leaves cycles and what hangs on them; each cycle is cut
+    at its smallest member.
     """
-    both = edges.select("repo_id", "number", F.col("parent").alias("other")).unionByName(edges.select("repo_id", F.col("parent").alias("number"), F.col("number").alias("other"))).persist()
-    label = both.groupBy("repo_id", "number").agg(F.min("other").alias("root")).withColumn("root", F.least("root", "number"))
     checkpoint_dir(edges.sparkSession)
-    label = label.checkpoint()
-    for _ in range(max_rounds):
-        jump = label.alias("l").join(label.select("repo_id", F.col("number").alias("root"), F.col("root").alias("far")), ["repo_id", "root"], "left").select("repo_id", "number", F.least("root", F.coalesce("far", "root")).alias("root"))
-        near = both.join(label.select("repo_id", F.col("number").alias("other"), F.col("root").alias("via")), ["repo_id", "other"]).groupBy("repo_id", "number").agg(F.min("via").alias("via"))
-        new = jump.join(near, ["repo_id", "number"]).select("repo_id", "number", F.least("root", "via").alias("root")).checkpoint()
-        moved = new.join(label.withColumnRenamed("root", "old"), ["repo_id", "number"]).where("root <> old").isEmpty()
-        label = new
-        if moved:
-            break
-    return label
-
-
-def order_stacks(pulls: DataFrame, edges: DataFrame, max_rounds: int = 64) -> DataFrame:
+    e = edges.select("repo_id", "number", F.when(F.col("parent") != F.col("number"), F.col("parent")).alias("parent"))
+    tops = e.select("repo_id", F.col("parent").alias("number")).where("number is not null").join(e, ["repo_id", "number"], "left_anti").distinct()
+    path = e.unionByName(tops.withColumn("parent", F.lit(None).cast("long"))).withColumn("path", F.array("number")).checkpoint()
+
+    def count() -> int:
+        return path.where("parent is not null").count()
+
+    left = count()
+    while left:
+        step = path.select("repo_id", F.col("number").alias("parent"), F.col("parent").alias("next"), F.col("path").alias("before"))
+        open_, done = path.where("parent is not null"), path.where("parent is null")
+        path = done.unionByName(open_.join(step, ["repo_id", "parent"]).select("repo_id", "number", F.col("next").alias("parent"), F.concat("before", "path").alias("path"))).checkpoint()
+        was, left = left, count()
+        if left == was:
+            around = e.join(path.where("parent is not null").select("repo_id", "number"), ["repo_id", "number"], "left_semi").checkpoint()
+            cut = around.join(_cycle_bottoms(around), ["repo_id", "number"], "left")
+            again = cut.select("repo_id", "number", F.when(F.col("bottom").isNull(), F.col("parent")).alias("parent")).withColumn("path", F.array("number"))
+            path = path.where("parent is null").unionByName(again).checkpoint()
+            left = count()
+    return path.select("repo_id", "number", F.get("path", F.lit(0)).alias("top"), "path")
+
+
+def _cycle_bottoms(around: DataFrame) -> DataFrame:
+    """(repo_id, number, bottom): the smallest member of each cycle that the parents of ``around`` (repo_id, number, parent) end in.
+
+    What is reached in 2 ** k steps is all on cycles once one more round reaches no less; the least number of the steps
+    doubles along.
+    """
+    far = around.select("repo_id", "number", F.col("parent").alias("far"), F.least("number", "parent").alias("low")).checkpoint()
+    seen = None
+    while True:
+        reached = far.select("repo_id", F.col("far").alias("number")).distinct()
+        state = (reached.count(), far.agg(F.sum(F.col("low").cast("decimal(38,0)"))).first()[0])
+        if state == seen:
+            return far.join(reached, ["repo_id", "number"], "left_semi").where("low = number").select("repo_id", "number", F.lit(True).alias("bottom"))
+        seen = state
+        step = far.select("repo_id", F.col("number").alias("far"), F.col("far").alias("next"), F.col("low").alias("below"))
+        far = far.join(step, ["repo_id", "far"]).select("repo_id", "number", F.col("next").alias("far"), F.least("low", "below").alias("low")).checkpoint()
+
+
+def stack_components(edges: DataFrame) -> DataFrame:
+    """(repo_id, number, root): connected pull requests, the smallest number of each as root. Every member of a stack has at most one parent, so a component is what has one top."""
+    told = _followed(edges).select("repo_id", "number", "top")
+    root = told.groupBy("repo_id", "top").agg(F.min("number").alias("root"))
+    return told.join(root, ["repo_id", "top"]).select("repo_id", "number", "root")
+
+
+def order_stacks(pulls: DataFrame, edges: DataFrame) -> DataFrame:
     """(repo_id, stack_number, position, number, stack_id): members depth first from the root by smallest number; a cycle starts at its smallest member.
 
     A member's sort key is its path of numbers from the root, made by following parents; the stack's number is that of
     its bottom member, its id the first 15 hex digits of a hash over repository and members, as a number.
     """
-    roots = stack_components(edges)
-    members = roots.join(edges, ["repo_id", "number"], "left")
-    # in a component of n members and n edges there is a cycle: cut at its smallest member
-    top = members.groupBy("repo_id", "root").agg(F.count_if(F.col("parent").isNull()).alias("free"))
-    cut = (F.col("free") == 0) & (F.col("number") == F.col("root"))
-    members = members.join(top, ["repo_id", "root"]).withColumn("parent", F.when(~cut, F.col("parent"))).select("repo_id", "number", "root", "parent")
-    path = members.select("repo_id", "number", "root", "parent", F.array("number").alias("path")).checkpoint()
-    for _ in range(max_rounds):
-        step = path.select("repo_id", F.col("number").alias("parent"), F.col("parent").alias("next"), F.col("path").alias("before"))
-        longer = path.join(step, ["repo_id", "parent"], "left")
-        path = longer.select("repo_id", "number", "root", F.col("next").alias("parent"), F.when(F.col("before").isNotNull(), F.concat("before", "path")).otherwise(F.col("path")).alias("path")).checkpoint()
-        if path.where("parent is not null").isEmpty():
-            break
+    path = _followed(edges).select("repo_id", "number", F.col("top").alias("root"), "path")
     w = Window.partitionBy("repo_id", "root").orderBy("path")
     ordered = path.withColumn("position", F.row_number().over(w))
     facts = ordered.groupBy("repo_id", "root").agg(F.array_sort(F.collect_list(F.struct("position", "number"))).alias("m"))
