@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from tidemark.operators import derive as dv
+from tidemark.operators import drift
 from tidemark.operators import merge as m
 from tidemark.operators import timeline
 
@@ -42,3 +43,13 @@ def test_stacks_with_a_cycle_and_smaller_members_beside_it(spark):
     assert [(r.stack_number, r.position, r.number) for r in got if r.repo_id == 1] == [(5, 1, 5), (5, 2, 1), (5, 3, 9), (5, 4, 7)]
     assert [(r.stack_number, r.number) for r in got if r.repo_id == 2] == [(1, n) for n in range(1, 41)]
     assert {(r.repo_id, r.number, r.root) for r in timeline.stack_components(edges).collect()} == {(1, n, 1) for n in (1, 5, 7, 9)} | {(2, n, 1) for n in range(1, 41)}
+
+
+def test_documents_are_compared_without_a_join_of_their_members(spark):
+    c = [(1, '{"l":[{"identity":"a","v":1},{"identity":"a","v":2},{"identity":"b","v":3}],"x":{"y":[1,2]}}'), (1, '{"x":1}'), (2, "[]"), (3, "{"), (4, None)]
+    u = [(1, '{"l":[{"identity":"b","v":3},{"identity":"a","v":1},{"identity":"a","v":5}],"x":{"y":[1]}}'), (2, '[{"z":null}]'), (3, "{"), (4, "1")]
+    c, u = (spark.createDataFrame(x, "id long, document string") for x in (c, u))
+    out = drift.document_diff(c, u, ["id"])
+    assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
+    got = sorted((r.id, r.path, r.cache_value, r.upstream_value) for r in out.where("id <> 4 and not (cache_value = '1')").collect())
+    assert (1, "l[a#1].v", "2", "5") in got and (1, "x.y[1]", "2", None) in got

@@ -102,51 +102,91 @@ def _path(steps: Column) -> Column:
     return F.regexp_replace(F.array_join(F.transform(steps, shown), ""), r"^\.", "")
 
 
-def _members(side: DataFrame) -> DataFrame:
-    """(d, steps, v, text) one level below (d, steps, v): what objects and arrays hold, each with its step."""
-    items = F.when(F.col("text").startswith("["), F.try_variant_get("v", "$", "array<variant>"))
-    named = F.coalesce(F.forall(items, lambda x: F.try_variant_get(x, "$.identity", "string").isNotNull()), F.lit(False))
-    told = side.withColumns({"named": named, "list": F.col("text").startswith("[")})
-    below = told.lateralJoin(told.sparkSession.tvf.variant_explode(F.col("v").outer()))
-    kind = F.when(~F.col("list"), "field").when(F.col("named"), "named").otherwise("item")
-    name = F.when(~F.col("list"), F.col("key")).when(F.col("named"), F.try_variant_get("value", "$.identity", "string")).otherwise(F.col("pos").cast("string"))
-    stepped = below.select("d", "steps", "pos", kind.alias("kind"), name.alias("name"), F.col("value").alias("v"))
-    # items that repeat an identity are told apart by their order
-    nth = F.when(F.col("kind") == "named", F.row_number().over(Window.partitionBy("d", "steps", "kind", "name").orderBy("pos")) - 1).otherwise(F.lit(0))
-    return stepped.select("d", F.concat("steps", F.array(F.struct("kind", "name", nth.alias("nth")))).alias("steps"), "v", F.to_json("v").alias("text"))
+def _let(value: Column, body) -> Column:
+    """``body`` of a value evaluated once; a plain column in a lambda could be evaluated for every element."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _step(kind: str, name: Column, nth: Column | None = None) -> Column:
+    return F.struct(F.lit(kind).alias("kind"), name.alias("name"), (F.lit(0) if nth is None else nth).cast("int").alias("nth"))
+
+
+def _members(v: Column, text: Column) -> Column:
+    """Steps and variants of what the object or array ``v`` holds; items that repeat an identity are told apart by their order."""
+
+    def of_items(items: Column, ids: Column, once: Column) -> Column:
+        def nth(x: Column, i: Column) -> Column:
+            return F.when(once, 0).otherwise(F.size(F.filter(F.slice(ids, F.lit(1), i), lambda y: y == x)))
+
+        named = F.transform(ids, lambda x, i: _step("named", x, nth(x, i)))
+        placed = F.transform(ids, lambda x, i: _step("item", i.cast("string")))
+        return F.struct(F.when(F.forall(ids, lambda x: x.isNotNull()), named).otherwise(placed).alias("steps"), items.alias("values"))
+
+    def identities(items: Column) -> Column:
+        return F.transform(items, lambda x: F.try_variant_get(x, "$.identity", "string"))
+
+    items = _let(F.try_variant_get(v, "$", "array<variant>"), lambda x: _let(identities(x), lambda ids: _let(F.size(F.array_distinct(ids)) == F.size(ids), lambda once: of_items(x, ids, once))))
+    fields = _let(F.try_variant_get(v, "$", "map<string,variant>"), lambda x: F.struct(F.transform(F.map_keys(x), lambda k: _step("field", k)).alias("steps"), F.map_values(x).alias("values")))
+    return F.when(text.startswith("["), items).otherwise(fields)
+
+
+def _met(c: Column, u: Column) -> Column:
+    """Members of both sides by step, as (step, vc, vu): the steps are sorted, so equal ones are neighbours."""
+
+    def at(m: Column, side: int) -> Column:
+        return F.transform(m["steps"], lambda k, i: F.struct(k.alias("step"), F.lit(side).alias("side"), i.alias("at")))
+
+    def of(m: Column, steps: Column) -> Column:
+        def one(e: Column, j: Column) -> Column:
+            after = F.get(steps, j + 1)
+            also = F.when(e["side"] == 1, e["at"]).when(after["step"] == e["step"], after["at"])
+            pair = F.struct(e["step"].alias("step"), F.get(m["c"]["values"], F.when(e["side"] == 0, e["at"])).alias("vc"), F.get(m["u"]["values"], also).alias("vu"))
+            return F.when((e["side"] == 0) | ~F.coalesce(F.get(steps, j - 1)["step"] == e["step"], F.lit(False)), pair)
+
+        return F.filter(F.transform(steps, one), lambda x: x.isNotNull())
+
+    none = F.array().cast(f"array<struct<step:{STEP},side:int,at:int>>")
+    return _let(F.struct(c.alias("c"), u.alias("u")), lambda m: _let(F.sort_array(F.concat(F.coalesce(at(m["c"], 0), none), F.coalesce(at(m["u"], 1), none))), lambda steps: of(m, steps)))
 
 
 def document_diff(cache: DataFrame, upstream: DataFrame, keys: list[str]) -> DataFrame:
     """One row per differing leaf of JSON documents (keys, document): keys, path, cache_value, upstream_value.
 
-    Documents are compared level by level as variants: what objects and arrays hold is exploded on both sides and joined by
-    its steps, and only members that differ go on to the next level, so a round shuffles what is left to compare. A round
-    is one level; the depth isn't bounded by anything here. Arrays of objects that all have an ``identity`` are compared by it, whatever
+    Documents meet in one join by their keys and are dealt over all tasks, which is all that is shuffled. Then they are compared level by level as variants,
+    in the row: what the two objects or arrays hold is matched by its steps, and only members that differ go on to the next
+    level. A round is one level; the depth isn't bounded by anything here. Arrays of objects that all have an ``identity`` are compared by it, whatever
     their order, and by place among items that repeat it. Empty objects and arrays are leaves. Of one-sided leaves the
     missing side is null; a row on one side only has path ''. A document that isn't JSON is one leaf.
     """
     spark = cache.sparkSession
     checkpoint_dir(spark)
     both = cache.select(*keys, F.col("document").alias("c")).join(upstream.select(*keys, F.col("document").alias("u")), keys, "full")
-    rows = both.where(~F.col("c").eqNullSafe(F.col("u"))).withColumn("d", F.monotonically_increasing_id()).checkpoint()
+    # few bytes, but much work a byte: the number of tasks is set, so that small files or merged partitions don't decide it
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = both.where(~F.col("c").eqNullSafe(F.col("u"))).repartition(tasks, *keys).select(F.struct(*keys).alias("d"), "c", "u")
     root = F.array().cast(f"array<{STEP}>").alias("steps")
-    one_sided = rows.where("c is null or u is null").select("d", root, *[F.when(F.col(x).isNotNull(), "present").alias(y) for x, y in (("c", "cache_value"), ("u", "upstream_value"))])
-    found = [one_sided]
-    top = rows.where("c is not null and u is not null").select("d", root, *[F.try_parse_json(x).alias(f"v{x}") for x in "cu"], "c", "u")
+    top = rows.select("d", root, *[F.try_parse_json(x).alias(f"v{x}") for x in "cu"], "c", "u")
     level = top.select("d", "steps", *[c for x in "cu" for c in (F.col(f"v{x}"), F.coalesce(F.to_json(f"v{x}"), F.col(x)).alias(f"t{x}"))])
+    one_sided = F.col("tc").isNull() | F.col("tu").isNull()
+    found, first = [], True
     while True:
         # an inner object or array is one that is JSON and holds something
         inner = {x: F.coalesce(F.col(f"v{x}").isNotNull() & F.col(f"t{x}").rlike(r"^[\[{]") & ~F.col(f"t{x}").isin("[]", "{}"), F.lit(False)) for x in "cu"}
         level = level.where(~F.col("tc").eqNullSafe(F.col("tu"))).withColumns({f"i{x}": inner[x] for x in "cu"}).checkpoint()
+        if first:
+            # a document on one side only is told of as a whole
+            found.append(level.where(one_sided).select("d", "steps", *[F.when(F.col(f"t{x}").isNotNull(), "present").alias(y) for x, y in (("c", "cache_value"), ("u", "upstream_value"))]))
+            level, first = level.where(~one_sided), False
         leaves = level.where("(tc is not null and not ic) or (tu is not null and not iu)")
         found.append(leaves.select("d", "steps", F.when(~F.col("ic"), F.col("tc")).alias("cache_value"), F.when(~F.col("iu"), F.col("tu")).alias("upstream_value")))
         deeper = level.where("ic or iu")
         if deeper.isEmpty():
             break
-        sides = [_members(deeper.where(f"i{x}").select("d", "steps", F.col(f"v{x}").alias("v"), F.col(f"t{x}").alias("text"))).select("d", "steps", F.col("v").alias(f"v{x}"), F.col("text").alias(f"t{x}")) for x in "cu"]
-        level = sides[0].join(sides[1], ["d", "steps"], "full")
+        held = [F.when(F.col(f"i{x}"), _members(F.col(f"v{x}"), F.col(f"t{x}"))) for x in "cu"]
+        each = deeper.select("d", "steps", F.explode(_met(*held)).alias("m"))
+        level = each.select("d", F.concat("steps", F.array("m.step")).alias("steps"), *[c for x in "cu" for c in (F.col(f"m.v{x}"), F.to_json(f"m.v{x}").alias(f"t{x}"))])
     leaf = reduce(DataFrame.unionByName, found)
-    return leaf.join(rows.select("d", *keys), "d").select(*keys, _path(F.col("steps")).alias("path"), "cache_value", "upstream_value")
+    return leaf.select("d.*", _path(F.col("steps")).alias("path"), "cache_value", "upstream_value")
 
 
 def diff_hashes(diffs: DataFrame, keys: list[str]) -> DataFrame:
