@@ -111,3 +111,23 @@ def test_pairing_matches_brute_force(spark):
         expected[i] = main_text(lines, [[x for x, _ in n[3]] for n in near])
     got = {r.page_id: r.text for r in extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert got == expected
+
+
+def test_lines_of_nearly_all_articles_of_a_host_go(spark):
+    def page(i):
+        quote = "<p>A proverb that several articles quote by right.</p>" if i % 5 == 0 else ""
+        return f"<article><h1>Story {i}</h1><p>What {i} tells.</p>{quote}<p>All rights reserved by this paper.</p></article>"
+
+    rows = [(i, f"http://a.com/{i:03}", page(i)) for i in range(90)] + [(100 + i, f"http://b.com/{i}", page(i)) for i in range(8)]
+    df, got = spark.createDataFrame(rows, "page_id long, url string, html string"), []
+    try:
+        for n in (1, 7):
+            spark.conf.set("spark.sql.shuffle.partitions", str(n))
+            got.append({r.page_id: r.text for r in extract_text(df.repartition(n)).collect()})
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert got[0] == got[1]
+    for i in range(90):
+        assert got[0][i] == f"Story {i}\nWhat {i} tells." + ("\nA proverb that several articles quote by right." if i % 5 == 0 else "")
+    # too few pages of one host to tell
+    assert all(got[0][100 + i].endswith("All rights reserved by this paper.") for i in range(8))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
 from bisect import bisect_left
@@ -12,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import bounded_broadcast, written
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>|([^<]+|<)", re.S)
 ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
@@ -31,6 +32,8 @@ NAMES = re.compile(
 COMMENT_NAMES = re.compile(r"(?:^|[\s_-])(?:comments?|commentlist|respond|replies|disqus)(?:$|[\s_-])", re.I)
 #: Pages of a block, and how many pages before and after a page are compared with it.
 BLOCK_PAGES, NEIGHBOURS = 64, 2
+#: The same for pages with an article element; of the pages that tell something so many at least, and of these so many tenths, have to share a line that goes.
+BODY_NEIGHBOURS, BODY_COMPARED, BODY_TENTHS = 16, 16, 9
 IMPLIED_END = frozenset("p li dt dd option tr td th".split())
 
 
@@ -137,40 +140,61 @@ def common_lines(a: list[str], b: list[str]) -> set[int]:
     return found
 
 
-def main_text(lines: list[tuple[str, bool]], others: list[list[str]]) -> str:
-    """Delete from ``lines`` those shared with half of the ``others`` or more; copies, which share all lines, tell nothing and are left out.
+def shared_lines(mine: list, others: list[list], body: bool) -> list[int]:
+    """Positions of lines that ``mine`` shares with enough of the ``others``; copies, which share all lines, tell nothing and are left out.
 
-    Lines of an article element are never deleted, since articles hold the same line by right (a quotation, a signature);
-    a page with such an element consists of them.
+    Half of them are enough, or in a page with an article (``body``) ``BODY_TENTHS`` tenths of ``BODY_COMPARED`` or more: the element
+    speaks for its lines, and articles hold the same line by right (a quotation, a signature), but not nearly all of a host's.
     """
-    if any(inside for _, inside in lines):
-        return "\n".join(text for text, inside in lines if inside)
-    mine = [text for text, _ in lines]
+    if body:
+        # few lines stand in so many pages at all, and only then pages have to be aligned
+        stands = Counter(line for other in others for line in set(other))
+        if not any(10 * stands[line] >= BODY_TENTHS * BODY_COMPARED for line in mine):
+            return []
     found = [shared for shared in (common_lines(mine, other) for other in others) if len(shared) < len(mine)]
     votes = Counter(i for shared in found for i in shared)
-    return "\n".join(text for i, text in enumerate(mine) if not votes[i] or 2 * votes[i] < len(found))
+    if body:
+        return sorted(i for i, n in votes.items() if len(found) >= BODY_COMPARED and 10 * n >= BODY_TENTHS * len(found))
+    return sorted(i for i, n in votes.items() if 2 * n >= len(found))
+
+
+def _candidates(lines: list[tuple[str, bool]]) -> tuple[list[str], bool]:
+    """The lines that may be main text, and whether they stand in an article; a page with such an element consists of its lines."""
+    body = any(inside for _, inside in lines)
+    return [text for text, inside in lines if inside or not body], body
+
+
+def main_text(lines: list[tuple[str, bool]], others: list[list[str]]) -> str:
+    """The page without the lines that ``shared_lines`` finds in the ``others``."""
+    mine, body = _candidates(lines)
+    gone = set(shared_lines(mine, others, body))
+    return "\n".join(text for i, text in enumerate(mine) if i not in gone)
 
 
 def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        lines = [page_lines(page or "") for page in batch.pop("html")]
-        bodies = [any(y for _, y in page) for page in lines]
-        texts = [main_text(page, []) if body else None for page, body in zip(lines, bodies, strict=True)]
-        yield batch.assign(text=texts, texts=[[] if body else [x for x, _ in page] for page, body in zip(lines, bodies, strict=True)])
+        pages = [_candidates(page_lines(page or "")) for page in batch.pop("html")]
+        yield batch.assign(
+            body=[body for _, body in pages],
+            texts=[texts for texts, _ in pages],
+            lines=[[int.from_bytes(hashlib.md5(x.encode("utf-8", "surrogatepass")).digest()[:8], "little", signed=True) for x in texts] for texts, _ in pages],
+        )
 
 
 def _difference(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows by block and rank; each page of the block is compared with the pages that stand near it on its host."""
+    """Positions of the lines that go, of pages that lose some. Rows come by block and rank; each page of the block is compared with the pages that stand near it on its host."""
 
     def done(block: list) -> pd.DataFrame:
         at = {x.rank: x for x in block}
         out = []
         for x in block:
-            if x.rank // BLOCK_PAGES == x.block:
-                near = [at[x.rank + d] for d in range(-NEIGHBOURS, NEIGHBOURS + 1) if d and x.rank + d in at]
-                text = main_text([(line, False) for line in x.texts], [list(y.texts) for y in near if y.host == x.host])
-                out.append((x.page_id, x.url, text, len(text)))
-        return pd.DataFrame(out, columns=["page_id", "url", "text", "n_chars"])
+            if x.rank // BLOCK_PAGES == x.block and len(x.lines):
+                reach = BODY_NEIGHBOURS if x.body else NEIGHBOURS
+                near = [at[x.rank + d] for d in range(-reach, reach + 1) if d and x.rank + d in at]
+                gone = shared_lines(list(x.lines), [list(y.lines) for y in near if (y.host, y.body) == (x.host, x.body)], x.body)
+                if gone:
+                    out.append((x.row, gone))
+        return pd.DataFrame(out, columns=["row", "gone"])
 
     held: list = []
     for batch in batches:
@@ -187,14 +211,16 @@ def extract_text(pages: DataFrame) -> DataFrame:
     """One row per row of ``pages`` (page_id, url, html): page_id, url, text, n_chars.
 
     Blocks that the structure marks as menus, headers, footers, asides, forms, notices, adverts, comments, scripts or
-    styles go. A page with an article element is what that holds. The other pages of a host are put in the order of their
-    paths, and each is compared with those nearest to it, ``NEIGHBOURS`` before and after: lines that half of them share,
+    styles go, and of a page with an article element what stands outside. The pages of a host with such an element and those
+    without are put in the order of their paths, and each is compared with those nearest to it, ``NEIGHBOURS`` before and
+    after, or ``BODY_NEIGHBOURS`` of pages with an article: lines that half of them share, or nearly all within articles,
     found by longest common subsequence, are deleted. Character references are decoded, white space inside a block becomes one space,
     blocks are joined by line ends.
 
-    These pages are numbered in the order of (host, path, page_id) over all of them, from the sizes of sorted ranges; a page
+    Pages are numbered in the order of (article or not, host, path, page_id) over all of them, from the sizes of sorted ranges; a page
     goes to its block of ``BLOCK_PAGES`` numbers, and near an edge to the next block as well, so the result doesn't depend
-    on the partitions, a hot host is split, and memory holds one block.
+    on the partitions, a hot host is split, and memory holds one block. Blocks hold 64-bit digests of lines in place of their
+    texts; what they tell is which lines go, of pages that lose some.
 
     Null html is an empty page; pages without a host count as one host. Repeated rows give one result each and are copies
     of each other. An empty table gives an empty result. Other columns are ignored.
@@ -203,17 +229,20 @@ def extract_text(pages: DataFrame) -> DataFrame:
     host = F.lower(F.regexp_extract(url, r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1))
     path = F.regexp_extract(url, r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//[^/?#]*([^?#]*)", 1)
     src = pages.select(F.monotonically_increasing_id().alias("row"), F.col("page_id").cast("long").alias("page_id"), "url", F.col("html").cast("string").alias("html"), host.alias("host"), path.alias("path"))
-    parsed = written(src.mapInPandas(_parse, "row long, page_id long, url string, host string, path string, text string, texts array<string>"))
+    parsed = written(src.mapInPandas(_parse, "row long, page_id long, url string, host string, path string, body boolean, texts array<string>, lines array<long>"))
     spark = pages.sparkSession
-    order = ["host", "path", "page_id", "row"]
-    whole = parsed.where("text is not null").select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
-    parsed = parsed.where("text is null").drop("text")
+    order = ["body", "host", "path", "page_id", "row"]
     ranges = parsed.select(*order).repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *order).sortWithinPartitions(*order)
     numbered = written(ranges.select("row", F.monotonically_increasing_id().alias("m")))
     part = F.shiftright("m", 33).cast("int")
     sizes = sorted(numbered.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n")).collect())
     starts = spark.createDataFrame([(r.part, sum(x.n for x in sizes[:i])) for i, r in enumerate(sizes)], "part int, start long")  # a row a range
     ranked = numbered.withColumn("part", part).join(F.broadcast(starts), "part").select("row", (F.col("start") + F.col("m").bitwiseAND((1 << 33) - 1)).alias("rank"))
-    block = F.floor((F.col("rank") - NEIGHBOURS) / BLOCK_PAGES), F.floor((F.col("rank") + NEIGHBOURS) / BLOCK_PAGES)
-    dealt = parsed.drop("path").join(ranked, "row").withColumn("block", F.explode(F.sequence(*block)))
-    return whole.unionByName(dealt.repartition("block").sortWithinPartitions("block", "rank").mapInPandas(_difference, "page_id long, url string, text string, n_chars long"))
+    reach = F.when(F.col("body"), BODY_NEIGHBOURS).otherwise(NEIGHBOURS)
+    block = F.floor((F.col("rank") - reach) / BLOCK_PAGES), F.floor((F.col("rank") + reach) / BLOCK_PAGES)
+    dealt = parsed.select("row", "host", "body", "lines").join(ranked, "row").withColumn("block", F.explode(F.sequence(*block)))
+    gone = written(dealt.repartition("block").sortWithinPartitions("block", "rank").mapInPandas(_difference, "row long, gone array<int>"))
+    kept = F.when(F.col("gone").isNull(), F.col("texts")).otherwise(F.filter("texts", lambda x, i: ~F.array_contains("gone", i)))
+    rows = parsed.drop("lines").join(bounded_broadcast(gone, gone.count()), "row", "left")
+    text = rows.select("page_id", "url", F.array_join(kept, "\n").alias("text"))
+    return text.withColumn("n_chars", F.length("text").cast("long"))
