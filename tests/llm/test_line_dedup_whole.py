@@ -1,8 +1,11 @@
+import glob
 import random
+import time
 
 import numpy as np
 from test_line_dedup import edits, norm_lines
 
+from tidemark.llm import common, line_dedup
 from tidemark.llm.common import table
 from tidemark.llm.line_dedup import line_blocks, line_dedup_report
 from tidemark.llm.queries import op1_line_dedup
@@ -86,3 +89,32 @@ def test_every_line_that_is_not_blank_counts(spark, tmp_path):
     rows = [(1, f"Contents\n\n \t\n{thai}\n{chinese}\n* * *\n}}"), (2, f"  contents!\n\n{thai}\n{chinese.replace('七', '八')}\n***\nend"), (3, "\n \n")]
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     assert {r.doc_id: r.removed for r in op1_line_dedup(spark, str(tmp_path)).collect()} == {1: [], 2: [0, 2, 3, 4], 3: []}
+
+
+def test_shuffle_files_are_let_go_on_the_way(spark):
+    def held():
+        return set(glob.glob(f"{spark.sparkContext.getConf().get('spark.local.dir')}/**/shuffle_*.data", recursive=True))
+
+    rng = random.Random(4)
+    rows = []
+    for i in range(300):
+        words = ["".join(rng.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(20)]
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join([*words[:9], "changed", *words[10:]]))]
+    common.release(spark)
+    time.sleep(2)
+    before = held()
+    seen = []
+
+    def watched(*args, **kwargs):
+        time.sleep(2)  # files are deleted in the background
+        seen.append(len(held() - before))
+        return components(*args, **kwargs)
+
+    components, line_dedup.components = line_dedup.components, watched
+    try:
+        removed = sum(r.n_removed for r in line_dedup.line_dedup_report(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    finally:
+        line_dedup.components = components
+    assert removed == 300
+    # the second time all links are known, and what found them is gone
+    assert len(seen) == 2 and seen[1] <= 8, seen

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import string
 import tempfile
@@ -42,6 +43,13 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let go of shuffles and checkpoints that no DataFrame refers to any more. Spark deletes them when the driver's garbage is
+    collected, which a driver with memory to spare may not do before the disks of the executors are full."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 #: Words of a Bloom filter, each of 64 bits; its size doesn't grow with the input.
 FILTER_WORDS = 1 << 19
 

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import components, cut, document_key, let, packed, sieve, written
+from .common import components, cut, document_key, let, packed, release, sieve, written
 
 #: Edit similarity of linked lines, and the differing bits of 56 up to which SimHashes over words and over grams let a pair be compared.
 SIMILARITY, WORD_BITS, GRAM_BITS = 0.8, 19, 16
@@ -397,26 +397,27 @@ def similar_lines(lines: DataFrame, similarity: float = SIMILARITY) -> DataFrame
 
     def verified(pairs: DataFrame) -> DataFrame:
         pairs = cut(pairs.distinct())
+        release(lines.sparkSession)
         wanted = pairs.select(F.col("a").alias("k")).union(pairs.select("b")).distinct()
-        stored = sieve(lines.select("key", "k", "line"), F.col("k"), wanted).groupBy("k", "key").agg(F.first("line").alias("line"))
+        # grouped by k alone, so that the join needs no other shuffle; a key has 16 bytes
+        stored = sieve(lines.select("key", "k", "line"), F.col("k"), wanted).groupBy("k").agg(F.collect_set(F.concat("key", "line")).alias("texts"))
         # an inner join, since a semi-join would be moved before the filter
-        held = stored.join(wanted, "k")
+        held = stored.join(wanted, "k").select("k", F.explode("texts").alias("text"))
+        held = held.select(F.expr("substring(text, 1, 16)").alias("key"), "k", F.expr("substring(text, 17)").alias("line"))
         more = ", ".join(f"{kind}{i} long" for kind in "wg" for i in range(len(MORE_SEEDS)))
         held = written(held.select("key", "k", "line").mapInArrow(_longer_sketches, f"key binary, k long, line binary, {more}"))
-        sides = []
-        for name in "ab":
-            sims = F.struct(*[f"{kind}{i}" for kind in "wg" for i in range(len(MORE_SEEDS))]).alias(f"s{name}")
-            sides.append(held.select(F.col("k").alias(name), F.col("key").alias(f"k{name}"), sims))
+        sims = [[F.col(f"{kind}{i}").alias(f"{kind}{name}{i}") for kind in "wg" for i in range(len(MORE_SEEDS))] for name in "ab"]
+        sides = [held.select(F.col("k").alias(name), *columns) for name, columns in zip("ab", sims, strict=True)]
         met = pairs.join(sides[0], "a").join(sides[1], "b")
 
         def apart(kind: str) -> Column:
-            return reduce(lambda x, y: x + y, [F.bit_count(F.col(f"sa.{kind}{i}").bitwiseXOR(F.col(f"sb.{kind}{i}"))) for i in range(len(MORE_SEEDS))])
+            return reduce(lambda x, y: x + y, [F.bit_count(F.col(f"{kind}a{i}").bitwiseXOR(F.col(f"{kind}b{i}"))) for i in range(len(MORE_SEEDS))])
 
         # texts join the pairs that the longer SimHashes allow; over words if both lines have enough of them
-        near = cut(met.where(F.coalesce(apart("w") <= MORE_WORD_BITS, apart("g") <= MORE_GRAM_BITS)).select("a", "b", "ka", "kb"))
-        left, right = (held.select(F.col("key").alias(f"k{name}"), F.col("line").alias(f"l{name}")) for name in "ab")
+        near = cut(met.where(F.coalesce(apart("w") <= MORE_WORD_BITS, apart("g") <= MORE_GRAM_BITS)).select("a", "b").distinct())
+        left, right = (held.select(F.col("k").alias(name), F.col("key").alias(f"k{name}"), F.col("line").alias(f"l{name}")) for name in "ab")
         # few bytes, but much work a byte: the number of tasks is set, so that they are not merged
-        both = near.join(left, "ka").repartition(tasks, "kb").join(right, "kb").select("a", "b", "ka", "kb", "la", "lb")
+        both = near.join(left, "a").repartition(tasks, "b").join(right, "b").select("a", "b", "ka", "kb", "la", "lb")
         return cut(both.mapInArrow(_verified(similarity), "a long, b long, ka binary, kb binary"))
 
     whole = Window.partitionBy("slot")
@@ -426,19 +427,24 @@ def similar_lines(lines: DataFrame, similarity: float = SIMILARITY) -> DataFrame
     near_least = open_ & _near(F.col("sketch"), F.col("least.sketch"), similarity)
     dealt = dealt.where((F.col("n") > 2) | near_least).select("slot", "k", "sketch", "n", F.col("least.k").alias("r"), near_least.alias("near"))
     met = written(dealt.dropDuplicates(["slot", "k"]))
+    release(lines.sparkSession)
     one = verified(met.where("near").select(F.col("k").alias("a"), F.col("r").alias("b")))
-    proved = one.select(F.col("a").alias("k"), F.col("b").alias("r"))
-    loose = cut(met.where("n > 2 and k <> r").select("slot", "k", "sketch", "r").join(proved, ["k", "r"], "left_anti"))
-    lanes = loose.groupBy("slot").agg(F.ceil(F.count(F.lit(1)) / PAIRED_POSTING).cast("int").alias("lanes"))
-    mine = loose.join(lanes, "slot").select("slot", F.pmod(F.xxhash64("k"), "lanes").cast("int").alias("lane"), F.col("k").alias("a"), "sketch")
-    every = met.where("n > 2 and k <> r").join(lanes, "slot").select("slot", F.explode(F.sequence(F.lit(0), F.col("lanes") - 1)).alias("lane"), F.col("k").alias("b"), F.col("sketch").alias("other"))
-    second = mine.join(every, ["slot", "lane"]).where((F.col("a") != F.col("b")) & _near(F.col("sketch"), F.col("other"), similarity))
-    second = second.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     parts = cut(components(one.select("a", "b")))
-    for name in "ab":
-        second = second.join(parts.select(F.col("node").alias(name), F.col("component").alias(f"{name}_part")), name, "left")
-    apart_yet = ~F.coalesce(F.col("a_part") == F.col("b_part"), F.lit(False))
-    links = one.unionByName(verified(second.where(apart_yet).select("a", "b")))
+    release(lines.sparkSession)
+    # members by posting with the component that the first links put them into; where all are of one, nothing is left to compare
+    named = met.where("n > 2").join(parts.select(F.col("node").alias("k"), "component"), "k", "left")
+    named = named.select("slot", "k", "sketch", F.coalesce("component", "k").alias("part"), (F.col("k") == F.col("r")).alias("first"))
+    told = named.withColumns({"first_part": F.max(F.when(F.col("first"), F.col("part"))).over(whole), "least_part": F.min("part").over(whole), "most_part": F.max("part").over(whole)})
+    told = told.where(~F.col("first") & (F.col("least_part") < F.col("most_part")))
+    told = told.select("slot", "k", "sketch", "part", (F.col("part") != F.col("first_part")).alias("loose"))
+    told = written(told.withColumn("lanes", F.ceil(F.count(F.when(F.col("loose"), 1)).over(whole) / PAIRED_POSTING).cast("int")))
+    release(lines.sparkSession)
+    mine = told.where("loose").select("slot", F.pmod(F.xxhash64("k"), "lanes").cast("int").alias("lane"), F.col("k").alias("a"), "sketch", "part")
+    every = told.where("lanes > 0").select("slot", F.explode(F.sequence(F.lit(0), F.col("lanes") - 1)).alias("lane"), F.col("k").alias("b"), F.col("sketch").alias("other"), F.col("part").alias("other_part"))
+    second = mine.join(every, ["slot", "lane"]).where((F.col("part") != F.col("other_part")) & _near(F.col("sketch"), F.col("other"), similarity))
+    second = second.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    links = one.unionByName(verified(second))
+    release(lines.sparkSession)
     return links.select(F.col("ka").alias("a"), F.col("kb").alias("b"))
 
 
