@@ -6,6 +6,7 @@ from tidemark.operators import derive as dv
 from tidemark.operators import drift
 from tidemark.operators import merge as m
 from tidemark.operators import timeline
+from tidemark.plans.all import load
 
 
 def test_replace_set_folds_the_batch_once(spark):
@@ -53,3 +54,10 @@ def test_documents_are_compared_without_a_join_of_their_members(spark):
     assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
     got = sorted((r.id, r.path, r.cache_value, r.upstream_value) for r in out.where("id <> 4 and not (cache_value = '1')").collect())
     assert (1, "l[a#1].v", "2", "5") in got and (1, "x.y[1]", "2", None) in got
+
+
+def test_documents_read_the_lines_of_pulls_once(spark):
+    df = load()[0]["i1_entity_documents"](spark, "/root/testdata/sf0.001")
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    # check runs read them, and the four sections what was grouped once
+    assert len([x for x in plan.split("\n") if "Relation [" in x and "l_shipdate" in x]) == 1
