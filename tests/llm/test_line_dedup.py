@@ -161,3 +161,40 @@ def test_documents(spark):
     rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").where("length(text) < 2500").limit(30).collect()]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert got(line_dedup_report(df)) == brute(rows)
+
+
+def test_characters_bound_edits():
+    rng = random.Random(7)
+    for _ in range(300):
+        a = [rng.choice("abcé水 x") for _ in range(rng.randint(1, 40))]
+        b = [rng.choice("abcé水 y") if rng.random() < 0.2 else c for c in a if rng.random() > 0.1] or ["z"]
+        a, b = "".join(a), "".join(b)
+        counts = module._Lines([a.encode(), b.encode()]).letters()
+        assert counts.sum(axis=1).tolist() == [len(a), len(b)]
+        assert module.letters_bound(counts[:1], counts[1:])[0] <= edits(a, b)
+
+
+def test_near_copies_are_not_paired_with_all(spark, monkeypatch):
+    # copies of one line, each with two other words, so that one in four is similar to another; all meet in one posting
+    rng = random.Random(10)
+    base = ["".join(rng.choice("abcdefghij") for _ in range(7)) for _ in range(16)]
+    texts = []
+    for _ in range(400):
+        x = list(base)
+        for i in rng.sample(range(16), 2):
+            x[i] = "".join(rng.choice("klmnop") for _ in range(7))
+        texts.append(" ".join(x))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    compared = []
+
+    def counted(df):
+        out = cut(df)
+        if df.columns == ["a", "b"]:
+            compared.append(out.count())
+        return out
+
+    cut = module.cut
+    monkeypatch.setattr(module, "cut", counted)
+    gone = {(d, p) for d, at in got(line_dedup_report(df)) for p in at}
+    assert len(gone) >= 390
+    assert sum(compared) < 30 * len(texts), compared

@@ -22,6 +22,8 @@ from .common import components, cut, document_key, let, packed, release, sieve,
 SIMILARITY, WORD_BITS, GRAM_BITS = 0.8, 19, 16
 #: Members of a posting that one task compares with all of it; a posting with more of them is dealt over as many lanes as that takes.
 PAIRED_POSTING = 1024
+#: A posting with more loose members is crowded: before they meet all of it, its members are compared with so many neighbours each.
+CROWDED, NEIGHBOURS = 32, 4
 #: Up to so many characters a similarity of 0.8 allows one edit at most, which texts with one character left out find for certain.
 ONE_EDIT = 9
 #: Seeds of the 64 more SimHash bits each that are made of the texts of candidates, and the differing bits allowed in all of these.
@@ -34,6 +36,8 @@ WORD_FORMS = ((12, 30, 9, 2), (24, 1 << 60, 16, 2))
 WORDS_FROM, SHORT_WORD, FEW_WORDS = 96, 3, 15
 #: Lines of fewer blocks, since few features repeat in them, are posted under every two of five blocks of their whole SimHash too.
 FEW_BLOCKS = 5
+#: Kinds of characters that lines are counted by.
+KINDS = 32
 #: Text that one pass of the hashing below holds as 64-bit numbers.
 CHUNK_BYTES = 1 << 21
 _CONTROLS = bytes([*range(9), *range(14, 32), 127])
@@ -114,6 +118,15 @@ class _Lines:
         return np.repeat(at, n), _mix(h + np.uint64(_ODD))
 
 
+    def letters(self) -> np.ndarray:
+        """How many characters of each of ``KINDS`` kinds a line has, at most 255: a kind is told by a character's last byte."""
+        last = (np.append(self.x[1:], 10) & 0xC0) != 0x80
+        last[self.x == 10] = False
+        owner = np.repeat(np.arange(len(self.size)), self.size + 1)[last]
+        kind = self.x[last] & (KINDS - 1)
+        return np.minimum(np.bincount(owner * KINDS + kind, minlength=KINDS * len(self.size)), 255).astype(np.uint8).reshape(-1, KINDS)
+
+
 def _blocks(line: np.ndarray, h: np.ndarray, rank: np.ndarray | None, groups: int, few: int, form: int) -> tuple[np.ndarray, np.ndarray]:
     """Lines and their blocks: the features of a line are dealt to groups by their hashes, and a block is the SimHash of a
     group's ``few`` least features; groups of fewer have none."""
@@ -315,7 +328,7 @@ def _posted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _longer_sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Lines (key, k, line) with more SimHash bits: over words (null in lines that have too few) and over grams."""
+    """Lines (key, k, line) with more SimHash bits: over words (null in lines that have too few) and over grams; and with their characters: how many of each kind, how many."""
     names = [f"{kind}{i}" for kind in "wg" for i in range(len(MORE_SEEDS))]
     for batch in batches:
         lines, lo = batch.column("line").to_pylist(), 0
@@ -333,10 +346,30 @@ def _longer_sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
                 _simhash(line, _mix(g + np.uint64(seed)), sims[len(MORE_SEEDS) + i])
             columns = [pa.array(x.view(np.int64), mask=~t.wordy if i < len(MORE_SEEDS) else None) for i, x in enumerate(sims)]
             part = batch.slice(lo, hi - lo)
-            yield pa.RecordBatch.from_arrays([part.column("key"), part.column("k"), part.column("line"), *columns], names=["key", "k", "line", *names])
+            counted = [pa.array([x.tobytes() for x in t.letters()], pa.binary()), pa.array(t.chars.astype(np.int32))]
+            yield pa.RecordBatch.from_arrays([part.column("key"), part.column("k"), part.column("line"), *columns, *counted], names=["key", "k", "line", *names, "kinds", "chars"])
             lo = hi
 
 
+def letters_bound(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """At most the edit distance, of rows of ``_Lines.letters``: an edit takes one character away, brings one, or both."""
+    more = a.astype(np.int32) - b
+    return np.maximum(np.maximum(more, 0).sum(axis=1), np.maximum(-more, 0).sum(axis=1))
+
+
+def _by_letters(similarity: float):
+    """Pairs (a, b) that their characters allow."""
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, KINDS) for c in ("kindsa", "kindsb"))
+            chars = np.maximum(batch.column("charsa").to_numpy(), batch.column("charsb").to_numpy())
+            good = letters_bound(a, b) <= np.floor(chars * (1 - similarity) + 1e-9)
+            yield batch.select(["a", "b"]).filter(pa.array(good))
+
+    return of
+
+
 def words_bound(a: str, b: str) -> int:
     """At least the edit distance: equal words are passed, others rewritten up to where two words in a row agree again."""
     x, y = a.split(" "), b.split(" ")
@@ -376,7 +409,7 @@ def _verified(similarity: float):
 def _near(s1: Column, s2: Column, similarity: float) -> Column:
     """Whether sketches of one kind allow a pair: SimHashes within ``WORD_BITS`` or ``GRAM_BITS`` bits, and lengths that may agree."""
     apart = s1.bitwiseXOR(s2).bitwiseAND(-256)
-    steps = math.ceil(-math.log(similarity) / math.log(1.1)) + 1
+    steps = math.ceil(-math.log(similarity) / math.log(1.1))
     alike = F.bit_count(apart) <= F.when(s1.bitwiseAND(128) != 0, WORD_BITS).otherwise(GRAM_BITS)
     return alike & (F.abs(s1.bitwiseAND(127) - s2.bitwiseAND(127)) <= steps)
 
@@ -386,40 +419,55 @@ def similar_lines(lines: DataFrame, similarity: float = SIMILARITY) -> DataFrame
 
     An edited word or gram changes at most two groups of a line's features, so at most two of its blocks: lines that few
     edits part share a block for certain, by the pigeonhole principle, others if some block's features are left. Every
-    member of a posting is first compared with the posting's smallest. Members that prove similar to it are connected
-    already and are not compared with one another; the others are compared with all members, whatever the posting's size:
-    in one of over ``PAIRED_POSTING`` of them they are dealt over lanes, each of which meets all members. Pairs that the
-    links found so far connect are not compared. Texts are read for lines of near pairs only: a Bloom filter of bounded
-    size drops most others where they are stored, an exact join the rest.
+    member of a posting is first compared with the posting's smallest. In crowded postings members are then compared with
+    ``NEIGHBOURS`` others in an order by hash, which connects near copies of each other, in turns as long as these halve
+    the loose members: those outside the posting's largest part of connected ones. What is loose still is compared with all
+    members, whatever the posting's size: in one of over ``PAIRED_POSTING`` of them they are dealt over lanes, each of which
+    meets all members. Pairs that the links found so far connect are not compared. Texts are read for lines of near pairs
+    only: a Bloom filter of bounded size drops most others where they are stored, an exact join the rest.
     """
     posted = lines.select("k", "line").mapInArrow(_posted, "slot long, k long, sketch long")
     tasks = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        pairs = cut(pairs.distinct())
-        release(lines.sparkSession)
-        wanted = pairs.select(F.col("a").alias("k")).union(pairs.select("b")).distinct()
+    more = [f"{kind}{i}" for kind in "wg" for i in range(len(MORE_SEEDS))]
+
+    def held_of(wanted: DataFrame) -> DataFrame:
+        """Lines of the wanted k with what ``_longer_sketches`` adds."""
         # grouped by k alone, so that the join needs no other shuffle; a key has 16 bytes
         stored = sieve(lines.select("key", "k", "line"), F.col("k"), wanted).groupBy("k").agg(F.collect_set(F.concat("key", "line")).alias("texts"))
         # an inner join, since a semi-join would be moved before the filter
         held = stored.join(wanted, "k").select("k", F.explode("texts").alias("text"))
         held = held.select(F.expr("substring(text, 1, 16)").alias("key"), "k", F.expr("substring(text, 17)").alias("line"))
-        more = ", ".join(f"{kind}{i} long" for kind in "wg" for i in range(len(MORE_SEEDS)))
-        held = written(held.select("key", "k", "line").mapInArrow(_longer_sketches, f"key binary, k long, line binary, {more}"))
-        sims = [[F.col(f"{kind}{i}").alias(f"{kind}{name}{i}") for kind in "wg" for i in range(len(MORE_SEEDS))] for name in "ab"]
-        sides = [held.select(F.col("k").alias(name), *columns) for name, columns in zip("ab", sims, strict=True)]
-        met = pairs.join(sides[0], "a").join(sides[1], "b")
+        longer = ", ".join(f"{name} long" for name in more)
+        return written(held.select("key", "k", "line").mapInArrow(_longer_sketches, f"key binary, k long, line binary, {longer}, kinds binary, chars int"))
+
+    def told_by(side: str) -> list[Column]:
+        return [F.col(name).alias(f"{name}{side}") for name in (*more, "kinds", "chars")]
+
+    def apart(kind: str) -> Column:
+        return reduce(lambda x, y: x + y, [F.bit_count(F.col(f"{kind}{i}a").bitwiseXOR(F.col(f"{kind}{i}b"))) for i in range(len(MORE_SEEDS))])
+
+    # over words if both lines have enough of them
+    alike = F.coalesce(apart("w") <= MORE_WORD_BITS, apart("g") <= MORE_GRAM_BITS)
 
-        def apart(kind: str) -> Column:
-            return reduce(lambda x, y: x + y, [F.bit_count(F.col(f"{kind}a{i}").bitwiseXOR(F.col(f"{kind}b{i}"))) for i in range(len(MORE_SEEDS))])
+    def allowed(met: DataFrame) -> DataFrame:
+        """Pairs that the longer SimHashes and the characters allow; what they are told by comes along in the rows of a join."""
+        near = met.where(alike).select("a", "b", "kindsa", "kindsb", "charsa", "charsb")
+        return cut(near.mapInArrow(_by_letters(similarity), "a long, b long").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
 
-        # texts join the pairs that the longer SimHashes allow; over words if both lines have enough of them
-        near = cut(met.where(F.coalesce(apart("w") <= MORE_WORD_BITS, apart("g") <= MORE_GRAM_BITS)).select("a", "b").distinct())
+    def linked(near: DataFrame, held: DataFrame) -> DataFrame:
         left, right = (held.select(F.col("k").alias(name), F.col("key").alias(f"k{name}"), F.col("line").alias(f"l{name}")) for name in "ab")
         # few bytes, but much work a byte: the number of tasks is set, so that they are not merged
         both = near.join(left, "a").repartition(tasks, "b").join(right, "b").select("a", "b", "ka", "kb", "la", "lb")
         return cut(both.mapInArrow(_verified(similarity), "a long, b long, ka binary, kb binary"))
 
+    def verified(pairs: DataFrame) -> DataFrame:
+        pairs = cut(pairs.distinct())
+        release(lines.sparkSession)
+        held = held_of(pairs.select(F.col("a").alias("k")).union(pairs.select("b")).distinct())
+        sides = [held.select(F.col("k").alias(name), *told_by(name)) for name in "ab"]
+        return linked(allowed(pairs.join(sides[0], "a").join(sides[1], "b")), held)
+
     whole = Window.partitionBy("slot")
     least = F.min(F.struct("k", "sketch")).over(whole)
     dealt = posted.withColumns({"n": F.count(F.lit(1)).over(whole), "most": F.max("k").over(whole), "least": least}).where(F.col("least.k") < F.col("most"))
@@ -431,19 +479,43 @@ def similar_lines(lines: DataFrame, similarity: float = SIMILARITY) -> DataFrame
     one = verified(met.where("near").select(F.col("k").alias("a"), F.col("r").alias("b")))
     parts = cut(components(one.select("a", "b")))
     release(lines.sparkSession)
-    # members by posting with the component that the first links put them into; where all are of one, nothing is left to compare
-    named = met.where("n > 2").join(parts.select(F.col("node").alias("k"), "component"), "k", "left")
-    named = named.select("slot", "k", "sketch", F.coalesce("component", "k").alias("part"), (F.col("k") == F.col("r")).alias("first"))
-    told = named.withColumns({"first_part": F.max(F.when(F.col("first"), F.col("part"))).over(whole), "least_part": F.min("part").over(whole), "most_part": F.max("part").over(whole)})
-    told = told.where(~F.col("first") & (F.col("least_part") < F.col("most_part")))
-    told = told.select("slot", "k", "sketch", "part", (F.col("part") != F.col("first_part")).alias("loose"))
-    told = written(told.withColumn("lanes", F.ceil(F.count(F.when(F.col("loose"), 1)).over(whole) / PAIRED_POSTING).cast("int")))
+    # members by posting; where all are of one component, nothing is left to compare
+    members = met.where("n > 2").select("slot", "k", "sketch", (F.col("k") == F.col("r")).alias("first"))
+
+    def parted(members: DataFrame, parts: DataFrame) -> DataFrame:
+        """``members`` of postings of several parts with their part, whether it is not the posting's largest, and how many are so."""
+        named = members.join(parts.select(F.col("node").alias("k"), "component"), "k", "left")
+        named = named.select("slot", "k", "sketch", "first", F.coalesce("component", "k").alias("part")).repartition(tasks, "slot")
+        sized = named.withColumn("size", F.count(F.lit(1)).over(Window.partitionBy("slot", "part")))
+        told = sized.withColumns({"main": F.max(F.struct("size", "part")).over(whole), "least_part": F.min("part").over(whole), "most_part": F.max("part").over(whole)})
+        told = told.where(F.col("least_part") < F.col("most_part")).withColumn("loose", ~F.col("first") & (F.col("part") != F.col("main.part")))
+        return written(told.select("slot", "k", "sketch", "first", "part", "loose", F.count(F.when(F.col("loose"), 1)).over(whole).alias("n_loose")))
+
+    told = parted(members, parts)
     release(lines.sparkSession)
-    mine = told.where("loose").select("slot", F.pmod(F.xxhash64("k"), "lanes").cast("int").alias("lane"), F.col("k").alias("a"), "sketch", "part")
-    every = told.where("lanes > 0").select("slot", F.explode(F.sequence(F.lit(0), F.col("lanes") - 1)).alias("lane"), F.col("k").alias("b"), F.col("sketch").alias("other"), F.col("part").alias("other_part"))
-    second = mine.join(every, ["slot", "lane"]).where((F.col("part") != F.col("other_part")) & _near(F.col("sketch"), F.col("other"), similarity))
-    second = second.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    links = one.unionByName(verified(second))
+    links, left, turn = one, None, 0
+    while True:
+        crowded = told.where(~F.col("first") & (F.col("n_loose") > CROWDED))
+        last, left = left, crowded.where("loose").count()
+        if left == 0 or last is not None and 2 * left > last:
+            break
+        order = Window.partitionBy("slot").orderBy(F.xxhash64("k", F.lit(turn)), "k")
+        beside = [F.lag(F.struct("k", "sketch", "part"), i).over(order) for i in range(1, NEIGHBOURS + 1)]
+        pairs = crowded.withColumn("beside", F.array(*beside)).select("k", "sketch", "part", F.explode("beside").alias("other"))
+        pairs = pairs.where((F.col("part") != F.col("other.part")) & _near(F.col("sketch"), F.col("other.sketch"), similarity))
+        found = verified(pairs.select(F.greatest("k", "other.k").alias("a"), F.least("k", "other.k").alias("b")))
+        parts = cut(components(found.select("a", "b").unionByName(parts.select(F.col("node").alias("a"), F.col("component").alias("b")))))
+        links, turn = links.unionByName(found), turn + 1
+        told = parted(told.select("slot", "k", "sketch", "first"), parts)
+        release(lines.sparkSession)
+    told = told.where(~F.col("first") & (F.col("n_loose") > 0)).withColumn("lanes", F.ceil(F.col("n_loose") / PAIRED_POSTING).cast("int"))
+    # here pairs may be many more than lines, so that members bring what tells them apart
+    held = held_of(told.select("k").distinct())
+    signed = written(told.join(held.select("k", *more, "kinds", "chars"), "k"))
+    mine = signed.where("loose").select("slot", F.pmod(F.xxhash64("k"), "lanes").cast("int").alias("lane"), F.col("k").alias("a"), "sketch", "part", *told_by("a"))
+    every = signed.select("slot", F.explode(F.sequence(F.lit(0), F.col("lanes") - 1)).alias("lane"), F.col("k").alias("b"), F.col("sketch").alias("other"), F.col("part").alias("other_part"), *told_by("b"))
+    second = mine.join(every, ["slot", "lane"]).where((F.col("part") != F.col("other_part")) & _near(F.col("sketch"), F.col("other"), similarity) & alike)
+    links = links.unionByName(linked(allowed(second), held))
     release(lines.sparkSession)
     return links.select(F.col("ka").alias("a"), F.col("kb").alias("b"))
 
