@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.session import checkpoint_dir
+from ..functions.session import scratch
 
 
 def _pass_missing(component: str, operation: str, bound: int, sampled: bool = True) -> list[dict]:
@@ -56,7 +56,9 @@ ALERT_RULES: list[tuple[str, int, str, list[dict]]] = [
 
 
 CONDITIONS = "cond int, rule string, severity string, needs int, form string, op string, bound double, op2 string, bound2 double, quantile double, absent_key string"
-SELECTORS = "cond int, side string, metric string, want array<struct<k:string,v:string>>, by array<string>, steps int"
+USES = "cond int, side string, sel int"
+#: Steps of a series that one group of a window has at least.
+STRETCH = 4096
 
 
 def label_key(labels: dict[str, str]) -> str:
@@ -65,7 +67,7 @@ def label_key(labels: dict[str, str]) -> str:
 
 
 def compile_rules(rules: list[tuple[str, int, str, list[dict]]], step_s: int) -> tuple[list[tuple], list[tuple]]:
-    """Rules as rows of ``CONDITIONS`` and ``SELECTORS``: what to test, and which samples each side of a test reads."""
+    """Rules as rows of ``CONDITIONS`` and of selectors (cond, side, metric, want, by, steps): what to test, and which samples each side of a test reads."""
     conditions, selectors = [], []
     flat: Iterator[tuple] = ((name, severity, minutes * 60 // step_s, c) for name, minutes, severity, cs in rules for c in cs)
     for i, (rule, severity, needs, c) in enumerate(flat):
@@ -92,76 +94,132 @@ def _test(value: Column, op: Column, bound: Column) -> Column:
     return F.when(op == "<", value < bound).when(op == ">", value > bound).when(op == "==", value == bound)
 
 
+def shared_selectors(conditions: list[tuple], selectors: list[tuple]) -> tuple[list[tuple], list[tuple]]:
+    """``selectors`` of ``compile_rules`` as rows, each different one once (sel, metric, want, by, steps), and who uses them: rows of ``USES``.
+
+    Conditions on absence ask only whether there is anything, so another condition's selector of the same samples does.
+    """
+    absent = {c[0] for c in conditions if c[4] == "absent"}
+    chosen: dict[tuple, int] = {}
+    uses = []
+    for cond, side, metric, want, by, steps in sorted(selectors, key=lambda s: s[0] in absent):
+        samples = (metric, tuple(sorted(want)))
+        how = (*samples, None if by is None else tuple(by), steps)
+        known = next((n for other, n in chosen.items() if other[:2] == samples), None) if cond in absent else None
+        uses.append((cond, side, chosen.setdefault(how, len(chosen)) if known is None else known))
+    return [(n, metric, list(want), None if by is None else list(by), steps) for (metric, want, by, steps), n in chosen.items()], uses
+
+
+def _last_of_step(samples: DataFrame, step_s: int) -> DataFrame:
+    slot = F.floor(F.unix_micros(F.col("at").cast("timestamp")) / (step_s * 1_000_000))
+    # a number first that nearly tells series and steps, so that sorting compares few names and labels
+    near = F.shiftleft(F.xxhash64("name", F.sort_array(F.map_entries("labels"))), 32).bitwiseOR(slot.bitwiseAND(0xFFFFFFFF)).alias("near")
+    return samples.select(near, slot.alias("slot"), "name", "labels", "at", "value").groupBy("near", "name", "labels", "slot").agg(F.max(F.struct("at", "value"))["value"].alias("value")).drop("near")
+
+
 def on_grid(samples: DataFrame, step_s: int) -> DataFrame:
     """Samples (at, name, labels map, value) as one row per series and step, the last of a step; ``grown`` is the growth since the step before. A counter that falls was reset and counts from 0."""
-    slot = F.floor(F.unix_micros(F.col("at").cast("timestamp")) / (step_s * 1_000_000))
-    last = samples.select(slot.alias("slot"), "name", "labels", "at", "value").groupBy("name", "labels", "slot").agg(F.max(F.struct("at", "value"))["value"].alias("value"))
-    last = last.withColumn("series", F.sort_array(F.map_entries("labels")).cast("string"))
+    last = _last_of_step(samples, step_s).withColumn("series", F.sort_array(F.map_entries("labels")).cast("string"))
     step = F.col("value") - F.lag("value").over(Window.partitionBy("name", "series").orderBy("slot"))
     return last.withColumn("grown", F.when(step < 0, F.col("value")).otherwise(F.coalesce(step, F.lit(0.0))))
 
 
-def _quantiles(buckets: DataFrame) -> DataFrame:
-    """(cond, slot, a): the quantile of cumulative buckets, by straight lines within a bucket; above the last finite bound it is that bound."""
+def _quantiles(buckets: DataFrame, asked: DataFrame) -> DataFrame:
+    """(cond, slot, a): the quantiles ``asked`` (cond, sel, quantile) of cumulative buckets (sel, key, slot, x), by straight lines within a bucket; above the last finite bound it is that bound."""
     b = buckets.withColumn("le", F.substring_index("key", "=", -1).try_cast("double")).where("le is not null")
-    of = Window.partitionBy("cond", "slot")
+    of = Window.partitionBy("sel", "slot")
     below = of.orderBy("le")
     b = b.withColumns({"below": F.lag("le").over(below), "n0": F.coalesce(F.lag("x").over(below), F.lit(0.0)), "total": F.max("x").over(of), "top": F.max("le").over(of)})
+    b = b.where((F.col("top") == float("inf")) & (F.col("total") > 0)).join(asked, "sel")
     rank = F.col("quantile") * F.col("total")
     start = F.coalesce("below", F.lit(0.0))
     inside = start + (F.col("le") - start) * (rank - F.col("n0")) / (F.col("x") - F.col("n0"))
     at = F.when(F.col("le") == float("inf"), F.col("below")).otherwise(inside)
-    return b.where((F.col("top") == float("inf")) & (F.col("total") > 0) & (F.col("x") >= rank)).groupBy("cond", "slot").agg(F.min_by(at, "le").alias("a"))
+    return b.where(F.col("x") >= rank).groupBy("cond", "slot").agg(F.min_by(at, "le").alias("a"))
+
+
+def _increases(met: DataFrame, lengths: dict[int, list[int]]) -> DataFrame:
+    """(sel, key, slot, x): what ``grown`` of ``met`` adds up to over the steps of each selector; ``lengths`` has the selectors of each number of steps.
+
+    Steps are dealt to stretches, and the last steps of a stretch are given to the next one too, so that a series of any length is spread.
+    """
+    reach = max(lengths, default=1)
+    size = max(STRETCH, reach)
+    own = F.floor(F.col("slot") / size)
+    into = F.when(F.pmod("slot", F.lit(size)) > size - reach, F.array(own, own + 1)).otherwise(F.array(own))
+    dealt = met.where(F.col("sel").isin([n for ns in lengths.values() for n in ns])).select("sel", "key", "slot", "grown", F.explode(into).alias("stretch"))
+    series = Window.partitionBy("sel", "key", "stretch").orderBy("slot")
+    x = reduce(lambda c, n: c.when(F.col("sel").isin(lengths[n]), F.sum("grown").over(series.rangeBetween(1 - n, 0))), sorted(lengths), F.when(F.lit(False), F.col("grown")))
+    return dealt.withColumn("x", x).where(F.col("stretch") == own).select("sel", "key", "slot", "x")
 
 
 def holding(samples: DataFrame, rules: list | None = None, step_s: int = 60) -> DataFrame:
     """(rule, severity, needs, labels, slot): the steps at which a condition of a rule holds for a set of labels.
 
-    Rules become two small tables. Samples meet the selectors of all conditions in one broadcast join on the metric's name,
-    are summed up once per condition, side and group of labels, and both sides of a test meet by one more aggregation, so
-    the plan doesn't grow with the rules; only the windows of increases are one column for each length that occurs. The sums,
-    a row per step and group, are checkpointed, so samples are read once; steps of samples that no rule reads count as times.
-    Null labels or values of samples are left out; without samples no rule holds, absence included.
+    Rules become small tables. Samples meet the different selectors of all conditions in one broadcast join on the metric's
+    name, a series and step giving one row to each, and are written; where a selector groups labels, its rows are
+    summed up. Any number of conditions tests the same rows, so the plan doesn't grow with the rules; only the
+    windows of increases are one column for each length that occurs. Samples are read twice, metrics whose increases are asked for and others,
+    since only the former are sorted by series; what is there at a step is a bit for each selector, and steps of samples that
+    no rule reads count as times. Null labels or values of samples are left out; without samples no rule holds, absence included.
     """
     spark: SparkSession = samples.sparkSession
     conditions, selectors = compile_rules(ALERT_RULES if rules is None else rules, step_s)
-    cond, sel = spark.createDataFrame(conditions, CONDITIONS), spark.createDataFrame(selectors, SELECTORS)
-    grid = on_grid(samples.where("at is not null and name is not null and labels is not null and value is not null"), step_s)
-
-    most_wanted, most_by = max((len(s[3]) for s in selectors), default=0), max((len(s[4] or []) for s in selectors), default=0)
-    wanted = F.col("name") == F.col("metric")
-    for i in range(most_wanted):
-        pair = F.get("want", F.lit(i))
-        wanted &= pair.isNull() | F.coalesce(F.try_element_at("labels", pair["k"]) == pair["v"], F.lit(False))
+    chosen, uses = shared_selectors(conditions, selectors)
+    cond = spark.createDataFrame(conditions, CONDITIONS)
+    use = cond.join(F.broadcast(spark.createDataFrame(uses, USES)), "cond")
+    known = samples.where("at is not null and name is not null and labels is not null and value is not null")
+    counted = F.col("name").isin(sorted({metric for _, metric, _, _, steps in chosen if steps is not None}))
+    grid = on_grid(known.where(counted), step_s).drop("series").unionByName(_last_of_step(known.where(~counted), step_s).withColumn("grown", F.lit(0.0)))
+
+    # a row meets the label names that its metric's selectors want, then the values wanted of these: one candidate for each set of names
+    shapes = sorted({(metric, tuple(sorted(k for k, _ in want))) for _, metric, want, _, _ in chosen})
+    most_wanted, most_by = max((len(names) for _, names in shapes), default=0), max((len(s[3] or []) for s in chosen), default=0)
+    valued = [(n, shapes.index((metric, tuple(k for k, _ in sorted(want)))), by, *[v for _, v in sorted(want)], *[""] * (most_wanted - len(want))) for n, metric, want, by, _ in chosen]
+    names = spark.createDataFrame([(i, *shape) for i, shape in enumerate(shapes)], "shape int, name string, names array<string>")
+    sel = spark.createDataFrame(valued, ", ".join(["sel int", "shape int", "by array<string>", *[f"v{i} string" for i in range(most_wanted)]]))
+    values = [F.when(F.size("names") <= i, "").otherwise(F.try_element_at("labels", F.get("names", F.lit(i)))).alias(f"v{i}") for i in range(most_wanted)]
     by = [F.get("by", F.lit(i)) for i in range(most_by)]
     grouped = F.concat_ws(",", *[F.concat(k, F.lit("="), F.coalesce(F.try_element_at("labels", k), F.lit(""))) for k in by])
-    whole = F.array_join(F.transform(F.array_sort(F.map_entries("labels")), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ",")
-    key = F.when(F.col("cond").isNull(), "").when(F.col("by").isNotNull(), grouped).otherwise(whole)
-    met = grid.join(F.broadcast(sel), wanted, "left").select(F.coalesce("cond", F.lit(-1)).alias("cond"), "side", key.alias("key"), "steps", "slot", "value", "grown")
-    checkpoint_dir(spark)
-    met = met.groupBy("cond", "side", "key", "steps", "slot").agg(F.max("value").alias("value"), F.sum("grown").alias("grown")).checkpoint()
-    series = Window.partitionBy("cond", "side", "key", "steps").orderBy("slot")
-    lengths = sorted({s[5] for s in selectors if s[5] is not None})
-    grown = met.where("steps is not null")  # only increases are sorted by series
-    x = grown.select("cond", "side", "key", "slot", reduce(lambda c, n: c.when(F.col("steps") == n, F.sum("grown").over(series.rangeBetween(1 - n, 0))), lengths, F.when(F.lit(False), F.col("grown"))).alias("x"))
-    x = x.unionByName(met.where("cond >= 0 and steps is null").select("cond", "side", "key", "slot", F.col("value").alias("x")))
-
-    tests = F.broadcast(cond.where("form not in ('absent', 'quantile')"))
+    entries = F.map_entries("labels")
+    texts = F.transform(F.sort_array(entries), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
+    whole = F.when(F.size("labels") == 0, "").when(F.size("labels") == 1, F.concat(entries[0]["key"], F.lit("="), entries[0]["value"])).otherwise(F.array_join(texts, ","))
+    key = F.when(F.col("sel").isNull(), "").when(F.col("by").isNotNull(), grouped).otherwise(whole)
+    probed = grid.join(F.broadcast(names), "name", "left").select("labels", "slot", "value", "grown", "shape", *values)
+    alone = F.col("sel").isNotNull() & F.col("by").isNull()
+    told = probed.join(F.broadcast(sel), ["shape", *[f"v{i}" for i in range(most_wanted)]], "left").select(F.coalesce("sel", F.lit(-1)).alias("sel"), key.alias("key"), alone.alias("alone"), "slot", "value", "grown")
+    path = scratch(spark, "steps")
+    told.write.option("compression", "zstd").parquet(path)
+    told = spark.read.schema(told.schema).parquet(path)
+    # a selector that doesn't group has one row per series and step already
+    summed = told.where("not alone and sel >= 0").groupBy("sel", "key", "slot").agg(F.max("value").alias("value"), F.sum("grown").alias("grown"))
+    met = told.where("alone").select("sel", "key", "slot", "value", "grown").unionByName(summed)
+
+    lengths = {steps: [s[0] for s in chosen if s[4] == steps] for steps in {s[4] for s in chosen} - {None}}
+    values = met.where(F.col("sel").isin([s[0] for s in chosen if s[4] is None])).select("sel", "key", "slot", F.col("value").alias("x"))
+    x = values.unionByName(_increases(met, lengths)) if lengths else values
+
     a, b = F.col("a"), F.col("b")
     plain = _test(a, F.col("op"), F.col("bound"))
-    passed = F.when(F.col("form") == "value", plain).when(F.col("form") == "ratio", (b > 0) & _test(a / F.nullif(b, F.lit(0.0)), F.col("op"), F.col("bound"))).when(F.col("form") == "above", a > b).otherwise(plain & _test(b, F.col("op2"), F.col("bound2")))
-    paired = x.groupBy("cond", "key", "slot").agg(F.max(F.when(F.col("side") == "a", F.col("x"))).alias("a"), F.max(F.when(F.col("side") == "b", F.col("x"))).alias("b"))
     said = ("rule", "severity", "needs")
-    held = paired.join(tests, "cond").where(passed).select(*said, "key", "slot")
-
-    of_buckets = F.broadcast(cond.where("form = 'quantile'"))
-    quantiles = _quantiles(x.join(of_buckets.select("cond", "quantile"), "cond")).join(of_buckets, "cond").where(plain).select(*said, F.lit("").alias("key"), "slot")
-
-    absent = cond.where("form = 'absent'")
-    every = [c[0] for c in conditions if c[4] == "absent"]
-    at = met.select("slot").distinct().select("slot", F.explode(F.array(*[F.lit(i) for i in every]).cast("array<int>")).alias("cond"))
-    gone = at.join(met.select("cond", "slot").distinct(), ["cond", "slot"], "left_anti").join(F.broadcast(absent), "cond").select(*said, F.col("absent_key").alias("key"), "slot")
-    return held.unionByName(quantiles).unionByName(gone).distinct().withColumnRenamed("key", "labels")
+    held = x.withColumnRenamed("x", "a").join(F.broadcast(use.where("form = 'value'")), "sel").where(plain).select(*said, "key", "slot")
+
+    tests = F.broadcast(cond.where("form in ('ratio', 'above', 'also')"))
+    passed = F.when(F.col("form") == "ratio", (b > 0) & _test(a / F.nullif(b, F.lit(0.0)), F.col("op"), F.col("bound"))).when(F.col("form") == "above", a > b).otherwise(plain & _test(b, F.col("op2"), F.col("bound2")))
+    sided = x.join(F.broadcast(use.where("form in ('ratio', 'above', 'also')").select("sel", "cond", "side")), "sel")
+    paired = sided.groupBy("cond", "key", "slot").agg(F.max(F.when(F.col("side") == "a", F.col("x"))).alias("a"), F.max(F.when(F.col("side") == "b", F.col("x"))).alias("b"))
+    both = paired.join(tests, "cond").where(passed).select(*said, "key", "slot")
+
+    of_buckets = F.broadcast(use.where("form = 'quantile'"))
+    bucketed = x.where(F.col("sel").isin([n for c, _, n in uses if conditions[c][4] == "quantile"]))
+    quantiles = _quantiles(bucketed, of_buckets.select("cond", "sel", "quantile")).join(of_buckets, "cond").where(plain).select(*said, F.lit("").alias("key"), "slot")
+
+    words = [F.coalesce(F.bit_or(F.when((F.col("sel") >= w) & (F.col("sel") < w + 63), F.expr(f"shiftleft(1L, sel - {w})"))), F.lit(0).cast("long")) for w in range(0, len(chosen), 63)]
+    there = told.groupBy("slot").agg(F.array(*words).alias("there"))
+    asked = [F.struct(*[F.lit(v).alias(k) for k, v in zip((*said, "key"), (*conditions[c][1:4], conditions[c][10]), strict=True)], F.lit(n).alias("sel")) for c, _, n in uses if conditions[c][4] == "absent"]
+    none = F.array().cast("array<struct<rule:string,severity:string,needs:int,key:string,sel:int>>")
+    gone = there.select("slot", F.explode(F.filter(F.array(*asked) if asked else none, lambda c: F.call_function("shiftright", F.get("there", F.floor(c["sel"] / 63).cast("int")), c["sel"] % 63).bitwiseAND(F.lit(1)) == 0)).alias("c")).select("c.rule", "c.severity", "c.needs", "c.key", "slot")
+    return held.unionByName(both).unionByName(quantiles).unionByName(gone).distinct().withColumnRenamed("key", "labels")
 
 
 def evaluate_alerts(samples: DataFrame, rules: list | None = None, step_s: int = 60) -> DataFrame:

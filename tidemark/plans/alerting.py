@@ -61,11 +61,15 @@ def samples(spark, sf):
 
     An event makes many samples, so events are dealt over all tasks first, those of a minute together; their files alone may be a task or two.
     """
-    rows = F.array(*[F.struct(*[F.lit(v).alias(c) for c, v in zip(COLUMNS.split(", "), s, strict=True)]) for s in SERIES])
+
+    def labels(key: str):
+        pairs = [F.lit(x) for part in key.split(",") if part for x in part.split("=", 1)]
+        return (F.create_map(*pairs) if pairs else F.create_map().cast("map<string,string>")).alias("labels")
+
+    rows = F.array(*[F.struct(*[labels(v) if c == "lkey" else F.lit(v).alias(c) for c, v in zip(COLUMNS.split(", "), s, strict=True)]) for s in SERIES])
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     each = run_sql(spark, sf, EVENTS).repartition(n, "t").select("sampled_at", "t", "u", F.explode(rows).alias("s")).select("sampled_at", "t", "u", "s.*").where(THERE)
-    labels = F.when(F.col("lkey") == "", F.create_map().cast("map<string,string>")).otherwise(F.str_to_map("lkey", F.lit(","), F.lit("=")))
-    return each.select(F.col("sampled_at").alias("at"), "name", labels.alias("labels"), F.expr(VALUE).cast("double").alias("value"))
+    return each.select(F.col("sampled_at").alias("at"), "name", "labels", F.expr(VALUE).cast("double").alias("value"))
 
 
 def _where(name: str, labels: dict) -> str:
