@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from tidemark.operators import alerts
+from tidemark.operators import alerts, branch
 
 
 def test_conditions_share_the_rows_of_a_selector(spark):
@@ -27,3 +27,16 @@ def test_increases_over_the_edge_of_a_stretch(spark, monkeypatch):
         monkeypatch.setattr(alerts, "STRETCH", size)
         found.append(sorted(r.slot for r in alerts.holding(df, rules).collect()))
     assert found[0] == found[1] and len(found[0]) > 20
+
+
+def test_deliveries_to_a_busy_branch_repeat_at_short_distance(spark):
+    pushes = spark.sql("SELECT concat('g-', id) AS delivery_guid, 1L AS repo_id, 'main' AS branch FROM range(6400)")
+    pulls = spark.sql("SELECT 1L AS repo_id, id AS number, 'open' AS state, concat('b', id) AS head_ref, 'main' AS base_ref, CAST(NULL AS TIMESTAMP_NTZ) AS tombstoned_at FROM range(5)")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as on larger tables
+        guids = [r.delivery_guid for r in branch.prs_on_branch(pushes, pulls).collect()]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert len(guids) == 32000 and len(set(guids)) == 6400
+    assert guids.index(guids[0], 1) < 640  # 6400 before: the deliveries of all lists lay between
